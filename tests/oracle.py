@@ -30,9 +30,9 @@ def canonical(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return f"{value + 0.0:.6g}" if value != 0 else "0"
+        return f"{value + 0.0:.12g}" if value != 0 else "0"
     if isinstance(value, int):
-        return f"{float(value):.6g}" if abs(value) < 10**6 else str(value)
+        return f"{float(value):.12g}" if abs(value) < 10**11 else str(value)
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(str(canonical(v)) for v in value) + "]"
     if isinstance(value, dict):

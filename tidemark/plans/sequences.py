@@ -90,16 +90,16 @@ def change_signal(spark, sf_dir):
 @query(
     "rolling_stats",
     """
-    SELECT event_id, user_id, CASE WHEN count(value) OVER w >= 3 THEN round(sum(value) OVER w, 4) END AS rolling_sum,
-           CASE WHEN count(value) OVER w >= 3 THEN round(avg(value) OVER w, 4) END AS rolling_mean,
-           CASE WHEN count(value) OVER w >= 3 THEN round(stddev_samp(value) OVER w, 4) END AS rolling_std
+    SELECT event_id, user_id, CASE WHEN count(value) OVER w >= 3 THEN round(sum(value) OVER w, 6) END AS rolling_sum,
+           CASE WHEN count(value) OVER w >= 3 THEN round(avg(value) OVER w, 6) END AS rolling_mean,
+           CASE WHEN count(value) OVER w >= 3 THEN round(stddev_samp(value) OVER w, 6) END AS rolling_std
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
     """,
 )
 def rolling_stats(spark, sf_dir):
     rows = keyed_events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
     out = seq.rolling_stats(rows, "user_id", ["ts", "event_id"], "value", 10, 3)
-    return out.select("event_id", "user_id", *[F.round(c, 4).alias(c) for c in ("rolling_sum", "rolling_mean", "rolling_std")])
+    return out.select("event_id", "user_id", *[F.round(c, 6).alias(c) for c in ("rolling_sum", "rolling_mean", "rolling_std")])
 
 
 NEW_FROM = "2024-01-21"
