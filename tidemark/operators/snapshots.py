@@ -57,21 +57,15 @@ def snapshot_features(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
     Type, State, WaitReason, Tag, Protection, PrivateMemory, File, Variable, Value, Size, Path.
     """
     c = F.col
-    plugin = c("plugin")
-    vad, handle, thread = plugin == "vadinfo", plugin == "handles", plugin == "threadlist"
-    env, ldr = plugin == "envars", plugin == "ldrmodules"
-    charge = F.when(c("CommitCharge") < FULL_MEMORY, c("CommitCharge").cast("double"))
-    name = F.lower(c("Name"))
-    file_name = F.when(handle & (c("Type") == "File") & name.isNotNull() & (name != ""), name)
-    extension = F.nullif(F.regexp_extract(file_name, r"\.([^.]*)$", 1), F.lit(""))
-    folder = F.nullif(F.regexp_extract(file_name, r"^(.*)\\.*", 1), F.lit(""))
-    depth = F.split(file_name, r"\\")
+    df = _derived(df, extensions)
+    vad, handle, thread, env, ldr = (c("plugin") == p for p in ("vadinfo", "handles", "threadlist", "envars", "ldrmodules"))
+    charge, file_name, extension, folder = c("_charge"), c("_file"), c("_extension"), c("_folder")
+    depth, tail = c("_depth"), c("_tail")
     deep = F.size(depth) > 3
     on_disk = deep & (F.size(depth) > 4) & (F.try_element_at(depth, F.lit(2)) == "device") & F.try_element_at(
         depth, F.lit(3)
     ).contains("harddisk")
     area = F.try_element_at(depth, F.lit(4))
-    tail = double_extension(file_name, extensions)
     exec_path = env & c("Variable").contains("PATHEXT") & c("Value").contains(PATH_EXTENSIONS)
     module = ldr & c("Name").contains(F.lower(c("Process")))
 
@@ -152,9 +146,30 @@ def snapshot_features(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
         "handles_df_type_unique": when(handle, F.coalesce(c("Type"), F.lit("nan"))),
     }
     keys = ["snapshot_id", "pid_process"]
-    rows = df.withColumn("pid_process", F.concat_ws("_", c("PID").cast("string"), c("Process")))
-    grouped = rows.groupBy(*keys).agg(*[column.alias(key) for key, column in a.items()])
-    return _finish(grouped.join(_distinct_counts(rows, keys, uniques), keys, "left").na.fill(0, list(uniques)))
+    grouped = df.groupBy(*keys).agg(*[column.alias(key) for key, column in a.items()])
+    return _finish(grouped.join(_distinct_counts(df, keys, uniques), keys, "left").na.fill(0, list(uniques)))
+
+
+def _derived(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
+    """Parsed columns in their own projection, so each is computed once per row."""
+    name = F.lower("Name")
+    is_file = (F.col("plugin") == "handles") & (F.col("Type") == "File") & name.isNotNull() & (name != "")
+    out = df.withColumns(
+        {
+            "pid_process": F.concat_ws("_", F.col("PID").cast("string"), F.col("Process")),
+            "_charge": F.when(F.col("CommitCharge") < FULL_MEMORY, F.col("CommitCharge").cast("double")),
+            "_file": F.when(is_file, name),
+        }
+    )
+    file_name = F.col("_file")
+    return out.withColumns(
+        {
+            "_extension": F.nullif(F.regexp_extract(file_name, r"\.([^.]*)$", 1), F.lit("")),
+            "_folder": F.nullif(F.regexp_extract(file_name, r"^(.*)\\.*", 1), F.lit("")),
+            "_depth": F.split(file_name, r"\\"),
+            "_tail": double_extension(file_name, extensions),
+        }
+    )
 
 
 def _distinct_counts(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:

@@ -171,7 +171,7 @@ def row_set_compare(spark, sf_dir):
     """Multiset difference by counting each distinct row on both sides: one combinable aggregation."""
     rows = keyed_events(spark, sf_dir)
     sides = rows.groupBy("user_id", "event_type").agg(
-        F.count_if("k < 60").alias("l"), F.count_if("k >= 40").alias("r")
+        F.count_if(F.col("k") < 60).alias("l"), F.count_if(F.col("k") >= 40).alias("r")
     )
     parts = F.array(
         F.struct(F.lit("extra").alias("kind"), F.sum(F.greatest(F.col("r") - F.col("l"), F.lit(0))).alias("n")),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +82,10 @@ def fits_broadcast(df: DataFrame) -> bool:
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast only after counting; otherwise leave the join to shuffle and AQE skew splitting."""
     return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder, for tables and stream checkpoints a job writes."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
