@@ -186,7 +186,7 @@ def top_features_text(top: Column) -> Column:
             top,
             lambda f: F.concat(
                 f["name"], F.lit("="), F.coalesce(f["value"], F.lit("None")),
-                F.lit(" (z="), F.format_number(f["abs_z"], "0.00"), F.lit(")"),
+                F.lit(" (z="), F.format_string("%.2f", f["abs_z"]), F.lit(")"),
             ),
         ),
         ", ",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.base import K_SQL, k_of
 from tidemark.registry import query
 from tidemark.session import configure, scratch_dir, table
-from tidemark.streaming import pipelines as pipe, state
+from tidemark.streaming import jobs, state
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def plain_time(df: DataFrame, *columns: str) -> DataFrame:
     """,
 )
 def stream_rollup(spark, sf_dir):
-    rolled = pipe.tumbling_rollup(event_stream(spark, sf_dir), ["event_type"], "ts", "1 hour", "value")
+    rolled = jobs.tumbling_rollup(event_stream(spark, sf_dir), ["event_type"], "ts", "1 hour", "value")
     out = plain_time(run_to_table(rolled, "rollup"), "bucket")
     return out.select("bucket", "event_type", "n", F.round("avg_value", 4).alias("avg_value"), F.round("max_value", 4).alias("max_value"))
 
@@ -57,7 +57,7 @@ def stream_rollup(spark, sf_dir):
     """,
 )
 def stream_sliding(spark, sf_dir):
-    rolled = pipe.sliding_rollup(event_stream(spark, sf_dir), ["event_type"], "ts", "12 hours", "1 hour")
+    rolled = jobs.sliding_rollup(event_stream(spark, sf_dir), ["event_type"], "ts", "12 hours", "1 hour")
     return plain_time(run_to_table(rolled, "sliding"), "bucket")
 
 
@@ -67,7 +67,7 @@ def stream_sliding(spark, sf_dir):
 )
 def stream_dedup(spark, sf_dir):
     entries = event_stream(spark, sf_dir).select("ts", (F.col("user_id") * 100 + k_of(F.col("props"))).alias("entry"))
-    kept = run_to_table(pipe.deduplicated(entries, "entry", "ts", "40 days"), "dedup")
+    kept = run_to_table(jobs.deduplicated(entries, "entry", "ts", "40 days"), "dedup")
     return kept.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("entry").alias("distinct_entries"))
 
 
@@ -84,8 +84,8 @@ def stream_route(spark, sf_dir):
         # The epoch names the folder, so a replayed micro-batch overwrites its own output.
         return lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{out}/route={name}/epoch={epoch}")
 
-    running = pipe.start_routed(
-        event_stream(spark, sf_dir), lambda batch: pipe.scored_routes(batch, "value", 100.0),
+    running = jobs.start_routed(
+        event_stream(spark, sf_dir), lambda batch: jobs.scored_routes(batch, "value", 100.0),
         {"anomalies": sink("anomalies"), "clean": sink("clean")}, f"{out}-state",
     )
     running.awaitTermination()

@@ -29,6 +29,14 @@ def micros(values: pd.Series) -> np.ndarray:
     return pd.to_datetime(values).to_numpy().astype("datetime64[us]").astype("int64")
 
 
+def replace_list(state, rows: list) -> None:
+    """A list state may not be written empty."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 class RunningIndex(StatefulProcessor):
     """Adds ``row_index``: how many rows of the key came before, over all micro-batches."""
 
@@ -101,7 +109,7 @@ class TrainingWindow(StatefulProcessor):
         if total >= self.min_history and total - trained >= self.min_increment:
             held = sorted(self.rows.get()) if self.rows.exists() else []
             held = held[-max(self.max_history, total - trained) :]
-            self.rows.put(held)
+            replace_list(self.rows, held)
             trained = total
         self.totals.update((total, trained, top))
         if held:
@@ -133,7 +141,7 @@ class SnapshotWindows(StatefulProcessor):
             window = ids[start : start + self.size]
             if window[-1] - window[0] == self.size - 1:
                 out.append((str(key[0]), f"{window[0]}-{window[-1]}", [v for i in window for v in known[i]]))
-        self.pending.put([(i, json.dumps(known[i])) for i in ids[1 - self.size :]] if self.size > 1 else [])
+        replace_list(self.pending, [(i, json.dumps(known[i])) for i in ids[1 - self.size :]] if self.size > 1 else [])
         if out:
             yield pd.DataFrame(out, columns=["key", "sequence", "data"])
 
@@ -154,49 +162,59 @@ class WindowedFlags(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bins = handle.getMapState("bins", "bin BIGINT", "n BIGINT")
+        self.bins = handle.getValueState("bins", "counts STRING")
         self.held = handle.getListState("held", "bin BIGINT, id BIGINT")
         self.first = handle.getValueState("first", "bin BIGINT")
 
+    def counts(self) -> dict[int, int]:
+        """Events per bin, from the bins an open window still needs."""
+        return {int(b): n for b, n in json.loads(self.bins.get()[0]).items()} if self.bins.exists() else {}
+
+    def due_ms(self, middle: int) -> int:
+        return (middle + self.half + 1) * self.resolution * 1000
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         lowest = self.first.get()[0] if self.first.exists() else None
-        due: set[int] = set()
+        fresh: dict[int, int] = {}
         for part in rows:
             bins = micros(part[self.ts]) // (self.resolution * 1_000_000)
             for b, n in zip(*np.unique(bins, return_counts=True)):
-                old = self.bins.getValue((int(b),))[0] if self.bins.containsKey((int(b),)) else 0
-                self.bins.updateValue((int(b),), (int(old + n),))
-                due.add(int(b))
-                lowest = int(b) if lowest is None else min(lowest, int(b))
+                fresh[int(b)] = fresh.get(int(b), 0) + int(n)
             self.held.appendList([(int(b), int(i)) for b, i in zip(bins, part[self.row_id])])
-        if lowest is not None:
-            self.first.update((lowest,))
-        for b in due:
-            self.handle.registerTimer((b + self.half + 1) * self.resolution * 1000)
+        if fresh:
+            counts = self.counts()
+            for b, n in fresh.items():
+                counts[b] = counts.get(b, 0) + n
+            self.bins.update((json.dumps(counts),))
+            self.first.update((min(fresh) if lowest is None else min(lowest, min(fresh)),))
+            # One timer, for the earliest window; it reschedules itself.
+            self.handle.registerTimer(self.due_ms(min(fresh)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() // (self.resolution * 1000) - 1
-        middle = end - self.half
-        start = middle - self.half
+        watermark = timerValues.getCurrentWatermarkInMs()
         held = list(self.held.get()) if self.held.exists() else []
-        ready = [i for b, i in held if b <= middle]
-        now = {i for b, i in held if b == middle}
-        self.held.put([(b, i) for b, i in held if b > middle])
-        hit = False
-        if self.hot or self.first.get()[0] <= start:
-            signal = np.zeros(end - start + 1)
-            for (b,), (n,) in self.bins.iterator():
-                if start <= b <= end:
-                    signal[b - start] = n
-            hit = self.half in set(anomalous_points(signal, self.percentile, self.zthresh))
-        for (b,), _ in list(self.bins.iterator()):
-            if b < start:
-                self.bins.removeKey((b,))
-        if ready:
-            yield pd.DataFrame(
-                {"user": [str(key[0])] * len(ready), "row_id": ready, "ts_anomaly": [hit and i in now for i in ready]}
-            )
+        counts = self.counts()
+        first = self.first.get()[0]
+        ready = sorted({b for b, _ in held if self.due_ms(b) <= watermark})
+        if not ready:
+            return iter(())
+        flagged = set()
+        for middle in ready:
+            start = middle - self.half
+            if self.hot or first <= start:
+                signal = np.array([counts.get(b, 0) for b in range(start, middle + self.half + 1)])
+                if self.half in anomalous_points(signal, self.percentile, self.zthresh):
+                    flagged.add(middle)
+        done = set(ready)
+        rest = [(b, i) for b, i in held if b not in done]
+        replace_list(self.held, rest)
+        keep_from = min((b for b, _ in rest), default=ready[-1] + 1) - self.half
+        self.bins.update((json.dumps({b: n for b, n in counts.items() if b >= keep_from}),))
+        if rest:
+            self.handle.registerTimer(self.due_ms(min(b for b, _ in rest)))
+        out = [(str(key[0]), i, b in flagged) for b, i in held if b in done]
+        return iter([pd.DataFrame(out, columns=["user", "row_id", "ts_anomaly"])])
 
     def close(self) -> None:
         pass
