@@ -56,8 +56,7 @@ def int_to_ip(number: Column) -> Column:
     return F.concat_ws(".", *octets)
 
 
-def _in_blocks(ip: Column, blocks: list[tuple[str, int]]) -> Column:
-    number = ip_to_int(ip)
+def in_blocks(number: Column, blocks: list[tuple[str, int]]) -> Column:
     inside = F.lit(False)
     for first, prefix in blocks:
         low = _number(first)
@@ -65,28 +64,42 @@ def _in_blocks(ip: Column, blocks: list[tuple[str, int]]) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
+def classes(number: Column) -> dict[str, Column]:
+    """Every class predicate of an address number, for use on a column computed once by ``ip_to_int``."""
+    private = in_blocks(number, PRIVATE_BLOCKS)
+    return {
+        "private": private,
+        "global": ~private & ~in_blocks(number, SHARED_BLOCKS),
+        "reserved": in_blocks(number, RESERVED_BLOCKS),
+        "loopback": in_blocks(number, LOOPBACK_BLOCKS),
+        "link_local": in_blocks(number, LINK_LOCAL_BLOCKS),
+        "multicast": in_blocks(number, MULTICAST_BLOCKS),
+        "unspecified": F.coalesce(number == 0, F.lit(False)),
+    }
+
+
 def is_private(ip: Column) -> Column:
-    return _in_blocks(ip, PRIVATE_BLOCKS)
+    return classes(ip_to_int(ip))["private"]
 
 
 def is_global(ip: Column) -> Column:
-    return ~_in_blocks(ip, PRIVATE_BLOCKS) & ~_in_blocks(ip, SHARED_BLOCKS)
+    return classes(ip_to_int(ip))["global"]
 
 
 def is_reserved(ip: Column) -> Column:
-    return _in_blocks(ip, RESERVED_BLOCKS)
+    return classes(ip_to_int(ip))["reserved"]
 
 
 def is_loopback(ip: Column) -> Column:
-    return _in_blocks(ip, LOOPBACK_BLOCKS)
+    return classes(ip_to_int(ip))["loopback"]
 
 
 def is_link_local(ip: Column) -> Column:
-    return _in_blocks(ip, LINK_LOCAL_BLOCKS)
+    return classes(ip_to_int(ip))["link_local"]
 
 
 def is_multicast(ip: Column) -> Column:
-    return _in_blocks(ip, MULTICAST_BLOCKS)
+    return classes(ip_to_int(ip))["multicast"]
 
 
 def is_unspecified(ip: Column) -> Column:

@@ -220,10 +220,29 @@ def clean_token_spacing(text: Column) -> Column:
     return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), TOKEN_SPACING, text)
 
 
-def tokens_by_label(tokens: Column, labels: Column) -> Column:
-    """Map from label to its space-joined tokens; a sub-word (``##x`` or ``.x``) keeps the last label."""
-    indexed = F.arrays_zip(labels.alias("label"), tokens.alias("token"))
-    carried = F.aggregate(
+def tokens_by_label(df: DataFrame, tokens: str, labels: str, out: str) -> DataFrame:
+    """Add a map from label to its space-joined tokens; a sub-word (``##x`` or ``.x``) keeps the last label.
+
+    Each step is its own projection, so that an array is built once per row however often it is used.
+    """
+    pairs = F.transform(F.arrays_zip(labels, tokens), lambda p: F.struct(p[labels].alias("label"), p[tokens].alias("token")))
+    rows = df.withColumn("_pairs", pairs).withColumn("_carried", _carried(F.col("_pairs")))
+    rows = rows.withColumn("_names", F.array_distinct("_carried.label"))
+    texts = F.transform(
+        "_names",
+        lambda name: F.struct(
+            name.alias("key"),
+            F.array_join(
+                F.transform(F.filter("_carried", lambda x: x["label"] == name), lambda x: x["token"]), " "
+            ).alias("value"),
+        ),
+    )
+    return rows.withColumn(out, F.map_from_entries(texts)).drop("_pairs", "_carried", "_names")
+
+
+def _carried(indexed: Column) -> Column:
+    """Pairs with each sub-word's label replaced by that of the last whole word; leading sub-words drop out."""
+    return F.aggregate(
         indexed,
         F.struct(
             F.lit(None).cast("string").alias("last"),
@@ -232,18 +251,6 @@ def tokens_by_label(tokens: Column, labels: Column) -> Column:
         lambda acc, x: _carry_label(acc, x),
         lambda acc: acc["out"],
     )
-    names = F.array_distinct(F.transform(carried, lambda x: x["label"]))
-    return F.map_from_entries(
-        F.transform(
-            names,
-            lambda name: F.struct(
-                name.alias("key"),
-                F.array_join(
-                    F.transform(F.filter(carried, lambda x: x["label"] == name), lambda x: x["token"]), " "
-                ).alias("value"),
-            ),
-        )
-    )
 
 
 def _carry_label(acc: Column, x: Column) -> Column:
@@ -261,7 +268,10 @@ def entity_text(label_map: Column, entity: str) -> Column:
 
 
 def token_windows(tokens: Column, length: int, stride: int, pad: str = "[PAD]") -> Column:
-    """Array of structs(start, tokens, mask): padded windows of ``length`` tokens every ``stride``."""
+    """Array of structs(start, tokens, mask): padded windows of ``length`` tokens every ``stride``.
+
+    ``tokens`` should be a plain column: an expression would be evaluated again for every window.
+    """
     n = F.size(tokens)
     last = F.greatest(F.lit(0), F.ceil((n - length) / stride).cast("int"))
 

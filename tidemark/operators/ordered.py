@@ -11,7 +11,7 @@ run inside (key, block) and a small per-block carry joins the blocks up again. R
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -94,67 +94,81 @@ def running_sum(
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """0-based position of each row within its key."""
-    blocks = blocked(df, keys, order)
-    within = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    rows = blocks.rows.withColumn(out, (F.row_number().over(within) - 1).cast("long"))
-    if blocks.hot is not None:
-        earlier = (
-            Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carry = (
-            blocks.hot.groupBy(*keys, BLOCK)
-            .agg(F.count(F.lit(1)).alias("_s"))
-            .withColumn("_carry", F.sum("_s").over(earlier))
-            .filter(F.col("_carry").isNotNull())
-            .drop("_s")
-        )
-        rows = (
-            _with_carry(rows, carry, keys)
-            .withColumn(out, F.col(out) + F.coalesce(F.col("_carry"), F.lit(0)))
-            .drop("_carry")
-        )
-    return rows.drop(BLOCK)
+    return running_columns(df, keys, order, index=[out])
 
 
 def running_distinct(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str
 ) -> DataFrame:
     """How many distinct values a key has shown so far, the current row included."""
-    df = df.withColumn("_d", value)
+    return running_columns(df, keys, order, distinct={out: value})
+
+
+def running_columns(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    index: Sequence[str] = (),
+    distinct: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Row positions and running distinct counts of the same keys and order, from one measurement and one shuffle."""
+    distinct = dict(distinct or {})
+    df = df.withColumns({f"_d_{out}": value for out, value in distinct.items()})
     blocks = blocked(df, keys, order)
-    # Placing rows by key first lets the (key, value) window below reuse that placement.
-    rows = blocks.rows
-    if keys or blocks.hot is not None:
+    rows, hot = blocks.rows, blocks.hot
+    if distinct and (keys or hot is not None):
+        # Placing rows by key first lets every (key, value) window below reuse that placement.
         rows = rows.repartition(*keys, BLOCK)
-    first = Window.partitionBy(*keys, BLOCK, "_d").orderBy(*order)
-    rows = rows.withColumn("_new", (F.row_number().over(first) == 1).cast("long"))
-    if blocks.hot is not None:
-        seen = blocks.hot.groupBy(*keys, "_d", BLOCK).agg(F.lit(1).alias("_x"))
-        debut = Window.partitionBy(*keys, "_d").orderBy(BLOCK)
-        repeats = (
-            seen.withColumn("_rn", F.row_number().over(debut)).filter("_rn > 1")
-            .select(*keys, BLOCK, "_d", F.lit(True).alias("_repeat"))
-        )
-        new_per_block = (
-            seen.withColumn("_rn", F.row_number().over(debut))
-            .groupBy(*keys, BLOCK).agg(F.count_if(F.col("_rn") == 1).alias("_s"))
-        )
-        earlier = (
-            Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    for out in distinct:
+        first = Window.partitionBy(*keys, BLOCK, f"_d_{out}").orderBy(*order)
+        rows = rows.withColumn(f"_new_{out}", (F.row_number().over(first) == 1).cast("long"))
+        if hot is not None:
+            rows = _without_repeats(rows, hot, keys, out)
+    within = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns(
+        {
+            **{out: (F.row_number().over(within) - 1).cast("long") for out in index},
+            **{out: F.sum(f"_new_{out}").over(so_far) for out in distinct},
+        }
+    )
+    if hot is not None:
+        rows = _with_carry(rows, _block_offsets(hot, keys, list(index), list(distinct)), keys)
+        for out in [*index, *distinct]:
+            rows = rows.withColumn(out, F.col(out) + F.coalesce(F.col(f"_carry_{out}"), F.lit(0)))
+        rows = rows.drop(*[f"_carry_{out}" for out in [*index, *distinct]])
+    return rows.drop(BLOCK, *[f"_d_{o}" for o in distinct], *[f"_new_{o}" for o in distinct])
+
+
+def _value_debuts(hot: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Each (key, value, block) once, with its position among the blocks that show the value."""
+    seen = hot.groupBy(*keys, f"_d_{out}", BLOCK).agg(F.lit(1).alias("_x"))
+    spec = Window.partitionBy(*keys, f"_d_{out}").orderBy(BLOCK)
+    return seen.withColumn("_rn", F.row_number().over(spec))
+
+
+def _without_repeats(rows: DataFrame, hot: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """A value that an earlier block of the key has shown is not new in this one."""
+    repeats = _value_debuts(hot, keys, out).filter("_rn > 1").select(
+        *keys, BLOCK, f"_d_{out}", F.lit(True).alias("_repeat")
+    )
+    joined = _null_safe(rows, broadcast_if_small(repeats), [*keys, BLOCK, f"_d_{out}"], "left")
+    fresh = F.when(F.col("_repeat"), F.lit(0)).otherwise(F.col(f"_new_{out}"))
+    return joined.withColumn(f"_new_{out}", fresh).drop("_repeat")
+
+
+def _block_offsets(hot: DataFrame, keys: Sequence[str], index: Sequence[str], distinct: Sequence[str]) -> DataFrame:
+    """Per (key, block): what the earlier blocks of the key add up to, per output column."""
+    sizes = hot.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_rows"))
+    for out in distinct:
+        fresh = _value_debuts(hot, keys, out).groupBy(*keys, BLOCK).agg(
+            F.count_if(F.col("_rn") == 1).alias(f"_fresh_{out}")
         )
-        carry = new_per_block.withColumn("_carry", F.sum("_s").over(earlier)).filter(
-            F.col("_carry").isNotNull()
-        ).drop("_s")
-        rows = _null_safe(rows, broadcast_if_small(repeats), [*keys, BLOCK, "_d"], "left").withColumn(
-            "_new", F.when(F.col("_repeat"), F.lit(0)).otherwise(F.col("_new"))
-        ).drop("_repeat")
-        rows = _with_carry(rows, carry, keys)
-    else:
-        rows = rows.withColumn("_carry", F.lit(0))
-    within = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(
-        out, F.sum("_new").over(within) + F.coalesce(F.col("_carry"), F.lit(0))
-    ).drop(BLOCK, "_d", "_new", "_carry")
+        sizes = _null_safe(sizes, fresh, [*keys, BLOCK], "left")
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_carry_{out}": F.sum("_rows").over(earlier) for out in index}
+    sums.update({f"_carry_{out}": F.sum(f"_fresh_{out}").over(earlier) for out in distinct})
+    return sizes.withColumns(sums).select(*keys, BLOCK, *sums)
 
 
 def framed(

@@ -13,14 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
+from tidemark.session import durable
+
+
+def _value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Written down once: several passes follow, and the input may be costly to compute."""
+    return durable(
+        df.select(*keys, F.col(value).alias("_x"))
+        .filter("_x is not null")
+        .groupBy(*keys, "_x")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
     """One row per key with a column per name in ``wanted`` (linear interpolation); nulls are ignored."""
-    counts = (
-        df.select(*keys, F.col(value).alias("_x")).filter("_x is not null")
-        .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    )
+    counts = _value_counts(df, keys, value)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     placed = ordered.running_sum(counts, keys, ["_x"], F.col("_c"), "_upto")
     if keys:
@@ -47,10 +55,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[st
 
 def lower_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Median that takes the lower middle value of an even count, without interpolation."""
-    counts = (
-        df.select(*keys, F.col(value).alias("_x")).filter("_x is not null")
-        .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    )
+    counts = _value_counts(df, keys, value)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     placed = ordered.running_sum(counts, keys, ["_x"], F.col("_c"), "_upto")
     if keys:

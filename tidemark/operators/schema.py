@@ -206,8 +206,8 @@ class FeatureSchema:
         kept = preserved_columns(df.columns, self.preserve, {c.name for c in self.columns})
         if increments and self.row_id is None:
             raise ValueError("increment columns need row_id, the tie-break of the row order")
-        for spec in increments:
-            df = add_increment(df, spec, self.row_id)
+        if increments:
+            df = add_increments(df, increments, self.row_id)
         projected = [c.build(df).alias(c.name) for c in simple]
         projected += [F.col(c.name) for c in increments]
         out = df.select(*projected, *[F.col(f"`{c}`") for c in kept])
@@ -215,15 +215,31 @@ class FeatureSchema:
 
 
 def add_increment(df: DataFrame, spec: Increment | DistinctIncrement, row_id: str) -> DataFrame:
-    stamp = F.col(spec.timestamp)
-    if isinstance(spec, DistinctIncrement) and spec.null_time_to_epoch:
-        stamp = F.coalesce(stamp, F.lit("1970-01-01").cast("timestamp_ntz"))
-    df = df.withColumn("_period", F.date_trunc(spec.period, stamp))
-    keys, order = [spec.groupby, "_period"], [spec.timestamp, row_id]
-    if isinstance(spec, Increment):
-        return ordered.row_index(df, keys, order, spec.name).drop("_period")
-    value = F.coalesce(F.col(spec.source).cast("string"), F.lit("nan"))
-    return ordered.running_distinct(df, keys, order, value, spec.name).drop("_period")
+    return add_increments(df, [spec], row_id)
+
+
+def add_increments(df: DataFrame, specs: Sequence[Increment | DistinctIncrement], row_id: str) -> DataFrame:
+    """Increment columns; those with the same group and period are computed together."""
+    groups: dict[tuple, list] = {}
+    for spec in specs:
+        to_epoch = isinstance(spec, DistinctIncrement) and spec.null_time_to_epoch
+        groups.setdefault((spec.groupby, spec.timestamp, spec.period, to_epoch), []).append(spec)
+    for (groupby, timestamp, period, to_epoch), members in groups.items():
+        stamp = F.col(timestamp)
+        if to_epoch:
+            stamp = F.coalesce(stamp, F.lit("1970-01-01").cast("timestamp_ntz"))
+        df = ordered.running_columns(
+            df.withColumn("_period", F.date_trunc(period, stamp)),
+            [groupby, "_period"],
+            [timestamp, row_id],
+            index=[m.name for m in members if isinstance(m, Increment)],
+            distinct={
+                m.name: F.coalesce(F.col(m.source).cast("string"), F.lit("nan"))
+                for m in members
+                if isinstance(m, DistinctIncrement)
+            },
+        ).drop("_period")
+    return df
 
 
 def preserved_columns(names: Iterable[str], patterns: Sequence[str], taken: set[str]) -> list[str]:

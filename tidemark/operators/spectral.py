@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
-from tidemark.session import hot_rows
+from tidemark.session import by_key, hot_rows
 
 
 def periodogram(signal: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def count_anomalies(
         )
 
     signals = bins.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("s"))
-    hits = signals.withColumn("hits", detect(F.col("s.n").cast("array<double>")))
+    hits = by_key(signals, user).withColumn("hits", detect(F.col("s.n").cast("array<double>")))
     return hits.select(user, F.explode(F.transform("hits", lambda i: F.element_at("s", i + 1))).alias("h")).select(
         user, "h.bin", "h.n"
     )
@@ -87,7 +87,7 @@ def event_anomalies(
         hits = anomalous_points(pdf[signal].to_numpy(), percentile, zthresh)
         return pdf.iloc[hits][[user, ts, row_id, signal]]
 
-    return rows.groupBy(user, "_segment").applyInPandas(detect, df.select(user, ts, row_id, signal).schema)
+    return by_key(rows, user, "_segment").groupBy(user, "_segment").applyInPandas(detect, df.select(user, ts, row_id, signal).schema)
 
 
 def timeseries_flags(
@@ -114,7 +114,7 @@ def timeseries_flags(
     def detect(bins: pd.Series, ns: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
         return pd.Series([_flag_batches(*x, half, hot_start, cold_end, percentile, zthresh) for x in zip(bins, ns, lows, highs)])
 
-    found = counts.join(batches, user).withColumn(
+    found = by_key(counts.join(batches, user), user).withColumn(
         "f", F.explode(detect(F.col("c._bin"), F.col("c.n"), F.col("b.lo"), F.col("b.hi")))
     )
     flagged = found.select(

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import risk
 from tidemark.operators import filters, ordered, schema as sc, users
-from tidemark.plans.base import DETECTIONS_SQL, K_SQL, SCORED_SQL, detections, events, keyed_events, scored
+from tidemark.plans.base import (
+    DETECTIONS_SQL,
+    K_SQL,
+    SCORED_SQL,
+    detections,
+    events,
+    keyed_events,
+    scored,
+    with_baseline,
+)
 from tidemark.registry import query
 
 
@@ -408,11 +417,11 @@ def replayed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def min_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Increments, per-user z-score, threshold, severity and the most anomalous users."""
-    df = keyed_events(spark, sf_dir)
-    df = sc.add_increment(df, sc.Increment("logcount", "user_id", "ts"), "event_id")
-    df = sc.add_increment(df, sc.DistinctIncrement("appincrement", "event_type", "user_id", "ts"), "event_id")
-    from tidemark.plans.base import with_baseline
-
+    increments = [
+        sc.Increment("logcount", "user_id", "ts"),
+        sc.DistinctIncrement("appincrement", "event_type", "user_id", "ts"),
+    ]
+    df = sc.add_increments(events(spark, sf_dir).drop("props"), increments, "event_id")
     scored_rows = with_baseline(df, ["user_id"], "value").withColumn("score", F.abs("z"))
     hits = scored_rows.filter("score > 2").withColumn("severity", risk.severity(F.col("score")))
     return (

@@ -9,7 +9,7 @@ from tidemark.operators import flows, profiles as prof, snapshots
 from tidemark.operators.quantiles import quantiles
 from tidemark.plans.base import K_SQL, SCORED_SQL, events, keyed_events, scored
 from tidemark.registry import query
-from tidemark.session import table
+from tidemark.session import spread, table
 
 PACKETS_SQL = f"""(
   SELECT event_id, epoch_us(ts) AS t, '10.0.' || (user_id // 250) || '.' || (user_id % 250) || ':' || (1000 + {K_SQL}) || '=192.168.0.1:'
@@ -80,7 +80,7 @@ def snapshot_rows(spark, sf_dir):
     names = F.when(
         flag == "A", F.concat(F.lit("\\Device\\HarddiskVolume1\\Windows\\f"), part, F.lit(".docx.lock"))
     ).otherwise(F.concat(F.lit("\\Device\\HarddiskVolume1\\Users\\u\\g"), part, F.lit(".txt")))
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.year("l_shipdate").cast("bigint").alias("snapshot_id"),
         F.col("l_shipdate").alias("timestamp"),
         plugin.alias("plugin"),

@@ -8,7 +8,7 @@ from tidemark.functions import risk
 from tidemark.operators import graph, ordered, search, vectors as vec
 from tidemark.plans.base import DETECTIONS_SQL, as_of, detections
 from tidemark.registry import query
-from tidemark.session import table
+from tidemark.session import spread, table
 
 CENTROIDS_SQL = """(
   SELECT label, list(mean ORDER BY i) AS centre FROM (
@@ -131,7 +131,8 @@ TOKENS_SQL = """(
 
 
 def token_table(spark, sf_dir):
-    return search.index(table(spark, sf_dir, "documents"), "doc_id", {"source": "A", "lang": "B", "text": "C"})
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return search.index(docs, "doc_id", {"source": "A", "lang": "B", "text": "C"})
 
 
 @query(

@@ -9,7 +9,7 @@ from tidemark.operators import graph, learning, scoring as sco, spectral, travel
 from tidemark.plans.base import DETECTIONS_SQL, K_SQL, detections, events, keyed_events, with_baseline
 from tidemark.plans.sequences import located
 from tidemark.registry import query
-from tidemark.session import table
+from tidemark.session import spread, table
 
 ROWS_SQL = f"(SELECT event_id, user_id, ts, value, {K_SQL} AS k, event_type AS app FROM events)"
 SPLIT_SQL = f"(SELECT CAST(user_id AS VARCHAR) AS su, * FROM {ROWS_SQL} UNION ALL SELECT 'generic_user', * FROM {ROWS_SQL})"
@@ -326,7 +326,7 @@ def representation_pca(spark, sf_dir):
 
 @query("text_classifier")
 def text_classifier(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.lit(0.9).alias("weight"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.lit(0.9).alias("weight")))
     model = learning.text_classifier("text", "lang", "weight").fit(docs)
     return learning.classify(model, docs).select("doc_id", "lang", "predicted", F.round("confidence", 4).alias("confidence"))
 

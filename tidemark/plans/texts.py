@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import logs, net, risk, text as tx, urls
 from tidemark.plans.base import DETECTIONS_SQL, K_SQL, detections, events, keyed_events
 from tidemark.registry import query
-from tidemark.session import table
+from tidemark.session import spread, table
 
 # Detection patterns of the query below; a caller passes its own table of types.
 PATTERNS = {
@@ -30,7 +30,7 @@ HITS_SQL = (
 
 
 def lines(spark, sf_dir):
-    return tx.paragraphs(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return tx.paragraphs(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id")
 
 
 @query("paragraphs", f"SELECT original_source_index, count(*) AS lines, max(line_no) AS last_line, CAST(sum(length(source_text)) AS BIGINT) AS chars FROM {LINES_SQL} GROUP BY 1")
@@ -86,7 +86,7 @@ def chunk_text(spark, sf_dir):
 @query("chunk_separators")
 def chunk_separators(spark, sf_dir):
     chunker = tx.separator_chunks(512, 51)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(chunker(F.col("text"))).alias("chunk_no", "chunk")
     )
 
@@ -173,12 +173,11 @@ def block_sql(blocks):
     """,
 )
 def ip_functions(spark, sf_dir):
-    ip = F.col("ip")
-    return addresses(spark, sf_dir).select(
-        "event_id", net.ip_to_int(ip).alias("number"), net.int_to_ip(net.ip_to_int(ip)).alias("back"), net.is_ip(ip).alias("valid"),
-        net.is_private(ip).alias("private"), net.is_global(ip).alias("global"), net.is_reserved(ip).alias("reserved"),
-        net.is_loopback(ip).alias("loopback"), net.is_link_local(ip).alias("link_local"), net.is_multicast(ip).alias("multicast"),
-        net.is_unspecified(ip).alias("unspecified"), net.netmask(16).alias("netmask"), net.hostmask(16).alias("hostmask"),
+    ip, number = F.col("ip"), F.col("number")
+    return addresses(spark, sf_dir).withColumn("number", net.ip_to_int(ip)).select(
+        "event_id", "number", net.int_to_ip(number).alias("back"), net.is_ip(ip).alias("valid"),
+        *[c.alias(n) for n, c in net.classes(number).items()],
+        net.netmask(16).alias("netmask"), net.hostmask(16).alias("hostmask"),
         net.mask(ip, net.netmask(16)).alias("masked"), net.subnet24(ip).alias("subnet"),
     )
 
@@ -186,7 +185,7 @@ def ip_functions(spark, sf_dir):
 @query(
     "keyword_search",
     """
-    SELECT doc_id, n_chars FROM documents WHERE lower(text) LIKE '%password%' OR lower(text) LIKE '%secret%' OR lower(source) LIKE '%password%' OR lower(source) LIKE '%secret%'
+    SELECT doc_id, n_chars FROM documents WHERE lower(text) LIKE '%license%' OR lower(text) LIKE '%token%' OR lower(source) LIKE '%license%' OR lower(source) LIKE '%token%'
     ORDER BY n_chars DESC, doc_id LIMIT 50
     """,
 )
@@ -194,7 +193,7 @@ def keyword_search(spark, sf_dir):
     from tidemark.operators import dashboards as dash
 
     found = dash.keyword_search(
-        table(spark, sf_dir, "documents"), ["text", "source"], ["password", "secret"], [F.desc("n_chars"), F.asc("doc_id")], 50
+        table(spark, sf_dir, "documents"), ["text", "source"], ["license", "token"], [F.desc("n_chars"), F.asc("doc_id")], 50
     )
     return found.select("doc_id", "n_chars")
 
@@ -284,6 +283,12 @@ def detection_sentences(spark, sf_dir):
     )
 
 
+def tokenised(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.split("text", " ").alias("tok")
+    )
+
+
 @query(
     "token_windows",
     """
@@ -293,9 +298,7 @@ def detection_sentences(spark, sf_dir):
     """,
 )
 def token_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(tx.token_windows(F.split("text", " "), 64, 48)).alias("w")
-    )
+    rows = tokenised(spark, sf_dir).select("doc_id", F.explode(tx.token_windows(F.col("tok"), 64, 48)).alias("w"))
     used = F.aggregate("w.mask", F.lit(0), lambda a, x: a + x)
     return rows.select("doc_id", "w.start", "w.tokens", used.alias("used")).select(
         "doc_id", "start", "used", F.md5(F.array_join(F.slice("tokens", F.lit(1), F.col("used")), " ")).alias("hash")
@@ -308,9 +311,7 @@ def token_windows(spark, sf_dir):
 )
 def reassembled_windows(spark, sf_dir):
     """Windows without overlap, put together again: the log-parsing re-assembly on whole texts."""
-    windows = table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(tx.token_windows(F.split("text", " "), 64, 64)).alias("w")
-    )
+    windows = tokenised(spark, sf_dir).select("doc_id", F.explode(tx.token_windows(F.col("tok"), 64, 64)).alias("w"))
     used = F.aggregate("w.mask", F.lit(0), lambda a, x: a + x)
     slices = windows.select("doc_id", "w.start", F.slice("w.tokens", F.lit(1), used).alias("tokens"))
     out = tx.reassemble_slices(slices, "doc_id", "start", ["tokens"])
@@ -327,9 +328,10 @@ def reassembled_windows(spark, sf_dir):
 )
 def labelled_entities(spark, sf_dir):
     tokens = F.filter(F.split("text", " "), lambda t: (t != "") & ~t.startswith("."))
-    labels = F.transform(tokens, lambda t: F.when(F.char_length(t) > 9, "B-word").when(F.char_length(t) > 7, "I-word").otherwise("O"))
-    by_label = tx.tokens_by_label(tokens, labels)
-    rows = table(spark, sf_dir, "conversations").withColumn("m", by_label)
+    labels = F.transform("tok", lambda t: F.when(F.char_length(t) > 9, "B-word").when(F.char_length(t) > 7, "I-word").otherwise("O"))
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    rows = rows.select("conv_id", "turn", tokens.alias("tok")).withColumn("lab", labels)
+    rows = tx.tokens_by_label(rows, "tok", "lab", "m")
     return rows.select(
         "conv_id", "turn", F.coalesce(F.col("m")["B-word"], F.lit("")).alias("long_words"),
         F.coalesce(F.col("m")["I-word"], F.lit("")).alias("mid_words"),

@@ -84,6 +84,21 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the scan has fewer splits than that (a few small files).
+
+    With many files, the usual case at scale, the frame is returned as it is and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Place rows by key in ``spark.sql.shuffle.partitions`` tasks. The number is explicit, so adaptive
+    execution, which sizes partitions by bytes, does not merge them in front of costly Python work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, for tables and stream checkpoints a job writes."""
     ensure_checkpoint_dir(spark)
