@@ -131,15 +131,20 @@ def entity_coverage(edges: DataFrame, rels: Sequence[str]) -> DataFrame:
     )
 
 
+def paired_edges(df: DataFrame, a: Column, b: Column, forth: str, back: str) -> DataFrame:
+    """Edges in both directions between two columns; each pair is made unique once, before it is doubled."""
+    pairs = df.select(a.alias("a"), b.alias("b")).distinct()
+    ends = F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(forth).alias("rel")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(back).alias("rel")),
+    )
+    return pairs.select(F.explode(ends).alias("e")).select("e.*")
+
+
 def transaction_edges(df: DataFrame, client: str, transaction: str, merchant: str) -> DataFrame:
     """Four typed edges per transaction row: buy, bought, issued, sell."""
     c, t, m = (vertex(n, F.col(x)) for n, x in (("client", client), ("transaction", transaction), ("merchant", merchant)))
-    rows = [(c, t, "buy"), (t, c, "bought"), (t, m, "issued"), (m, t, "sell")]
-    return df.select(
-        F.explode(
-            F.array(*[F.struct(a.alias("src"), b.alias("dst"), F.lit(r).alias("rel")) for a, b, r in rows])
-        ).alias("e")
-    ).select("e.*").distinct()
+    return paired_edges(df, c, t, "buy", "bought").unionByName(paired_edges(df, t, m, "issued", "sell"))
 
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:

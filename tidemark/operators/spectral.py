@@ -17,33 +17,41 @@ from tidemark.operators import ordered
 from tidemark.session import by_key, hot_rows
 
 
-def periodogram(signal: np.ndarray) -> np.ndarray:
-    """Energy per frequency of the standardised signal."""
-    centred = signal - signal.mean()
-    spread = signal.std()
-    if spread != 0:
-        centred = centred / spread
-    return np.abs(np.fft.fft(centred)) ** 2 / len(signal)
+def periodogram(signals: np.ndarray) -> np.ndarray:
+    """Energy per frequency of each standardised signal (last axis)."""
+    centred = signals - signals.mean(-1, keepdims=True)
+    spread = signals.std(-1, keepdims=True)
+    return np.abs(np.fft.fft(centred / np.where(spread == 0, 1.0, spread))) ** 2 / signals.shape[-1]
+
+
+def anomaly_mask(
+    signals: np.ndarray, percentile: float = 90, zthresh: float = 8, lowpass: float | None = None
+) -> np.ndarray:
+    """Points of each equally long signal (rows) that a low-energy-filtered reconstruction misses by
+    ``zthresh`` deviations or more."""
+    n = signals.shape[-1]
+    energy = periodogram(signals)[..., : n // 2 + 1]
+    if lowpass:
+        positions = np.arange(energy.shape[-1])
+        drop = np.broadcast_to(positions >= int(np.percentile(positions, lowpass)), energy.shape)
+    else:
+        drop = energy < np.percentile(energy, percentile, axis=-1, keepdims=True)
+    spectrum = np.where(drop, 0, np.fft.rfft(signals, n=n))
+    error = np.abs(np.fft.irfft(spectrum, n=n) - signals)
+    spread = error.std(-1, keepdims=True)
+    distance = np.abs(error - error.mean(-1, keepdims=True))
+    z = np.where(spread == 0, 0.0, distance / np.where(spread == 0, 1.0, spread))
+    return z >= zthresh
 
 
 def anomalous_points(
     signal: np.ndarray, percentile: float = 90, zthresh: float = 8, lowpass: float | None = None
 ) -> np.ndarray:
-    """Indices that a low-energy-filtered reconstruction misses by ``zthresh`` deviations or more."""
-    signal = np.asarray(signal, dtype=float)
-    n = len(signal)
-    if n == 0:
+    """Indices of the anomalous points of one signal."""
+    values = np.asarray(signal, dtype=float)
+    if len(values) == 0:
         return np.array([], dtype=int)
-    energy = periodogram(signal)[: n // 2 + 1]
-    if lowpass:
-        drop = np.arange(len(energy)) >= int(np.percentile(np.arange(len(energy)), lowpass))
-    else:
-        drop = energy < np.percentile(energy, percentile)
-    spectrum = np.where(drop, 0, np.fft.rfft(signal, n=n))
-    error = np.abs(np.fft.irfft(spectrum, n=n) - signal)
-    spread = error.std()
-    z = np.abs(error - error.mean()) / spread if spread != 0 else np.zeros(n)
-    return np.flatnonzero(z >= zthresh)
+    return np.flatnonzero(anomaly_mask(values[None, :], percentile, zthresh, lowpass)[0])
 
 
 def count_signal(df: DataFrame, user: str, ts: str, width: str = "1 hour") -> DataFrame:
@@ -112,7 +120,24 @@ def timeseries_flags(
 
     @F.pandas_udf("array<struct<pos:int,bin:int>>")
     def detect(bins: pd.Series, ns: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
-        return pd.Series([_flag_batches(*x, half, hot_start, cold_end, percentile, zthresh) for x in zip(bins, ns, lows, highs)])
+        windows = [
+            (row, *window)
+            for row, user_bins in enumerate(zip(bins, ns, lows, highs))
+            for window in _batch_windows(*user_bins, half, hot_start, cold_end)
+        ]
+        out: list[list[dict]] = [[] for _ in range(len(bins))]
+        by_length: dict[int, list] = {}
+        for window in windows:
+            by_length.setdefault(len(window[-1]), []).append(window)
+        # Windows of one length, of all users in the batch, are transformed together.
+        for same in by_length.values():
+            hits = anomaly_mask(np.stack([w[-1] for w in same]), percentile, zthresh)
+            for (row, position, low, high, _), mask in zip(same, hits):
+                for i in np.flatnonzero(mask):
+                    value = low - half - 1 + int(i)
+                    if low <= value <= high:
+                        out[row].append({"pos": position, "bin": value})
+        return pd.Series(out)
 
     found = by_key(counts.join(batches, user), user).withColumn(
         "f", F.explode(detect(F.col("c._bin"), F.col("c.n"), F.col("b.lo"), F.col("b.hi")))
@@ -124,10 +149,10 @@ def timeseries_flags(
     return out.withColumn("ts_anomaly", F.coalesce("_hit", F.lit(False))).drop("_hit", "_bin")
 
 
-def _flag_batches(bins, counts, lows, highs, half, hot_start, cold_end, percentile, zthresh):
+def _batch_windows(bins, counts, lows, highs, half, hot_start, cold_end):
+    """(position, low, high, signal) of the batches that have the window they need."""
     bins, counts = np.asarray(bins), np.asarray(counts)
     warm = hot_start
-    out = []
     for position, (low, high) in enumerate(zip(lows, highs)):
         start, end = low - half, high + half
         if bins[0] > start and not warm:
@@ -135,12 +160,8 @@ def _flag_batches(bins, counts, lows, highs, half, hot_start, cold_end, percenti
         warm = True
         if bins[-1] < end and cold_end:
             continue
-        inside = (bins >= start) & (bins <= end)
+        first, last = np.searchsorted(bins, [start, end + 1])
         # One empty bin in front, and the last bin counted together with the one before it.
         signal = np.zeros(end - start + 1)
-        np.add.at(signal, np.minimum(bins[inside] - (start - 1), end - start), counts[inside])
-        for i in anomalous_points(signal, percentile, zthresh):
-            value = start - 1 + int(i)
-            if low <= value <= high:
-                out.append({"pos": position, "bin": value})
-    return out
+        np.add.at(signal, np.minimum(bins[first:last] - (start - 1), end - start), counts[first:last])
+        yield position, low, high, signal

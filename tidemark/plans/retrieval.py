@@ -143,7 +143,8 @@ def token_table(spark, sf_dir):
     """,
 )
 def weighted_fts(spark, sf_dir):
-    found = search.match(token_table(spark, sf_dir), "doc_id", ["the", "and", "en"], 20)
+    words = ["the", "and", "en"]
+    found = search.match(token_table(spark, sf_dir), "doc_id", words, 20)
     return found.withColumn("rank_score", F.round("rank_score", 6))
 
 
@@ -306,11 +307,10 @@ HETERO_SQL = """(
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 
 
-def transactions(spark, sf_dir):
+def transaction_rows(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    rows = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
-    return graph.transaction_edges(rows, "o_custkey", "o_orderkey", "l_suppkey")
+    return items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
 
 
 @query(
@@ -321,7 +321,8 @@ def transactions(spark, sf_dir):
     """,
 )
 def hetero_edges(spark, sf_dir):
-    return transactions(spark, sf_dir).groupBy("rel").agg(
+    edges = graph.transaction_edges(transaction_rows(spark, sf_dir), "o_custkey", "o_orderkey", "l_suppkey")
+    return edges.groupBy("rel").agg(
         F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets")
     )
 
@@ -338,7 +339,9 @@ def hetero_edges(spark, sf_dir):
     """,
 )
 def neighbour_mean(spark, sf_dir):
-    edges = transactions(spark, sf_dir).filter("rel in ('issued', 'sell')")
+    rows = transaction_rows(spark, sf_dir)
+    transaction, merchant = graph.vertex("transaction", F.col("o_orderkey")), graph.vertex("merchant", F.col("l_suppkey"))
+    edges = graph.paired_edges(rows, transaction, merchant, "issued", "sell")
     orders = graph.standardise(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"])
     features = orders.select(graph.vertex("transaction", F.col("o_orderkey")).alias("id"), F.col("o_totalprice").alias("price"))
     out = graph.neighbour_mean(edges, features, ["price"], 2)
