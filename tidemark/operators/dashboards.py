@@ -426,12 +426,9 @@ def keyword_search(df: DataFrame, columns: Sequence[str], words: Sequence[str],
         for w in words:
             hit = hit | F.coalesce(F.lower(F.col(c)).contains(w.lower()), F.lit(False))
     found = df.filter(hit).orderBy(*order).limit(k).withColumn("search_type", F.lit("keyword"))
-    best = df.orderBy(*order).limit(k).withColumn("search_type", F.lit("top_risk"))
-    # One row per found match decides the fallback: an anti join on a constant, k rows on either side.
-    none_found = best.withColumn("_one", F.lit(1)).join(
-        F.broadcast(found.select(F.lit(1).alias("_one")).limit(1)), "_one", "left_anti"
-    ).drop("_one")
-    return found.unionByName(none_found)
+    if df.filter(hit).limit(1).count():
+        return found
+    return df.orderBy(*order).limit(k).withColumn("search_type", F.lit("top_risk"))
 
 
 def anomaly_predicate(
@@ -455,8 +452,5 @@ def anomaly_predicate(
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """One page of an ordered list, with ``total_items`` on every row."""
-    total = df.agg(F.count(F.lit(1)).alias("total_items"))
     shown = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    return shown.withColumn("_one", F.lit(1)).join(
-        F.broadcast(total.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one")
+    return shown.withColumn("total_items", F.lit(df.count()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
 from tidemark.operators.quantiles import quantiles
+from tidemark.session import durable
 
 
 def value_counts(df: DataFrame, user: str, dimensions: Sequence[str]) -> DataFrame:
@@ -26,10 +27,10 @@ def top_values(df: DataFrame, user: str, dimensions: Sequence[str], k: int) -> D
     return ordered.top_k(value_counts(df, user, dimensions), [user, "dim"], k, F.desc("n"), F.asc("value"))
 
 
-def _shares(df: DataFrame, user: str, part: Column, name: str) -> DataFrame:
-    counts = df.groupBy(user, part.alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(user).agg(F.sum("n").alias("total"))
-    return counts.join(totals, user)
+def _shares(counts: DataFrame, user: str, dim: str, dtype: str = "string") -> DataFrame:
+    """Counts of one dimension with the user's total."""
+    rows = counts.filter(F.col("dim") == dim).select(user, F.col("value").cast(dtype).alias(dim), "n")
+    return rows.join(rows.groupBy(user).agg(F.sum("n").alias("total")), user)
 
 
 def activity_hours(df: DataFrame, user: str, ts: str) -> DataFrame:
@@ -37,8 +38,9 @@ def activity_hours(df: DataFrame, user: str, ts: str) -> DataFrame:
 
     Works on at most 24 + 7 counted rows per user.
     """
-    hours = _shares(df, user, F.hour(ts), "hour")
-    days = _shares(df, user, F.weekday(ts), "day")
+    dated = df.select(user, F.hour(ts).alias("hour"), F.weekday(ts).alias("day"))
+    counts = durable(value_counts(dated, user, ["hour", "day"]))
+    hours, days = _shares(counts, user, "hour", "int"), _shares(counts, user, "day", "int")
 
     def at_least(share: float) -> Column:
         return F.col("n") >= F.greatest(F.lit(1.0), F.col("total") * share)
@@ -64,19 +66,22 @@ def activity_hours(df: DataFrame, user: str, ts: str) -> DataFrame:
 def behaviour_baseline(
     df: DataFrame, user: str, ts: str, app: str, location: str, common_apps: Sequence[str]
 ) -> DataFrame:
-    """Normal behaviour of each user as one row."""
-    apps = _shares(df, user, F.col(app), "app")
+    """Normal behaviour of each user as one row, from one counting pass and one daily pass over the rows."""
+    shaped = df.select(
+        user, F.col(app).alias("app"), F.col(location).alias("place"), F.hour(ts).alias("hour"),
+        F.weekday(ts).alias("day"), F.to_date(ts).alias("date"),
+    )
+    counts = durable(value_counts(shaped, user, ["app", "place", "hour", "day"]))
     frequent = F.col("n") > F.col("total") * 0.05
-    by_app = ordered.top_k(apps, [user], 10, F.desc("n"), F.asc("app"))
-    typical = by_app.groupBy(user).agg(
+    apps = _shares(counts, user, "app")
+    typical = ordered.top_k(apps, [user], 10, F.desc("n"), F.asc("app")).groupBy(user).agg(
         F.array_compact(F.array_sort(F.collect_list(F.when(frequent, F.struct("rank", "app"))))["app"]).alias("typical_apps")
     )
-    touched = apps.groupBy(user).agg(
-        F.collect_set(F.when(F.col("app").isin(*common_apps), F.col("app"))).alias("_seen")
-    )
     known = F.array(*[F.lit(a) for a in common_apps])
-    never = touched.select(user, F.array_except(known, "_seen").alias("never_accessed"))
-    places = _shares(df, user, F.col(location), "place")
+    never = apps.groupBy(user).agg(
+        F.array_except(known, F.collect_set(F.when(F.col("app").isin(*common_apps), F.col("app")))).alias("never_accessed")
+    )
+    places = _shares(counts, user, "place", df.schema[location].dataType.simpleString())
     top_places = ordered.top_k(places, [user], 3, F.desc("n"), F.asc("place")).groupBy(user).agg(
         F.array_sort(F.collect_list(F.struct("rank", "place")))["place"].alias("typical_locations")
     )
@@ -84,15 +89,15 @@ def behaviour_baseline(
     pattern = places.groupBy(user).agg(
         F.when(variety == 1, "stationary").when(variety <= 3, "occasional").otherwise("frequent").alias("travel_pattern")
     )
-    hours = _shares(df, user, F.hour(ts), "hour").groupBy(user).agg(
+    hours = _shares(counts, user, "hour", "int").groupBy(user).agg(
         F.coalesce(F.min(F.when(frequent, F.col("hour"))), F.lit(9)).alias("work_start"),
         F.coalesce(F.max(F.when(frequent, F.col("hour"))), F.lit(17)).alias("work_end"),
     )
-    days = _shares(df, user, F.weekday(ts), "day").groupBy(user).agg(
+    days = _shares(counts, user, "day", "int").groupBy(user).agg(
         F.sort_array(F.collect_list(F.when(frequent, F.col("day")))).alias("work_days")
     )
-    daily = df.groupBy(user, F.to_date(ts).alias("date")).agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct(app).alias("apps")
+    daily = durable(
+        shaped.groupBy(user, "date").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("app").alias("apps"))
     )
     ranges = quantiles(daily, [user], "events", {"p10": 0.1, "p90": 0.9}).select(
         user, F.col("p10").cast("int").alias("activity_min"), F.col("p90").cast("int").alias("activity_max")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import lower_median
 from tidemark.operators.users import GENERIC, split_users
+from tidemark.session import durable
 
 OTHER = "_other"
 
@@ -31,8 +32,10 @@ class Model:
 
 def vocabulary(rows: DataFrame, feature: str, min_cats: int, alpha: float) -> tuple[DataFrame, DataFrame]:
     """(kept values with smoothed probability, probability of every other value) per user."""
-    counts = rows.groupBy("split_user", F.coalesce(F.col(feature).cast("string"), F.lit("nan")).alias("value")).agg(
-        F.count(F.lit(1)).alias("c")
+    counts = durable(
+        rows.groupBy("split_user", F.coalesce(F.col(feature).cast("string"), F.lit("nan")).alias("value")).agg(
+            F.count(F.lit(1)).alias("c")
+        )
     )
     kept = counts.filter(F.col("c") >= min_cats)
     totals = counts.groupBy("split_user").agg(
@@ -76,9 +79,13 @@ def _losses(rows: DataFrame, model: Model) -> DataFrame:
 def fit(
     df: DataFrame, user: str, numeric: Sequence[str], categorical: Sequence[str], min_cats: int = 1, alpha: float = 1.0
 ) -> Model:
-    """Fingerprint of every user and of the generic user."""
+    """Fingerprint of every user and of the generic user.
+
+    The aggregates are written down as they are made, so the rows are read once per step and scoring
+    reads the stored model instead of fitting it again.
+    """
     rows = split_users(df, user)
-    users = numeric_stats(rows, numeric)
+    users = durable(numeric_stats(rows, numeric))
     categories, defaults = {}, users.select("split_user")
     for c in categorical:
         categories[c], other = vocabulary(rows, c, min_cats, alpha)
@@ -89,7 +96,8 @@ def fit(
         *[F.avg(f"{f}_loss").alias(f"lm_{f}") for f in features],
         *[F.stddev_pop(f"{f}_loss").alias(f"ls_{f}") for f in features],
     )
-    model.users = users.join(scale, "split_user")
+    model.users = durable(users.join(scale, "split_user"))
+    model.defaults = defaults
     return model
 
 
@@ -117,7 +125,11 @@ def with_model_user(df: DataFrame, user: str, model: Model, min_rows: int = 1) -
 
 def score(df: DataFrame, user: str, model: Model, return_abs: bool = True, min_rows: int = 1, scaler: str = "z") -> DataFrame:
     """Input columns plus pred, loss and z_loss per feature, max_abs_z, mean_abs_z, z_loss_scaler_type."""
-    rows = _losses(with_model_user(df, user, model, min_rows), model)
+    return _scored(with_model_user(df, user, model, min_rows), model, return_abs, scaler)
+
+
+def _scored(df: DataFrame, model: Model, return_abs: bool = True, scaler: str = "z") -> DataFrame:
+    rows = _losses(df, model)
     zs = []
     for f in [*model.numeric, *model.categorical]:
         spread = F.coalesce(F.nullif(F.col(f"ls_{f}"), F.lit(0.0)), F.lit(1.0))
@@ -133,11 +145,17 @@ def score(df: DataFrame, user: str, model: Model, return_abs: bool = True, min_r
 
 def compare_models(df: DataFrame, user: str, model: Model) -> DataFrame:
     """Per user: mean score under its own model, under the generic one, and the difference."""
-    own = score(df, user, model)
-    generic = score(df.withColumn("_all", F.lit(GENERIC)), "_all", model)
-    a = own.groupBy(user).agg(F.avg("mean_abs_z").alias("own_error"))
-    b = generic.groupBy(user).agg(F.avg("mean_abs_z").alias("generic_error"))
-    return a.join(b, user).withColumn("gain", F.col("generic_error") - F.col("own_error"))
+    kinds = F.array(
+        F.struct(F.lit("own").alias("kind"), F.col("split_user").alias("name")),
+        F.struct(F.lit("generic").alias("kind"), F.lit(GENERIC).alias("name")),
+    )
+    both = with_model_user(df, user, model).withColumn("_k", F.explode(kinds))
+    rows = _scored(both.withColumn("split_user", F.col("_k.name")), model)
+    errors = rows.groupBy(user).agg(
+        F.avg(F.when(F.col("_k.kind") == "own", F.col("mean_abs_z"))).alias("own_error"),
+        F.avg(F.when(F.col("_k.kind") == "generic", F.col("mean_abs_z"))).alias("generic_error"),
+    )
+    return errors.withColumn("gain", F.col("generic_error") - F.col("own_error"))
 
 
 def validation_split(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, fraction: float) -> DataFrame:
