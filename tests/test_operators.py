@@ -214,6 +214,12 @@ def test_function_source(spark):
     assert sorted(map(tuple, got.collect())) == [(p, n) for p in (0, 1) for n in range(3)]
 
 
+def test_counted(spark):
+    df, watch = stages.counted(spark.range(7), "seen")
+    df.collect()
+    assert watch.get["rows"] == 7
+
+
 def test_stage_needs_columns(spark):
     @stages.stage(needs=["missing"])
     def step(df):

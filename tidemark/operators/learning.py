@@ -52,6 +52,12 @@ def classify(model, df: DataFrame) -> DataFrame:
     )
 
 
+def document_scores(df: DataFrame, doc: str, probs: str, outputs: int) -> DataFrame:
+    """Scores of a document from those of its windows: the largest per output, combined before the shuffle."""
+    best = df.groupBy(doc).agg(*[F.max(F.col(probs)[i]).alias(f"_p{i}") for i in range(outputs)])
+    return best.select(doc, F.array(*[F.col(f"_p{i}") for i in range(outputs)]).alias(probs))
+
+
 def risk_regressor(df: DataFrame, features: Sequence[str], target: str, trees: int = 10, seed: int = 7):
     return Pipeline(
         stages=[

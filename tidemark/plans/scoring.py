@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import risk
+from tidemark.functions.text import window_chunks
 from tidemark.operators import graph, learning, scoring as sco, spectral, travel as tr
 from tidemark.plans.base import DETECTIONS_SQL, K_SQL, detections, events, keyed_events, with_baseline
 from tidemark.plans.sequences import located
@@ -340,6 +341,26 @@ def risk_regressor(spark, sf_dir):
     return learning.predict_risk(model, rows).select("event_id", "target", F.round("predicted_risk", 4).alias("predicted_risk"))
 
 
+@query(
+    "document_scores",
+    """
+    WITH w AS (SELECT doc_id, substring(text, i * 200 + 1, 200) AS part FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil(length(text) / 200.0) AS INTEGER)))) AS i FROM documents WHERE length(text) > 0))
+    SELECT doc_id, round(max(length(regexp_replace(part, '[^0-9]', '', 'g')) / 200.0), 6) AS digits, round(max(length(regexp_replace(part, '[^A-Z]', '', 'g')) / 200.0), 6) AS capitals FROM w GROUP BY 1
+    """,
+)
+def document_scores(spark, sf_dir):
+    """Two simple scores per text window, and the document's scores from its windows."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    parts = docs.select("doc_id", F.explode(window_chunks(F.col("text"), 200, 0)).alias("part"))
+
+    def share(pattern):
+        return F.char_length(F.regexp_replace("part", pattern, "")) / 200.0
+
+    windows = parts.select("doc_id", F.array(share("[^0-9]"), share("[^A-Z]")).alias("probs"))
+    out = learning.document_scores(windows, "doc_id", "probs", 2)
+    return out.select("doc_id", F.round(F.col("probs")[0], 6).alias("digits"), F.round(F.col("probs")[1], 6).alias("capitals"))
+
+
 @query("risk_contributions")
 def risk_contributions(spark, sf_dir):
     rows, f = risk_rows(spark, sf_dir)

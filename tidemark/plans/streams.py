@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.base import K_SQL, k_of
 from tidemark.registry import query
-from tidemark.session import configure, scratch_dir, table
+from tidemark.session import configure, few_local_partitions, scratch_dir, table
+from tidemark.sinks import writers
 from tidemark.streaming import jobs, state
 
 
@@ -24,11 +25,12 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     """Run a stream over what is there now and return the table it wrote."""
     spark = stream.sparkSession
     out = scratch_dir(spark, name)
-    query_run = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-        .option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    )
-    query_run.awaitTermination()
+    with few_local_partitions(spark):
+        running = (
+            stream.writeStream.format("parquet").outputMode(mode).option("path", out)
+            .option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -142,6 +144,17 @@ def stream_snapshots(spark, sf_dir):
     return out.select("key", "sequence", F.aggregate("data", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+@query("stream_collections", "SELECT 'label_' || label AS collection, count(*) AS n FROM embeddings GROUP BY 1")
+def stream_collections(spark, sf_dir):
+    """Vectors streamed into one folder per collection."""
+    rows = table(spark, sf_dir, "embeddings")
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    out = scratch_dir(spark, "collections")
+    tagged = stream.withColumn("collection", F.concat(F.lit("label_"), F.col("label").cast("string")))
+    writers.start_collections(tagged, out, f"{out}-state", available_now=True).awaitTermination()
+    return spark.read.parquet(out).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_newer_only", "SELECT count(*) AS n FROM events")
 def stream_newer_only(spark, sf_dir):
     state.rocksdb(spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,20 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+@contextmanager
+def few_local_partitions(spark: SparkSession):
+    """In a single-JVM session, no more shuffle partitions than cores: each holds a state store of its own.
+    A cluster's setting is left alone."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, for tables and stream checkpoints a job writes."""
     ensure_checkpoint_dir(spark)

@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 STAGES: dict[str, Callable[..., DataFrame]] = {}
@@ -80,6 +81,12 @@ def source(name: str, schema: str, partitions: int = 1):
     return wrap
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The frame with a row counter that fills in as an action runs: ``observation.get["rows"]``."""
+    watch = Observation(name)
+    return df.observe(watch, F.count(F.lit(1)).alias("rows")), watch
+
+
 FORBIDDEN = re.compile(
     r"\b(insert|update|delete|drop|alter|create|truncate|merge|grant|revoke|cache|set|add|refresh|load|use)\b", re.I
 )
