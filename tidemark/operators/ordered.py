@@ -216,12 +216,11 @@ def fill_last(
 ) -> DataFrame:
     """Carry the nearest earlier (or, with ``forward=False``, later) non-null value onto each row."""
     blocks = blocked(df, keys, order)
-    base = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
-    if forward:
-        pick = F.last(source, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        pick = F.first(source, ignorenulls=True).over(base.rowsBetween(0, Window.unboundedFollowing))
+    # Backward fill reads the rows in reverse: a frame that ends at the last row would be recomputed per row.
+    direction = F.asc if forward else F.desc
+    base = Window.partitionBy(*keys, BLOCK).orderBy(*[direction(c) for c in order])
+    across = Window.partitionBy(*keys).orderBy(direction(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.last(source, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
     rows = blocks.rows.withColumn(out, pick)
     if blocks.hot is not None:
         known = F.col(source).isNotNull()
@@ -229,10 +228,7 @@ def fill_last(
         edges = blocks.hot.groupBy(*keys, BLOCK).agg(
             nearest(F.col(source), F.when(known, F.struct(*order))).alias("_e")
         )
-        if forward:
-            carry = F.last("_e", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-        else:
-            carry = F.first("_e", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+        carry = F.last("_e", ignorenulls=True).over(across)
         edges = edges.withColumn("_carry", carry).filter(F.col("_carry").isNotNull()).drop("_e")
         rows = _with_carry(rows, edges, keys).withColumn(
             out, F.coalesce(F.col(out), F.col("_carry"))
