@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, exact, mixing
+from tidemark import session
+from tidemark.llm import common, exact, language, mixing, pii, quality, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -37,3 +38,49 @@ def op9_exact_dedup(spark, sf_dir):
 def op4_source_mixture(spark, sf_dir):
     mixed = mixing.mixture(common.documents(spark, sf_dir))
     return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "weight", "target", "taken")
+
+
+@query("op1_pii_spans")
+def op1_pii_spans(spark, sf_dir):
+    """Counts of the base kinds, a hash of the base spans, and all spans with their scores."""
+    found = pii.pii_spans(common.documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(k) for k in pii.BASE_KINDS],
+        F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+        F.transform("spans", lambda s: s["score"]).alias("scores"),
+    )
+
+
+@query("op6_token_files")
+def op6_token_files(spark, sf_dir):
+    """Writes the token files and answers from them."""
+    import public_tokenizers
+
+    docs = common.documents(spark, sf_dir)
+    folder = session.scratch_dir(spark, "tokens")
+    tokens.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    starts = tokens.token_starts(spark, folder)
+    return tokens.digests(spark, folder).join(starts, "at").select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    judged = quality.judged(common.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed_rules", ",").alias("failed_rules"),
+    )
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    held_out = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4 == 2
+    model = language.fit(docs.filter(~held_out & docs["lang"].isNotNull()))
+    predicted = language.identified(docs, model).withColumnRenamed("id", "doc_id")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
