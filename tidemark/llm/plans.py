@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import common, exact, language, mixing, pii, quality, tokens
+from tidemark.llm import common, exact, language, mixing, neardup, pii, quality, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -84,3 +84,28 @@ def op10_language_id(spark, sf_dir):
     predicted = language.identified(docs, model).withColumnRenamed("id", "doc_id")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     return predicted.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+@query(
+    "op5_near_duplicates",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+                     ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || chr(1) || ws[i + 1]) END) AS sh FROM w),
+    n AS (SELECT doc_id, len(sh) AS n_shingles FROM s),
+    e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+    rare AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+             GROUP BY ALL),
+    l AS (SELECT a, b FROM rare JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)),
+    sym AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, sym.b FROM r JOIN sym ON r.seen = sym.a)
+    SELECT n.doc_id, n_shingles, min(seen) AS component_id, n.doc_id = min(seen) AS kept
+    FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n_shingles
+    """,
+)
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(common.documents(spark, sf_dir), words=2).withColumnRenamed("id", "doc_id")
