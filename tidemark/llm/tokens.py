@@ -7,12 +7,14 @@ never touches the ids. Ids repeat, so they are dictionary encoded; sorted metada
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +31,21 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 ENCODERS: dict = {}
 
 
-def split(text: str) -> list[str]:
-    """Units of a text: cut before each single space between two other characters."""
-    if not text:
-        return []
-    odd = text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text
-    if odd or OTHER_SPACE.search(text):
-        return BOUNDARY.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + word for word in rest]]
+def plain(text: str) -> bool:
+    """Whether white space is only single spaces inside the text and line feeds away from them."""
+    odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
+    return not odd and not OTHER_SPACE.search(text)
 
 
 class UnitEncoder:
-    """Encodes a text unit by unit, where units are what the vocabulary's own splitting never joins.
+    """Encodes texts unit by unit, where units are what the vocabulary's own splitting never joins.
 
     Units seen lately are remembered in two generations: when the younger is full, it becomes the older one.
     """
 
     def __init__(self, path: str):
+        # Spark already runs a worker on every core; threads inside them would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,25 +53,53 @@ class UnitEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        units = split(text)
-        missing = [u for u in dict.fromkeys(units) if u not in self.young]
+    def ids_of(self, units: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of different units."""
+        missing = [u for u in units if u not in self.young]
         if len(missing) + len(self.young) > REMEMBERED and self.young:
             self.old, self.young = self.young, {}
-            missing = list(dict.fromkeys(units))
-        new = []
-        for u in missing:
-            ids = self.old.get(u)
-            if ids is None:
-                new.append(u)
-            else:
-                self.young[u] = ids
+            missing = units
+        again = [u for u in missing if u in self.old]
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        new = [u for u in missing if u not in self.old]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.young[u] = array("I", e.ids).tobytes()
-        return b"".join(map(self.young.__getitem__, units))
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.young.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, found))
+        return list(map(self.young.__getitem__, units))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and their number in each text.
+
+        Almost every text is cut at single spaces and its words are counted off by Arrow; a text with other white
+        space is cut by pattern.
+        """
+        simple = [k for k, t in enumerate(texts) if plain(t)]
+        cut = pc.split_pattern(pa.array([texts[k] for k in simple], pa.large_string()), pattern=" ")
+        coded = pc.dictionary_encode(pc.list_flatten(cut)) if simple else None
+        units = [" " + w for w in coded.dictionary.to_pylist()] if simple else []
+        codes = coded.indices.to_numpy().astype(np.int64) if simple else np.empty(0, np.int64)
+        sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        place = {u: k for k, u in enumerate(units)}
+        name = lambda u: place.setdefault(u, len(place))
+        codes[starts] = [name(texts[k].partition(" ")[0]) for k in simple]
+        by_text: list = [None] * len(texts)
+        for k, a, n in zip(simple, starts.tolist(), sizes.tolist()):
+            by_text[k] = codes[a : a + n]
+        for k, text in enumerate(texts):
+            if by_text[k] is None:
+                by_text[k] = np.array([name(u) for u in BOUNDARY.split(text)], np.int64)
+        codes = np.concatenate([np.empty(0, np.int64), *by_text])
+        data = self.ids_of(list(place))
+        flat = np.frombuffer(b"".join(data), "<u4")
+        length = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        offset = np.cumsum(length) - length
+        n = length[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(offset[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, by_text)])]
+        return ids, np.diff(upto)
 
 
 def encoder(path: str) -> UnitEncoder:
@@ -86,12 +113,13 @@ def encoded(rows: DataFrame, path: str, end: int | None = END) -> DataFrame:
 
     def run(batches):
         coder = encoder(path)
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for batch in batches:
-            data = [coder.encode(t.as_py()) + tail for t in batch.column("text")]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets).astype(np.int64)), ids], ["id", "n_tokens", "ids"])
+            ids, counts = coder.encode(batch.column("text").to_pylist())
+            if end is not None:
+                ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), lists], ["id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, "id long, n_tokens long, ids array<int>")
 
