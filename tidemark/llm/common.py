@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,12 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def release(spark: SparkSession) -> None:
+    """Between written tables: let Spark notice that earlier shuffles are unreachable, so that their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,19 +33,19 @@ ALPHA = 1.0
 SPACE = "▁"
 #: Spaces with the characters up to the next space; a line feed is a unit of its own.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 STORES: dict = {}
 #: Characters of texts searched together.
-SLICE = 500_000
+SLICE = 1_000_000
 #: Stands for the vocabulary's mark where a text itself has that character; no text can hold a lone surrogate.
 MARK = "\ud800"
+FACTOR = 0x9E3779B97F4A7C15
 STEP, LANE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SAMPLE = pa.struct(
     [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("inclusion", pa.float64())]
 )
 
 
-@dataclass
 class Vocabulary:
     """Pieces with log-probabilities, and the ids of single bytes for characters without a piece.
 
@@ -53,39 +53,67 @@ class Vocabulary:
     which makes them probabilities of the right shape without any training.
     """
 
-    ids: dict[str, int]
-    weight: np.ndarray
-    text: list[bytes]
-    byte_ids: list[int]
-    longest: int = 0
-    byte_weight: float = 0.0
-
-    @classmethod
-    def load(cls, path: str) -> Vocabulary:
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        ids, byte_ids, text = {}, [0] * 256, [b""] * n
-        rank = np.zeros(n)
+        self.text, self.byte_ids = [b""] * n, [0] * 256
+        rank, normal = np.full(n, float(n)), []
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                byte_ids[int(piece[3:5], 16)] = i
-                text[i] = bytes([int(piece[3:5], 16)])
+                self.byte_ids[int(piece[3:5], 16)] = i
+                self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                ids[piece] = i
-                text[i] = piece.replace(SPACE, " ").encode()
+                self.text[i] = piece.replace(SPACE, " ").encode()
+                normal.append((piece, i))
                 # Normal pieces carry minus their merge rank; what was added by hand is rare but usable.
                 rank[i] = -model.get_score(i) if model.get_score(i) > -1e8 else n
+        self.longest = max(len(piece) for piece, _ in normal)
         weight = -np.log(rank + 10.0)
-        weight -= np.log(np.exp(weight[list(ids.values())]).sum())
-        return cls(ids, weight, text, byte_ids, max(map(len, ids)), float(weight.min()) - 1.0)
+        weight -= np.log(np.exp(weight[[i for _, i in normal]]).sum())
+        self.byte_weight = float(weight.min()) - 1.0
+        # A symbol is a piece, or a character spelt in bytes, whose ids lie in ``spelt`` at ``begin``.
+        self.weight, self.begin, self.spelt = weight, np.arange(n + 1), np.arange(n, dtype=np.int32)
+        self.spelling: dict[int, int] = {}
+        keys = np.zeros(len(normal), np.uint64)
+        for k, (piece, _) in enumerate(normal):
+            h = 0
+            for c in piece:
+                h = (h * FACTOR + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            keys[k] = h
+        order = np.argsort(keys)
+        self.keys, self.symbols = keys[order], np.array([i for _, i in normal])[order]
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[slot(self.keys)] = True
+
+    def spell(self, code: int) -> int:
+        """The symbol of a character without a piece."""
+        if code not in self.spelling:
+            data = (SPACE if code == ord(MARK) else chr(code)).encode()
+            self.spelling[code] = len(self.weight)
+            self.spelt = np.append(self.spelt, np.array([self.byte_ids[b] for b in data], np.int32))
+            self.begin = np.append(self.begin, len(self.spelt))
+            self.weight = np.append(self.weight, self.byte_weight * len(data))
+        return self.spelling[code]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The piece of each key, or -1."""
+        out = np.full(len(keys), -1)
+        maybe = np.flatnonzero(self.likely[slot(keys)])
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        hit = self.keys[at] == keys[maybe]
+        out[maybe[hit]] = self.symbols[at[hit]]
+        return out
 
     def decode(self, ids) -> str:
-        """The text of a segmentation; the leading space of the first piece was added by ``encode``."""
-        data = b"".join(map(self.text.__getitem__, ids))
-        return data[1:].decode("utf-8", "surrogatepass") if data[:1] == b" " else data.decode("utf-8", "surrogatepass")
+        """The text of a segmentation, without the space that was put before it."""
+        return b"".join(map(self.text.__getitem__, ids))[1:].decode()
+
+
+def slot(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys) >> np.uint64(44)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -94,17 +122,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def lane_step(step: int, by: np.uint64) -> np.uint64:
+    return np.uint64(step * int(by) & 0xFFFFFFFFFFFFFFFF)
+
+
 def uniform(stream: np.ndarray, step: int) -> np.ndarray:
     """Numbers strictly between 0 and 1 that depend on a stream and a step only."""
-    return ((mixed(stream + np.uint64(step) * STEP) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((mixed(stream + lane_step(step, STEP)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Store:
     """Lattices of the different units seen, side by side in arrays.
 
     A node is a position in a unit; the edges of a node are neighbours. ``share`` is an edge's probability among all
-    continuations of its node, from the masses of all segmentations of the rest of the unit; ``upto`` is the node's
-    number plus the running sum of shares, so that one sorted search draws edges for many nodes.
+    continuations of its node, from the masses of all segmentations of the rest of the unit; ``rest`` is what the
+    node's other edges have.
     """
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
@@ -113,82 +145,90 @@ class Store:
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self.nodes = self.edges = self.flat = 0
+        self.nodes = self.edges = 0
         self.first = np.zeros(1 << 16, np.int64)
-        self.to, self.offset = np.zeros((2, 1 << 17), np.int64)
-        self.share, self.rest, self.upto = np.zeros((3, 1 << 17))
-        self.node = np.zeros(1 << 17, np.int64)
-        self.ids = np.zeros(1 << 17, np.int32)
-
-    def unit_edges(self, unit: str) -> tuple[list, list]:
-        """Edges (end, ids) by node, and their shares; the log mass of a node sums over all ways to finish."""
-        n, ids, weight = len(unit), self.vocabulary.ids, self.vocabulary.weight
-        longest, alpha = self.vocabulary.longest, self.alpha
-        edges, shares, after = [None] * n, [None] * n, [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            here, x = [], []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = ids.get(unit[i:j])
-                if piece is not None:
-                    here.append((j, (piece,)))
-                    x.append(alpha * weight[piece] + after[j])
-            if not here or here[0][0] != i + 1:
-                data = SPACE.encode() if unit[i] == MARK else unit[i].encode()
-                here.append((i + 1, tuple(self.vocabulary.byte_ids[b] for b in data)))
-                x.append(alpha * self.vocabulary.byte_weight * len(data) + after[i + 1])
-            edges[i] = here
-            if len(x) == 1:
-                after[i], shares[i] = x[0], [1.0]
-            else:
-                top = max(x)
-                e = [math.exp(v - top) for v in x]
-                total = sum(e)
-                after[i], shares[i] = top + math.log(total), [v / total for v in e]
-        return edges, shares
+        self.to, self.symbol = np.zeros((2, 1 << 17), np.int32)
+        self.share, self.rest = np.zeros((2, 1 << 17))
 
     def learn(self, units: list[str]) -> None:
+        """Add the lattices of units not known yet, all at once: edges by length, masses from the units' ends."""
         if len(self.start) > REMEMBERED:
             self.clear()
-        first, to, share, rest, upto, node, offset, ids = [], [], [], [], [], [], [], []
-        at, edge, flat = self.nodes, self.edges, self.flat
-        for unit in units:
-            if unit in self.start:
-                continue
-            self.start[unit] = base = at
-            n = len(unit)
-            for here, shares in zip(*self.unit_edges(unit)):
-                first.append(edge)
-                total = 0.0
-                for (end, piece_ids), p in zip(here, shares):
-                    total += p
-                    to.append(base + end if end < n else -1)
-                    share.append(p)
-                    rest.append(max(0.0, sum(shares) - p) if len(shares) > 1 else 0.0)
-                    upto.append(at + total)
-                    node.append(at)
-                    offset.append(flat)
-                    ids.extend(piece_ids)
-                    flat += len(piece_ids)
-                    edge += 1
-                upto[-1] = at + 1.0
-                at += 1
-        self.first = grown(self.first, self.nodes, [*first, edge])
-        for name, values in (("to", to), ("share", share), ("rest", rest), ("upto", upto), ("node", node)):
+        units = [u for u in units if u not in self.start]
+        if not units:
+            return
+        v = self.vocabulary
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        n = len(codes)
+        left = np.repeat(ends, sizes) - np.arange(n)
+        nodes, keys = np.arange(n), np.zeros(n, np.uint64)
+        found = []
+        for length in range(1, v.longest + 1):
+            go = left[nodes] >= length
+            nodes, keys = nodes[go], keys[go] * np.uint64(FACTOR) + codes[nodes[go] + length - 1]
+            symbol = v.find(keys)
+            if length == 1:
+                for k in np.flatnonzero(symbol < 0):
+                    symbol[k] = v.spell(int(codes[k]))
+            hit = symbol >= 0
+            found.append((nodes[hit], np.full(int(hit.sum()), length), symbol[hit]))
+        node, length, symbol = (np.concatenate(x) for x in zip(*found))
+        weight = self.alpha * v.weight[symbol]
+
+        # Nodes by their distance from the end of the unit, edges of a node side by side.
+        order = np.argsort((left[node] << 40) + (node << 5) + length)
+        node, length, symbol, weight = node[order], length[order], symbol[order], weight[order]
+        share, rest, after = np.empty(len(node)), np.empty(len(node)), np.zeros(n + 1)
+        bounds = np.flatnonzero(np.diff(left[node], prepend=0))
+        for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(node)]):
+            begin = np.flatnonzero(np.diff(node[a:b], prepend=-1))
+            many = np.diff(begin, append=b - a)
+            target = node[a:b] + length[a:b]
+            x = weight[a:b] + np.where(length[a:b] == left[node[a:b]], 0.0, after[target])
+            top = np.repeat(np.maximum.reduceat(x, begin), many)
+            e = np.exp(x - top)
+            total = np.add.reduceat(e, begin)
+            largest = x == top
+            # What is left beside the largest edge is summed without it, so that little is not lost.
+            others = np.where(largest, np.repeat(np.add.reduceat(np.where(largest, 0.0, e), begin), many), np.repeat(total, many) - e)
+            ties = np.repeat(np.add.reduceat(largest.astype(np.int64), begin), many)
+            others = np.where(largest, others + ties - 1, others)
+            share[a:b], rest[a:b] = e / np.repeat(total, many), others / np.repeat(total, many)
+            after[node[a:b][begin]] = top[begin] + np.log(total)
+
+        order = np.lexsort((-share, node))
+        node, length, symbol, share, rest = node[order], length[order], symbol[order], share[order], rest[order]
+        begin = np.flatnonzero(np.diff(node, prepend=-1))
+        to = np.where(length == left[node], -1, node + length + self.nodes)
+        self.start.update(zip(units, (self.nodes + ends - sizes).tolist()))
+        self.first = grown(self.first, self.nodes, np.append(begin, len(node)) + self.edges)
+        for name, values in (("to", to), ("symbol", symbol), ("share", share), ("rest", rest)):
             setattr(self, name, grown(getattr(self, name), self.edges, values))
-        self.offset = grown(self.offset, self.edges, [*offset, flat])
-        self.ids = grown(self.ids, self.flat, ids)
-        self.nodes, self.edges, self.flat = at, edge, flat
+        self.nodes, self.edges = self.nodes + n, self.edges + len(node)
 
     def starts(self, units: list[str]) -> np.ndarray:
         return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
 
+    def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each node; a node's likeliest edges come first, so few are passed over."""
+        edge, last = self.first[nodes], self.first[nodes + 1] - 1
+        on = np.arange(len(nodes))
+        while len(on):
+            share = self.share[edge[on]]
+            u_on = u[on]
+            go = (u_on >= share) & (edge[on] < last[on])
+            on = on[go]
+            u[on] = u_on[go] - share[go]
+            edge[on] += 1
+        return edge
+
     def draw(self, nodes: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ancestral samples from each node to its unit's end: edges of all in order, and the number of each."""
-        upto = self.upto[: self.edges]
         at, who, steps = nodes, np.arange(len(nodes)), []
         while len(who):
-            edge = np.searchsorted(upto, at + uniform(streams[who], len(steps)), side="right")
-            edge = np.minimum(edge, self.first[at + 1] - 1)
+            edge = self.pick(at, uniform(streams[who], len(steps)))
             steps.append((who, edge))
             at = self.to[edge]
             go = at >= 0
@@ -203,13 +243,20 @@ class Store:
         return out, counts
 
     def ids_of(self, path: np.ndarray) -> np.ndarray:
-        a, n = self.offset[path], self.offset[path + 1] - self.offset[path]
-        if len(n) and n.max() > 1:
-            a = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.ids[a]
+        symbols, v = self.symbol[path], self.vocabulary
+        if not len(symbols) or symbols.max() < len(v.text):
+            return symbols
+        a = v.begin[symbols]
+        n = v.begin[symbols + 1] - a
+        return v.spelt[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def siblings(self, edge: int) -> range:
+        """All edges of the node that an edge leaves."""
+        node = int(np.searchsorted(self.first[: self.nodes + 1], edge, side="right")) - 1
+        return range(int(self.first[node]), int(self.first[node + 1]))
 
 
-def grown(array: np.ndarray, size: int, values: list) -> np.ndarray:
+def grown(array: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
     need = size + len(values)
     if need > len(array):
         array = np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)])
@@ -228,7 +275,7 @@ class Search:
     """The queue of one text: sets of paths that share edges of ``path`` up to ``at`` and leave it there."""
 
     starts: np.ndarray
-    stream: np.uint64
+    stream: np.ndarray
     queue: list = field(default_factory=list)
     found: list = field(default_factory=list)
     pending: tuple | None = None
@@ -249,9 +296,9 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
     split = [units_of(t) for t in texts]
     store.learn(list(dict.fromkeys(u for units in split for u in units)))
     streams = mixed(np.array(keys, np.int64).view(np.uint64) + STEP)
-    searches = [Search(store.starts(units), s) for units, s in zip(split, streams)]
+    searches = [Search(store.starts(units), s) for units, s in zip(split, np.split(streams, len(streams)))] if texts else []
     for s in searches:
-        root = -math.log(-math.log(float(uniform(s.stream[None], 1)[0])))
+        root = -math.log(-math.log(float(uniform(s.stream, 1)[0])))
         s.pending = (root, np.empty(0, np.int64), np.empty(0, np.int64), None, -1, frozenset())
     for turn in range(k):
         live = [s for s in searches if s.pending]
@@ -262,7 +309,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
             if edge is not None and store.to[edge] >= 0:
                 tail = np.concatenate([[store.to[edge]], tail])
             begin.append(tail)
-            lanes.append(mixed(s.stream + np.uint64(turn + 1) * STEP + np.arange(len(tail), dtype=np.uint64)[::-1] * LANE))
+            lanes.append(mixed(s.stream + lane_step(turn + 1, STEP) + np.arange(len(tail), dtype=np.uint64)[::-1] * LANE))
             sizes.append(len(tail))
         if not live:
             break
@@ -285,13 +332,11 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
             before = np.cumsum(logs) - logs
             left = store.rest[path[keep:]].copy()
             if edge is not None:
-                node = store.node[edge]
-                a, b = store.first[node], store.first[node + 1]
                 out = out | {int(edge)}
-                left[0] = sum(float(store.share[e]) for e in range(a, b) if e not in out)
+                left[0] = sum(float(store.share[e]) for e in store.siblings(edge) if e not in out)
             with np.errstate(divide="ignore"):
                 mass = before[keep:] + np.log(left)
-            lane = mixed(s.stream + np.uint64(turn + 1) * LANE + np.arange(keep, len(path), dtype=np.uint64) * STEP)
+            lane = mixed(s.stream + lane_step(turn + 1, LANE) + np.arange(keep, len(path), dtype=np.uint64) * STEP)
             best = truncated(mass, value, uniform(lane, 0))
             want = k - turn
             top = np.argpartition(-best, want)[:want] if len(best) > want else np.arange(len(best))
@@ -302,10 +347,9 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
             s.pending = None
             if s.queue and turn + 1 < k:
                 v, _, t, path, unit_of, taken = heapq.heappop(s.queue)
-                node = store.node[path[t]]
-                options = [e for e in range(store.first[node], store.first[node + 1]) if e not in taken]
+                options = [e for e in store.siblings(path[t]) if e not in taken]
                 weights = np.cumsum(store.share[options])
-                pick = np.searchsorted(weights, float(uniform(s.stream[None], turn + 7)[0]) * weights[-1])
+                pick = np.searchsorted(weights, float(uniform(s.stream, turn + 7)[0]) * weights[-1])
                 s.pending = (-v, path[:t], unit_of[:t], options[min(int(pick), len(options) - 1)], int(unit_of[t]), taken)
     out = []
     for s in searches:
@@ -317,7 +361,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
 
 def store_of(path: str, alpha: float) -> Store:
     if (path, alpha) not in STORES:
-        STORES[path, alpha] = Store(Vocabulary.load(path), alpha)
+        STORES[path, alpha] = Store(Vocabulary(path), alpha)
     return STORES[path, alpha]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import common, exact, language, mixing, neardup, pii, quality, tokens
+from tidemark.llm import common, exact, language, mixing, neardup, pieces, pii, quality, suffix, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -109,3 +109,22 @@ def op10_language_id(spark, sf_dir):
 )
 def op5_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(common.documents(spark, sf_dir), words=2).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_piece_samples")
+def op3_piece_samples(spark, sf_dir):
+    """Digests of three segmentations of every text, drawn without replacement."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    drawn = pieces.sampled(common.documents(spark, sf_dir), path, keep_ids=False)
+    each = lambda name: F.transform("samples", lambda s: s[name]).alias(name)
+    return drawn.select(
+        F.col("id").alias("doc_id"), F.size("samples").alias("n_samples"),
+        each("n_tokens"), each("ids_crc32"), each("log_prob"), each("inclusion"), "round_trip",
+    )
+
+
+@query("op2_repeated_passages")
+def op2_repeated_passages(spark, sf_dir):
+    return suffix.without_repeats(common.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
