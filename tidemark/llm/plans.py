@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import common, exact, language, mixing, neardup, pieces, pii, quality, suffix, tokens
+from tidemark.llm import common, exact, language, licenses, mixing, neardup, pieces, pii, quality, suffix, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -128,3 +128,17 @@ def op3_piece_samples(spark, sf_dir):
 @query("op2_repeated_passages")
 def op2_repeated_passages(spark, sf_dir):
     return suffix.without_repeats(common.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark, sf_dir):
+    """Documents as a tree of their sources: a hundred to a directory, ten of these to the next; each hundredth is
+    its directory's license file."""
+    docs = common.documents(spark, sf_dir)
+    number = docs["doc_id"]
+    tenth, hundred = F.floor(number / 1000).cast("string"), F.floor(number / 100).cast("string")
+    name = F.when(number % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(number.cast("string"), F.lit(".txt")))
+    top = number % 1000 == 0
+    path = F.when(top, F.concat_ws("/", docs["source"], tenth, name)).otherwise(F.concat_ws("/", docs["source"], tenth, hundred, name))
+    scanned = licenses.license_scan(docs, path).withColumnRenamed("id", "doc_id")
+    return scanned.withColumn("license", F.coalesce("license", F.lit("")))
