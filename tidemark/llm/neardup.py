@@ -6,8 +6,10 @@ for chance agreement, estimates the similarity. Candidates that the estimate can
 full sets.
 
 Documents with the same set are one class and only its first member goes on. Inside a bucket nobody lists all pairs:
-first every member is compared with the bucket's first member, the confirmed links join most of a group of copies,
-and only members of different components found so far are compared further, by their packed bits.
+first every member is compared with the bucket's first member, and the confirmed links join most of a group of copies
+into components. What lies outside a component but shares a bucket with many of its members is then asked for a
+link to the component as a whole, which gives one row for each question; only members of small components are
+compared pair by pair, by their packed bits.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ BANDS, ROWS = 32, 5
 MINIMA, BITS = 512, 2
 #: Standard deviations below the threshold at which an estimate rules a pair out (of links, one in 3 million).
 SIGMAS = 5.0
-#: Members of a bucket that meet in one task; a larger bucket is cut into tiles of this many by this many.
-TILE = 1000
+#: Rows on either side that meet in one task; larger groups are cut into tiles of this many by this many.
+TILE = 500
+#: Members of one component in a bucket from which on it is compared as a component, not member by member.
+CROWD = 8
 PRIME = np.uint64((1 << 61) - 1)
 WORD_SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -194,6 +198,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
 
 
+def linked_to_component(asked: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) for questions (id, root): one member of the component ``root`` linked to ``id``, from each tile.
+
+    A component is connected already, so one link is enough. Documents that ask and members that answer meet in
+    tiles of bounded size, with their full sets; sets are joined by id from written tables.
+    """
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
+    stats = session.durable(asked.groupBy("root").agg(F.count("*").alias("asking")).join(sizes, "root"))
+    lanes = F.ceil(F.col("asking") / F.lit(TILE)).cast("int")
+    parts = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    asking = common.attach(asked, stats, ["root"], "asking")
+    asking = asking.select("root", "id", deal(lanes).alias("lane"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    members = common.attach(roots, stats, ["root"], "members").filter("asking is not null")
+    members = members.select("root", "id", F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), deal(parts).alias("part"))
+
+    def answer(questions: pa.Table, component: pa.Table) -> pa.Table:
+        ask, say = questions.combine_chunks(), component.combine_chunks()
+        a, b = [], []
+        if ask.num_rows and say.num_rows:
+            ids = say.column("id").to_numpy()
+            lists = [s.values.to_numpy() for s in say.column("member_set")]
+            many = np.array([len(s) for s in lists])
+            values, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), many)
+            order = np.argsort(values)
+            values, owner = values[order], owner[order]
+            for one, shingle_list in zip(ask.column("id").to_pylist(), ask.column("asking_set")):
+                own = shingle_list.values.to_numpy()
+                begin = np.searchsorted(values, own)
+                n = np.searchsorted(values, own, side="right") - begin
+                at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(owner[at], minlength=len(ids))
+                linked = np.flatnonzero(100 * shared >= percent * (len(own) + many - shared))
+                if len(linked):
+                    a.append(one)
+                    b.append(int(ids[linked[0]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ["root", "lane", "part"]
+    with_sets = lambda rows, name: session.durable(rows).join(sets.select("id", F.col("shingles").alias(name)), "id")
+    questions = with_sets(asking, "asking_set").groupBy(*keys)
+    return questions.cogroup(with_sets(members, "member_set").groupBy(*keys)).applyInArrow(answer, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per input row.
 
@@ -230,38 +278,41 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: in
     links = session.durable(confirmed(stars, sets, percent))
     found = session.durable(common.components(links, spark))
 
-    # What a bucket still holds of other components, against all its members of a component other than their own.
+    # What a bucket still holds of different components.
     roots = rows.join(found.withColumnRenamed("node", "id"), "id", "left")
     roots = session.durable(roots.select("id", "bits", "bands", F.coalesce("root", "id").alias("root")))
-    placed = session.durable(held.select("bucket", "band", "id", "size").join(roots.select("id", "root"), "id"))
-    split = placed.groupBy("bucket").agg(
-        F.min("root").alias("main"), F.max("root").alias("last"), F.count("*").alias("size")
-    )
-    split = session.durable(split.filter("main <> last").drop("last"))
-    mixed_rows = session.durable(common.attach(placed.drop("size"), split, ["bucket"], "size").filter("main is not null"))
-    mixed_rows = mixed_rows.join(roots.drop("root"), "id")
+    placed = session.durable(held.select("bucket", "band", "id").join(roots.select("id", "root"), "id"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"))
+    split = session.durable(split.filter("least <> most").select("bucket", "size"))
+    open_rows = session.durable(common.attach(placed, split, ["bucket"], "size").filter("size is not null"))
+    crowds = open_rows.groupBy("bucket", "root").agg(F.count("*").alias("crowd")).filter(F.col("crowd") >= CROWD)
+    crowds = session.durable(crowds)
+    open_rows = session.durable(common.attach(open_rows, crowds, ["bucket", "root"], "crowd"))
+
+    # Whole components: is any of its members linked to this document?
+    asked = open_rows.join(crowds.select("bucket", F.col("root").alias("other")), "bucket")
+    asked = asked.filter("root <> other and (crowd is null or root < other)").select("id", F.col("other").alias("root"))
+    asked = session.durable(asked.distinct())
+    answers = session.durable(linked_to_component(asked, roots.select("id", "root"), sets, percent))
+
+    # Members of small components, pair by pair.
+    few = open_rows.filter("crowd is null").drop("crowd", "root").join(roots, "id")
     tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
     tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
     every = F.explode(F.sequence(F.lit(0), tiles - 1))
-    left = mixed_rows.filter("root <> main").select(
-        "bucket", "band", tile.alias("tile_a"), every.alias("tile_b"),
-        F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"), F.col("bands").alias("bands_a"),
-    )
-    right = mixed_rows.select(
-        "bucket", tile.alias("tile_b"), every.alias("tile_a"), (F.col("root") == F.col("main")).alias("in_main"),
-        F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"),
-    )
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "root", "bits", "bands")]
+    left = few.select("bucket", "band", tile.alias("tile_a"), every.alias("tile_b"), *side("a"))
+    right = few.select("bucket", tile.alias("tile_b"), every.alias("tile_a"), *side("b"))
     keys = ["bucket", "tile_a", "tile_b"]
-    left, right = left.repartition(*keys), right.repartition(*keys)
-    match = (F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
+    match = (F.col("root_a") != F.col("root_b")) & (F.col("id_a") < F.col("id_b"))
     match = match & (equal_minima("bits_a", "bits_b") >= least)
     for s in range(BANDS - 1):  # a pair counts in the first band that it shares
         match = match & ((F.lit(s) >= F.col("band")) | (F.col("bands_a")[s] != F.col("bands_b")[s]))
     for k in keys:
         match = match & (left[k] == right[k])
-    pairs = session.durable(left.join(right, match).select("a", "b"))
+    pairs = session.durable(left.join(right, match).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     more = session.durable(confirmed(pairs, sets, percent))
-    linked = common.components(links.unionByName(more), spark)
+    linked = common.components(links.unionByName(answers).unionByName(more), spark)
 
     roots = reps.join(linked.select(F.col("node").alias("id"), "root"), "id", "left")
     roots = roots.select(*set_keys, F.coalesce("root", "id").alias("root"))
