@@ -186,3 +186,20 @@ def identified(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", t
 
     schema = "id long, lang_pred string, score double, coverage double"
     return common.text_rows(docs, id_col, text_col).mapInArrow(predict, schema)
+
+
+def identified_rows(docs: DataFrame, model: LanguageFilter, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, these columns, with lang_pred, score and coverage beside them; answers as ``identified``."""
+    common.prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*columns)
+
+    def predict(batches):
+        model = shared.value
+        for batch in batches:
+            lang, score, coverage = zip(*[decide(t.as_py(), model) for t in batch.column(text_col)])
+            extra = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(coverage, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*columns, "lang_pred", "score", "coverage"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double, coverage double")

@@ -145,6 +145,15 @@ def mixture(
     )
 
 
-def copies():
-    """How often a mixed document is repeated as a whole: its taken words in rounds of its size, halves up."""
-    return F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The input's rows, all columns, each as often as the mix takes it: taken / size, halves up.
+
+    Rows without words and rows of which less than half is taken go. Repeated rows of an id share its takes evenly.
+    """
+    takes = mixture(docs, id_col, text_col, source_col, **options)
+    takes = takes.groupBy("id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = F.floor(F.try_divide(2 * F.col("taken") + F.col("size"), 2 * F.col("size"))).cast("int")
+    takes = session.durable(takes.select(F.col("id").alias("__id"), times.alias("__times")).filter("__times > 0"))
+    small = session.broadcast_if_small(takes)
+    out = docs.join(small, docs[id_col].cast("long").eqNullSafe(F.col("__id")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).drop("__id", "__times", "__copy")

@@ -397,7 +397,7 @@ def sampled(
                                 "n_tokens": len(ids),
                                 "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()),
                                 "log_prob": round(p, 6),
-                                "inclusion": round(q, 6),
+                                "inclusion": q,
                             }
                             for ids, p, _, q in found
                         ]
