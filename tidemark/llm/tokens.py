@@ -24,17 +24,27 @@ from tidemark.llm import common
 END = 2
 ROW_GROUP, PAGE, PAGE_ROWS = 64 << 20, 1 << 20, 2000
 #: Units kept with their ids in each Python worker, so that a common unit is encoded once (two generations of them).
-REMEMBERED = 400_000
+REMEMBERED = 650_000
 #: A space between two other characters always begins a new pre-token of this vocabulary, whatever surrounds it.
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+OTHER_SPACE = re.compile(r"[^\S \n]|\x01")
+#: So does a full stop or comma after a letter or digit; texts that have one after anything else are cut by pattern.
+OTHER_STOP = re.compile(r"[\W_][.,]")
 ENCODERS: dict = {}
 
 
 def plain(text: str) -> bool:
-    """Whether white space is only single spaces inside the text and line feeds away from them."""
+    """Whether white space is only single spaces inside the text and line feeds away from them, and stops follow words."""
     odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
-    return not odd and not OTHER_SPACE.search(text)
+    return not odd and not OTHER_SPACE.search(text) and not OTHER_STOP.search(text)
+
+
+def cut(texts: list[str]) -> pa.ListArray:
+    """Units of plain texts: cut before each space, full stop and comma."""
+    marked = pa.array(texts, pa.large_string())
+    for c in " .,":
+        marked = pc.replace_substring(marked, pattern=c, replacement="\x01" + c)
+    return pc.split_pattern(marked, pattern="\x01")
 
 
 class UnitEncoder:
@@ -71,19 +81,16 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their number in each text.
 
-        Almost every text is cut at single spaces and its words are counted off by Arrow; a text with other white
-        space is cut by pattern.
+        Almost every text is plain, and Arrow cuts it and counts off its units; the others are cut by pattern.
         """
         simple = [k for k, t in enumerate(texts) if plain(t)]
-        cut = pc.split_pattern(pa.array([texts[k] for k in simple], pa.large_string()), pattern=" ")
-        coded = pc.dictionary_encode(pc.list_flatten(cut)) if simple else None
-        units = [" " + w for w in coded.dictionary.to_pylist()] if simple else []
-        codes = coded.indices.to_numpy().astype(np.int64) if simple else np.empty(0, np.int64)
-        sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = cut([texts[k] for k in simple])
+        coded = pc.list_flatten(lists).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        place = {u: k for k, u in enumerate(units)}
+        place = {u: k for k, u in enumerate(coded.dictionary.to_pylist())}
         name = lambda u: place.setdefault(u, len(place))
-        codes[starts] = [name(texts[k].partition(" ")[0]) for k in simple]
         by_text: list = [None] * len(texts)
         for k, a, n in zip(simple, starts.tolist(), sizes.tolist()):
             by_text[k] = codes[a : a + n]
