@@ -45,6 +45,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``session.durable`` wrote and no later step reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path_of = sc._jvm.org.apache.hadoop.fs.Path
+        root = path_of(sc._jsc.sc().getCheckpointDir().get()).toUri().getPath()
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = path_of(folder)
+            if path.toUri().getPath().startswith(f"{root}/table-"):
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

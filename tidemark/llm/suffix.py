@@ -13,7 +13,8 @@ positions is sorted. What survives is then looked at position by position:
   round 1   anchors, by the name of their first SEED bytes: those found in one document only are dropped
   round 2   surviving anchors, by the name of all bytes that any window over the anchor can cover: an anchor with
             the same surroundings as one in a smaller document is repeated as a whole
-  round 3   of what is left, each window over an anchor, by the pair (rank at p, rank at p + length - SEED)
+  round 3   of what is left, each window over an anchor, by the pair (rank at p, rank at p + length - SEED); what a
+            task sees twice is settled there, and only the rest is sorted
 
 Documents with equal texts are told apart first: a copy of a smaller document is removed as a whole.
 """
@@ -33,6 +34,8 @@ from tidemark.llm import common
 LENGTH, SEED = 50, 25
 #: Bytes of text handled at a time in a task.
 PIECE = 2 << 20
+#: Windows compared with each other in a task before any are sent on.
+WINDOWS = 1_500_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -182,13 +185,50 @@ def wide_pieces(data: np.ndarray, width: int):
 
 
 def window_pairs(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(rank_1, rank_2, id, at) for each window over the anchors of (id, text, ats) rows, each window once.
+    """(rank_1, rank_2, id, a, b, known) for the windows over the anchors of (id, text, ats) rows, each window once.
 
-    The ranks are the names of the first and the last SEED bytes, under two hashes: together they are the whole window.
+    The ranks are names of the first and the last SEED bytes, paired: together they are the whole window. Within
+    a batch, windows of a document that a smaller one in the batch holds too are ``known`` to be repeated; they
+    come as ranges [a, b) of what they cover, with ranks of no meaning. All others come one by one, for comparison
+    with other batches.
     """
     side = length - seed
 
+    def ranges(ids, at, rank, check):
+        order = np.lexsort((at, ids, rank))
+        ids, at, rank, check = ids[order], at[order], rank[order], check[order]
+        new = np.flatnonzero((np.diff(rank, prepend=~rank[:1]) != 0) | (np.diff(check, prepend=~check[:1]) != 0))
+        many = np.diff(new, append=len(rank))
+        known = ids > np.repeat(ids[new], many)
+        yield rank[~known], check[~known], ids[~known], at[~known], at[~known] + length, False
+        ids, at = ids[known], at[known]
+        if not len(ids):
+            return
+        order = np.lexsort((at, ids))
+        ids, at = ids[order], at[order]
+        # Neighbouring windows of a document are one range.
+        new = np.flatnonzero((np.diff(ids, prepend=ids[:1] - 1) != 0) | (np.diff(at, prepend=at[:1]) != 1))
+        last = np.append(new[1:], len(at)) - 1
+        rank = mixed(ids[new].astype(np.uint64) * MULTIPLY + at[new].astype(np.uint64))
+        yield rank, np.zeros(len(new), np.int32), ids[new], at[new], at[last] + length, True
+
+    def blocks(parts):
+        ids, at, rank, check = (np.concatenate(x) for x in zip(*parts))
+        if not len(ids):
+            return
+        for rank, check, ids, a, b, known in ranges(ids, at, rank, check):
+            for k in range(0, len(ids), 50_000):
+                part = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rank[part].view(np.int64)), pa.array(check[part]), pa.array(ids[part]), pa.array(a[part]),
+                        pa.array(b[part]), pa.array(np.full(len(ids[part]), known)),
+                    ],
+                    ["rank_1", "rank_2", "id", "a", "b", "known"],
+                )
+
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             for one, data, ats in zip(batch.column("id").to_pylist(), texts_of(batch), batch.column("ats")):
                 at = np.unique(ats.values.to_numpy())
@@ -196,21 +236,21 @@ def window_pairs(rows: DataFrame, length: int, seed: int) -> DataFrame:
                 np.add.at(edge, np.maximum(at - side, 0), 1)
                 np.add.at(edge, np.minimum(at, len(data) - length) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge)[: len(data) - length + 1])
-                first = np.empty(len(starts), np.uint64)
-                second = np.empty(len(starts), np.uint64)
+                rank, check = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
                 for offset, piece in wide_pieces(data, length):
                     here = (starts >= offset) & (starts < offset + PIECE)
                     p = starts[here] - offset
                     a, b = names(piece, seed, MULTIPLY), names(piece, seed, OTHER)
-                    first[here], second[here] = a[p] * OTHER + a[p + side], b[p] * OTHER + b[p + side]
-                for k in range(0, len(starts), 50_000):
-                    part = slice(k, k + 50_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mixed(first[part]).view(np.int64)), pa.array(mixed(second[part]).view(np.int64)), pa.array(np.full(len(starts[part]), one)), pa.array(starts[part])],
-                        ["rank_1", "rank_2", "id", "at"],
-                    )
+                    rank[here], check[here] = mixed(a[p] * OTHER + a[p + side]), mixed(b[p] * OTHER + b[p + side])
+                parts.append((np.full(len(starts), one, np.int64), starts, rank, (check >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                held += len(starts)
+                if held > WINDOWS:
+                    yield from blocks(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from blocks(parts)
 
-    return rows.mapInArrow(run, "rank_1 long, rank_2 long, id long, at long")
+    return rows.mapInArrow(run, "rank_1 long, rank_2 int, id long, a long, b long, known boolean")
 
 
 def removed(rows: DataFrame) -> DataFrame:
@@ -279,6 +319,7 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", length: in
         classes.join(split.withColumn("several", F.lit(True)), "name", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     )
     judged = session.durable(around.join(partial, keys).select("id", "at", "before", "after", (F.col("first") < F.col("id")).alias("whole"), "several"))
+    common.discard(around, classes, split, partial, ats)
     common.release(spark)
     whole = judged.filter(F.col("whole") & (F.col("before") + F.col("after") >= length - seed)).select(
         "id", (F.col("at") - F.col("before")).alias("a"), (F.col("at") + seed + F.col("after")).alias("b")
@@ -286,12 +327,11 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", length: in
 
     # Round 3: single windows where surroundings differ.
     open_ats = session.durable(judged.filter("several and not whole").groupBy("id").agg(F.collect_list("at").alias("ats")))
-    pairs = session.durable(window_pairs(rows.join(open_ats, "id"), length, seed))
+    pairs = window_pairs(rows.join(open_ats, "id"), length, seed)
+    least = F.min("id").over(Window.partitionBy("rank_1", "rank_2"))
+    windows = session.durable(pairs.withColumn("least", least).filter("known or id > least").select("id", "a", "b"))
+    common.discard(open_ats)
     common.release(spark)
-    ranks = ["rank_1", "rank_2"]
-    again = pairs.groupBy(*ranks).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    again = session.durable(again.select(*ranks, "first"))
-    windows = pairs.join(again, ranks).filter("id > first").select("id", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
 
     copied = copies.filter(F.col("n_bytes") >= length).select("id", F.lit(0).cast("long").alias("a"), F.col("n_bytes").cast("long").alias("b"))
     spans = whole.unionByName(windows).unionByName(copied)
