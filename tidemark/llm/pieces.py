@@ -33,13 +33,16 @@ ALPHA = 1.0
 SPACE = "▁"
 #: Spaces with the characters up to the next space; a line feed is a unit of its own.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 STORES: dict = {}
 #: Characters of texts searched together.
-SLICE = 1_000_000
+SLICE = 2_000_000
 #: Stands for the vocabulary's mark where a text itself has that character; no text can hold a lone surrogate.
 MARK = "\ud800"
 FACTOR = 0x9E3779B97F4A7C15
+#: What random numbers are for.
+ROOT, DRAW, SPLIT, LEAVE = 1, 2, 3, 4
+ONE = np.zeros(1, np.uint64)
 STEP, LANE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SAMPLE = pa.struct(
     [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("inclusion", pa.float64())]
@@ -131,6 +134,11 @@ def uniform(stream: np.ndarray, step: int) -> np.ndarray:
     return ((mixed(stream + lane_step(step, STEP)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def lane(stream: np.ndarray, use: int, turn: int, place: np.ndarray) -> np.ndarray:
+    """Streams of their own for every use, turn of the search and place in the text."""
+    return mixed(mixed(stream + lane_step(16 * turn + use, LANE)) + place * STEP)
+
+
 class Store:
     """Lattices of the different units seen, side by side in arrays.
 
@@ -298,7 +306,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
     streams = mixed(np.array(keys, np.int64).view(np.uint64) + STEP)
     searches = [Search(store.starts(units), s) for units, s in zip(split, np.split(streams, len(streams)))] if texts else []
     for s in searches:
-        root = -math.log(-math.log(float(uniform(s.stream, 1)[0])))
+        root = -math.log(-math.log(float(uniform(lane(s.stream, ROOT, 0, ONE), 0)[0])))
         s.pending = (root, np.empty(0, np.int64), np.empty(0, np.int64), None, -1, frozenset())
     for turn in range(k):
         live = [s for s in searches if s.pending]
@@ -309,7 +317,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
             if edge is not None and store.to[edge] >= 0:
                 tail = np.concatenate([[store.to[edge]], tail])
             begin.append(tail)
-            lanes.append(mixed(s.stream + lane_step(turn + 1, STEP) + np.arange(len(tail), dtype=np.uint64)[::-1] * LANE))
+            lanes.append(lane(s.stream, DRAW, turn, np.arange(len(tail), dtype=np.uint64)[::-1]))
             sizes.append(len(tail))
         if not live:
             break
@@ -336,8 +344,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
                 left[0] = sum(float(store.share[e]) for e in store.siblings(edge) if e not in out)
             with np.errstate(divide="ignore"):
                 mass = before[keep:] + np.log(left)
-            lane = mixed(s.stream + lane_step(turn + 1, LANE) + np.arange(keep, len(path), dtype=np.uint64) * STEP)
-            best = truncated(mass, value, uniform(lane, 0))
+            best = truncated(mass, value, uniform(lane(s.stream, SPLIT, turn, np.arange(keep, len(path), dtype=np.uint64)), 0))
             want = k - turn
             top = np.argpartition(-best, want)[:want] if len(best) > want else np.arange(len(best))
             for j in top:
@@ -349,7 +356,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
                 v, _, t, path, unit_of, taken = heapq.heappop(s.queue)
                 options = [e for e in store.siblings(path[t]) if e not in taken]
                 weights = np.cumsum(store.share[options])
-                pick = np.searchsorted(weights, float(uniform(s.stream, turn + 7)[0]) * weights[-1])
+                pick = np.searchsorted(weights, float(uniform(lane(s.stream, LEAVE, turn, ONE), 0)[0]) * weights[-1])
                 s.pending = (-v, path[:t], unit_of[:t], options[min(int(pick), len(options) - 1)], int(unit_of[t]), taken)
     out = []
     for s in searches:
