@@ -60,7 +60,7 @@ def test_vector_expressions_and_cold_start(cloud):
     ).first()
     a, b = points[:2]
     assert math.isclose(r[0], a @ b / np.linalg.norm(a) / np.linalg.norm(b)) and math.isclose(r[1], np.linalg.norm(a - b))
-    assert vec.gated(df.limit(5), 10, df).count() == 0 and vec.gated(df, 10, df).count() == 90
+    assert not vec.large_enough(df.limit(5)) and vec.large_enough(df)
 
 
 def slow_points(x, percentile, zthresh):

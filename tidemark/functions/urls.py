@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import top_k
 from tidemark.session import broadcast_if_small
 
 
@@ -33,9 +34,8 @@ def host_parts(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
         ).alias("_pos", "suffix"),
     )
     matched = candidates.join(broadcast_if_small(suffixes.select("suffix").distinct()), "suffix")
-    best = matched.groupBy("hostname").agg(
-        F.min_by(F.struct("suffix", "_l", "_pos"), "_pos").alias("_b")
-    )
+    best = matched.withColumn("_b", F.struct("suffix", "_l", "_pos"))
+    best = top_k(best.select("hostname", "_b"), ["hostname"], 1, F.asc("_b._pos"), rank="_rank")
     return best.select(
         "hostname",
         F.array_join(F.slice("_b._l", F.lit(1), F.col("_b._pos")), ".").alias("subdomain"),

@@ -80,14 +80,17 @@ def linear_surrogate(df: DataFrame, features: Sequence[str], target: str) -> tup
     return dict(zip(features, [float(c) for c in fitted.coefficients])), means
 
 
-def daily_counts(df: DataFrame, ts: str, real: str | None = None, enough: int = 500) -> DataFrame:
-    """(ds, y) per day; only rows marked real once there are ``enough`` of them."""
-    rows = df
-    if real is not None and df.filter(F.col(real)).limit(enough).count() >= enough:
-        rows = df.filter(F.col(real))
+def daily_counts(df: DataFrame, ts: str, real: str | None = None, only_real: bool = False) -> DataFrame:
+    """(ds, y) per day. ``only_real`` counts the rows marked in ``real`` alone; the caller decides, see ``enough_real``."""
+    rows = df.filter(F.col(real)) if only_real and real is not None else df
     return rows.groupBy(F.to_date(ts).alias("ds")).agg(F.count(F.lit(1)).alias("y"))
 
 
+def enough_real(df: DataFrame, real: str, enough: int = 500) -> bool:
+    """Whether there are ``enough`` rows marked real to count them alone."""
+    return df.filter(F.col(real)).limit(enough).count() >= enough
+
+
 def forecast(counts: DataFrame, periods: int, minimum_days: int = 14, coverage: float = 0.90) -> DataFrame:
     """(ds, yhat, yhat_lower, yhat_upper) for the next days: trend plus weekday effects, residual band.
 
@@ -108,7 +111,7 @@ def forecast(counts: DataFrame, periods: int, minimum_days: int = 14, coverage:
     fitted = model.transform(designed(counts)).withColumn("residual", F.col("y") - F.col("prediction"))
     tail = (1 - coverage) / 2
     band = quantiles(fitted, [], "residual", {"low": tail, "high": 1 - tail}).first()
-    ahead = counts.limit(1).select(
+    ahead = spark.range(1).select(
         F.explode(F.sequence(F.date_add(F.lit(span["hi"]), 1), F.date_add(F.lit(span["hi"]), periods))).alias("ds")
     )
     predicted = model.transform(designed(ahead))

@@ -240,3 +240,8 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, *ordering: Column, rank: s
     """Best ``k`` rows per key. Spark trims to k per key in every map task before the shuffle."""
     spec = Window.partitionBy(*keys).orderBy(*ordering)
     return df.withColumn(rank, F.row_number().over(spec)).filter(F.col(rank) <= k)
+
+
+def latest(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """The row of each key that is last by ``order``, nulls before all values."""
+    return top_k(df, keys, 1, *[F.desc_nulls_last(c) for c in order], rank="_rank").drop("_rank")

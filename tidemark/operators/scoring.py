@@ -25,7 +25,6 @@ OTHER = "_other"
 class Model:
     users: DataFrame  # split_user, n, m_<numeric>, s_<numeric>, lm_<feature>, ls_<feature>
     categories: dict[str, DataFrame]  # feature -> split_user, value, p
-    defaults: DataFrame  # split_user, p_<feature> of a value never seen
     numeric: list[str]
     categorical: list[str]
 
@@ -61,7 +60,7 @@ def numeric_stats(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 def _losses(rows: DataFrame, model: Model) -> DataFrame:
     """Add ``<f>_pred`` and ``<f>_loss``; rows carry ``split_user``. Nulls count as the user's mean."""
-    out = rows.join(model.users, "split_user").join(model.defaults, "split_user")
+    out = rows.join(model.users, "split_user")
     for n in model.numeric:
         z = (F.coalesce(F.col(n).cast("double"), F.col(f"m_{n}")) - F.col(f"m_{n}")) / F.col(f"s_{n}")
         out = out.withColumn(f"{n}_pred", F.col(f"m_{n}")).withColumn(f"{n}_loss", z * z)
@@ -90,14 +89,13 @@ def fit(
     for c in categorical:
         categories[c], other = vocabulary(rows, c, min_cats, alpha)
         defaults = defaults.join(other, "split_user")
-    model = Model(users, categories, defaults, list(numeric), list(categorical))
+    model = Model(durable(users.join(defaults, "split_user")), categories, list(numeric), list(categorical))
     features = [*numeric, *categorical]
     scale = _losses(rows, model).groupBy("split_user").agg(
         *[F.avg(f"{f}_loss").alias(f"lm_{f}") for f in features],
         *[F.stddev_pop(f"{f}_loss").alias(f"ls_{f}") for f in features],
     )
-    model.users = durable(users.join(scale, "split_user"))
-    model.defaults = defaults
+    model.users = durable(model.users.join(scale, "split_user"))
     return model
 
 
@@ -124,7 +122,12 @@ def with_model_user(df: DataFrame, user: str, model: Model, min_rows: int = 1) -
 
 
 def score(df: DataFrame, user: str, model: Model, return_abs: bool = True, min_rows: int = 1, scaler: str = "z") -> DataFrame:
-    """Input columns plus pred, loss and z_loss per feature, max_abs_z, mean_abs_z, z_loss_scaler_type."""
+    """Input columns plus pred, loss and z_loss per feature, max_abs_z, mean_abs_z, z_loss_scaler_type.
+
+    ``z`` is the only scaler: the deviation from the stored mean of a loss in its stored deviations.
+    """
+    if scaler != "z":
+        raise ValueError(f"no loss scaler {scaler!r}: the stored model holds means and deviations, for 'z'")
     return _scored(with_model_user(df, user, model, min_rows), model, return_abs, scaler)
 
 

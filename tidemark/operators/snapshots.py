@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import top_k
+
 # Fixed values of the snapshot format: handle types, page protections, tags, wait reasons, sentinels.
 HANDLE_TYPES = [
     ("Directory", "directory"),
@@ -76,7 +78,6 @@ def snapshot_features(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
         return F.when(condition, value)
 
     a: dict[str, Column] = {
-        "timestamp": F.min(F.when(ldr, c("timestamp"))),
         "envirs_pathext": F.max(exec_path.cast("int")),
         "envars_df_count": n(exec_path),
         "threadlist_df_count": n(thread),
@@ -129,7 +130,6 @@ def snapshot_features(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
             "_users": n(on_disk & area.contains("users")),
             "_windows": n(on_disk & area.contains("windows")),
             "handles_df_count": n(handle),
-            "_module": F.min_by(F.struct(c("Size").alias("size"), c("Path").alias("path")), when(module, c("row_id"))),
         }
     )
     for kind, label in HANDLE_TYPES + RATIO_ONLY_TYPES:
@@ -146,7 +146,13 @@ def snapshot_features(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
         "handles_df_type_unique": when(handle, F.coalesce(c("Type"), F.lit("nan"))),
     }
     keys = ["snapshot_id", "pid_process"]
+    # Counters are one hash aggregate; the few text values come from the module rows alone, one row each.
     grouped = df.groupBy(*keys).agg(*[column.alias(key) for key, column in a.items()])
+    first = top_k(df.filter(ldr).select(*keys, "timestamp"), keys, 1, F.asc_nulls_last("timestamp"), rank="_rank")
+    modules = df.filter(module & c("row_id").isNotNull())
+    modules = modules.select(*keys, "row_id", F.struct(c("Size").alias("size"), c("Path").alias("path")).alias("_module"))
+    modules = top_k(modules, keys, 1, F.asc("row_id"), rank="_rank").drop("row_id", "_rank")
+    grouped = grouped.join(first.drop("_rank"), keys, "left").join(modules, keys, "left")
     return _finish(grouped.join(_distinct_counts(df, keys, uniques), keys, "left").na.fill(0, list(uniques)))
 
 

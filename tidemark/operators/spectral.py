@@ -2,8 +2,7 @@
 
 Spark builds and bounds the signals; numpy transforms one signal at a time inside a pandas UDF.
 Count signals have one value per time bin, so their length is bounded by the covered time. Event signals
-have one value per event; a user with more than ``tidemark.hot.rows`` events is analysed in consecutive
-segments of that length.
+have one value per event; every user's events are analysed in consecutive segments of one fixed length.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
-from tidemark.session import by_key, hot_rows
+from tidemark.session import by_key
 
 
 def periodogram(signals: np.ndarray) -> np.ndarray:
@@ -81,12 +80,15 @@ def count_anomalies(
 
 def event_anomalies(
     df: DataFrame, user: str, ts: str, row_id: str, signal: str, percentile: float = 90, zthresh: float = 8,
-    min_history: int = 10,
+    min_history: int = 10, segment: int = 100_000,
 ) -> DataFrame:
-    """Rows of the events whose signal value is anomalous within the user's sequence."""
-    size = hot_rows(df.sparkSession)
+    """Rows of the events whose signal value is anomalous within the user's sequence.
+
+    The sequence is analysed in consecutive segments of ``segment`` events, for every user alike; a segment of
+    fewer than ``min_history`` events has no anomalies.
+    """
     rows = ordered.row_index(df.select(user, ts, row_id, signal), [user], [ts, row_id], "_i")
-    rows = rows.withColumn("_segment", F.floor(F.col("_i") / size))
+    rows = rows.withColumn("_segment", F.floor(F.col("_i") / segment))
 
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_history:
@@ -165,3 +167,32 @@ def _batch_windows(bins, counts, lows, highs, half, hot_start, cold_end):
         signal = np.zeros(end - start + 1)
         np.add.at(signal, np.minimum(bins[first:last] - (start - 1), end - start), counts[first:last])
         yield position, low, high, signal
+
+
+def bin_flags(
+    df: DataFrame, user: str, ts: str, resolution_s: int = 3600, min_window_s: int = 43200, hot_start: bool = False,
+    percentile: float = 90, zthresh: float = 8,
+) -> DataFrame:
+    """Rows with ``ts_anomaly``: is the event's time bin anomalous among the bins half a window to both sides?
+
+    The batch form of ``streaming.state.windowed_flags``: without ``hot_start``, bins that have no full window on
+    their left within the user's history pass unflagged.
+    """
+    half = -(-min_window_s // resolution_s)
+    rows = df.withColumn("_bin", F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {resolution_s * 1_000_000}"))
+    counts = rows.groupBy(user, "_bin").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    shift = F.explode(F.sequence(F.lit(-half), F.lit(half)))
+    # Every bin sends its count to the windows it lies in; a window is as long as its parameters say.
+    sent = counts.select(user, "_n", "_bin", shift.alias("_s")).select(user, "_n", (F.col("_bin") + F.col("_s")).alias("_bin"), (-F.col("_s")).alias("_s"))
+    windows = sent.groupBy(user, "_bin").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_n"))).alias("_w"))
+    windows = windows.join(counts.select(user, "_bin"), [user, "_bin"], "left_semi")
+    first = counts.groupBy(user).agg(F.min("_bin").alias("_first"))
+    signal = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)))
+
+    @F.pandas_udf("boolean")
+    def middle(series: pd.Series) -> pd.Series:
+        return pd.Series(anomaly_mask(np.stack(series.to_list()), percentile, zthresh)[:, half]) if len(series) else pd.Series([], dtype=bool)
+
+    warm = F.lit(True) if hot_start else F.col("_first") <= F.col("_bin") - half
+    flags = windows.join(first, user).select(user, "_bin", (warm & middle(signal)).alias("ts_anomaly"))
+    return rows.join(flags, [user, "_bin"]).drop("_bin")

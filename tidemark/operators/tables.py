@@ -12,9 +12,8 @@ from tidemark.session import broadcast_if_small
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
-    """DISTINCT ON (keys) ... ORDER BY order DESC, as a mergeable maximum."""
-    packed = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_v")
-    return df.groupBy(*keys).agg(packed).select("_v.*")
+    """DISTINCT ON (keys) ... ORDER BY order DESC: one row per key leaves each map task."""
+    return ordered.latest(df, keys, *order)
 
 
 def next_version(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:

@@ -325,6 +325,6 @@ def neighbour_patterns(neighbours: DataFrame, payload: DataFrame, id_col: str, c
     return out.withColumn("confidence", F.least(F.lit(1.0), score))
 
 
-def gated(df: DataFrame, minimum: int, result: DataFrame) -> DataFrame:
-    """Empty result while the collection is still smaller than ``minimum`` rows."""
-    return result if df.limit(minimum).count() >= minimum else result.limit(0)
+def large_enough(df: DataFrame, minimum: int = 10) -> bool:
+    """Whether a collection has enough rows for its neighbours to mean something; the caller decides what follows."""
+    return df.limit(minimum).count() >= minimum

@@ -53,13 +53,15 @@ def audit_records_source(spark, sf_dir):
 @query("zeek_source", "SELECT event_type AS service, count(*) AS n, round(sum(value), 4) AS total, count(*) FILTER (WHERE value > 50) AS big FROM events GROUP BY 1")
 def zeek_source(spark, sf_dir):
     path = scratch_dir(spark, "zeek")
-    head = events(spark, sf_dir).limit(1).select(
-        F.explode(F.array(F.lit("#fields\tuid\tservice\tdur\tbig"), F.lit("#types\tcount\tenum\tinterval\tbool"))).alias("value")
-    )
-    line = F.concat_ws(
-        "\t", F.col("event_id").cast("string"), "event_type", F.col("value").cast("string"), F.when(F.col("value") > 50, "T").otherwise("F")
-    )
-    events(spark, sf_dir).select(line.alias("value")).union(head).write.text(path)
+    # Two layouts of the same columns, each file with the header of its own.
+    fields = {"uid": ("count", F.col("event_id").cast("string")), "service": ("enum", F.col("event_type")),
+              "dur": ("interval", F.col("value").cast("string")), "big": ("bool", F.when(F.col("value") > 50, "T").otherwise("F"))}
+    for k, order in enumerate((["uid", "service", "dur", "big"], ["big", "dur", "uid", "service"])):
+        head = "\n".join(["#fields\t" + "\t".join(order), "#types\t" + "\t".join(fields[n][0] for n in order)])
+        lines = events(spark, sf_dir).filter(F.col("event_id") % 2 == k).withColumn("part", F.spark_partition_id())
+        lines = lines.select("part", F.lit(1).alias("place"), F.concat_ws("\t", *[fields[n][1] for n in order]).alias("value"))
+        heads = lines.select("part").distinct().select("part", F.lit(0).alias("place"), F.lit(head).alias("value"))
+        lines.union(heads).repartition("part").sortWithinPartitions("part", "place").select("value").write.mode("append").text(path)
     rows = security_logs.read_zeek(spark, path)
     return rows.groupBy("service").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("dur"), 4).alias("total"), F.count_if("big").alias("big")

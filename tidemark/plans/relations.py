@@ -256,9 +256,33 @@ CAUSES_SQL = "CASE root_cause WHEN 'error' THEN 'Brute Force' WHEN 'click' THEN
 @query(
     "remediation_actions",
     f"""
-    WITH n AS (SELECT * FROM (VALUES ('Brute Force', 3, 2, 3), ('Browser Anomaly', 3, 1, 3), ('Account Takeover', 4, 1, 4), ('Data Exfiltration', 5, 1, 5), ('Strange', 3, 0, 0)) t(cause, actions, autos, flags)),
+    -- fixed values: the flags of the causes that occur here
+    WITH n AS (SELECT * FROM (VALUES
+      ('Brute Force', 3, 2, [
+        'PCI-DSS v4.0 Req.8.3||account lockout and authentication controls must be enforced', 
+        'NCSC Cyber Essentials||Req.4: user access control; accounts must lock after repeated failed attempts', 
+        'NIS Regulations 2018, Reg.10||appropriate and proportionate security measures against authentication attacks']::VARCHAR[]),
+      ('Browser Anomaly', 3, 1, [
+        'NCSC Cyber Essentials||Req.4 (malware protection): browser security configuration must be maintained; unknown browsers indicate potential policy bypass', 
+        'NIS Regulations 2018, Reg.10||appropriate and proportionate measures against attacks exploiting unknown or misconfigured browser software', 
+        'UK GDPR Art.32||technical measures to ensure integrity of processing; unrecognised browser agent indicates potential session compromise']::VARCHAR[]),
+      ('Account Takeover', 4, 1, [
+        'PCI-DSS v4.0 Req.12.10||incident response procedure must be activated', 
+        'PCI-DSS v4.0 Req.8.2||all user IDs and authentication must be managed to prevent unauthorised access', 
+        'UK GDPR Art.32||appropriate technical measures to ensure authorised access to personal data only', 
+        'NCSC Cyber Essentials||Req.4: user access control; compromised account must be reviewed immediately']::VARCHAR[]),
+      ('Data Exfiltration', 5, 1, [
+        'UK GDPR Art.33||potential personal data breach: notification to ICO required within 72 hours', 
+        'UK GDPR Art.32||technical and organisational measures to ensure data confidentiality must be reviewed', 
+        'PCI-DSS v4.0 Req.12.10||incident response procedure must be activated', 
+        'PCI-DSS v4.0 Req.9.4||data access controls and audit trail must be preserved', 
+        'NIS Regulations 2018, Reg.10||operator must apply appropriate and proportionate security measures']::VARCHAR[]),
+      ('Strange', 3, 0, []::VARCHAR[])) t(cause, actions, autos, flags)),
+    s AS (SELECT * FROM (VALUES ('CRITICAL', ['ISO 27001 A.16||information security incident management procedure must be followed']), ('HIGH', ['ISO 27001 A.16||incident must be logged and reviewed within 24h'])) t(severity, flags)),
     a AS (SELECT anomaly_id, severity, {CAUSES_SQL} AS cause FROM {ANOMALIES_SQL})
-    SELECT a.anomaly_id, a.cause, n.actions, n.autos AS auto_actions, n.flags + CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 1 ELSE 0 END AS compliance_flags FROM a JOIN n USING (cause)
+    SELECT a.anomaly_id, a.cause, n.actions, n.autos AS auto_actions,
+           array_to_string(n.flags || coalesce(s.flags, []::VARCHAR[]), ' ## ') AS compliance_flags
+    FROM a JOIN n USING (cause) LEFT JOIN s USING (severity)
     """,
 )
 def remediation_actions(spark, sf_dir):
@@ -272,5 +296,5 @@ def remediation_actions(spark, sf_dir):
     return out.select(
         "anomaly_id", "cause", F.size("actions").alias("actions"),
         F.size(F.filter("actions", lambda x: x["auto_actionable"])).alias("auto_actions"),
-        F.size("compliance_flags").alias("compliance_flags"),
+        F.array_join("compliance_flags", " ## ").alias("compliance_flags"),
     )

@@ -63,7 +63,7 @@ KNN_SQL = f"""
 @query("knn_backfill", KNN_SQL + " SELECT query_id, id, rank, round(score, 6) AS score FROM knn")
 def knn_backfill(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
-    return vec.gated(rows, 10, vec.knn_join(rows, "vec_id", "embedding", 5)).withColumn("score", F.round("score", 6))
+    return vec.knn_join(rows, "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -373,7 +373,8 @@ def risk_contributions(spark, sf_dir):
 
 @query("daily_counts", f"SELECT CAST(ts AS DATE) AS ds, count(*) AS y FROM {DETECTIONS_SQL} WHERE k > 2 OR (SELECT count(*) FROM {DETECTIONS_SQL} WHERE k > 2) < 500 GROUP BY 1")
 def daily_counts(spark, sf_dir):
-    return learning.daily_counts(detections(spark, sf_dir).withColumn("real", F.col("k") > 2), "ts", "real")
+    rows = detections(spark, sf_dir).withColumn("real", F.col("k") > 2)
+    return learning.daily_counts(rows, "ts", "real", only_real=learning.enough_real(rows, "real"))
 
 
 @query("forecast")

@@ -73,8 +73,7 @@ def sample_files(files: DataFrame, time: str, path: str, how: str | float | int,
     """A period name keeps its first file each; below 1 is a fraction; 1 and above is a count."""
     if isinstance(how, str):
         bucketed = files.withColumn("_p", F.date_trunc(how, time))
-        first = bucketed.groupBy("_p").agg(F.min_by(F.struct(*files.columns), F.struct(time, path)).alias("_f"))
-        return first.select("_f.*")
+        return ordered.top_k(bucketed, ["_p"], 1, F.asc(time), F.asc(path), rank="_rank").drop("_p", "_rank")
     if how < 1:
         return files.sample(fraction=float(how), seed=seed)
     return files.orderBy(F.rand(seed)).limit(int(how))

@@ -77,25 +77,49 @@ def read_auth_log(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
     return flatten(spark.read.schema(schema).json(path))
 
 
-def read_zeek(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated log whose ``#fields`` and ``#types`` lines name and type the columns."""
-    lines = spark.read.text(path)
-    # Two header lines, whatever the file size.
-    head = lines.filter(F.col("value").startswith("#fields") | F.col("value").startswith("#types")).distinct().limit(3).collect()
-    header = {r["value"].split("\t")[0]: r["value"].split("\t")[1:] for r in head}
-    if len(header) != 2:
-        raise ValueError("files must share one #fields and one #types line")
-    parts = F.split("value", "\t")
+def read_zeek(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Tab-separated logs whose ``#fields`` and ``#types`` lines name and type the columns of their file.
 
-    def column(i: int, name: str, kind: str) -> Column:
-        text = parts.getItem(i)
+    Files may differ in their columns: each row is read by its own file's header, a column that a file lacks
+    is null there, and a column typed differently in different files is an error, as is a file whose header is
+    missing or repeated with other content. The driver sees the distinct headers only.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    header = lambda tag: F.collect_set(F.when(F.col("value").startswith(tag), F.col("value")))
+    files = lines.filter(F.col("value").startswith("#")).groupBy("_file").agg(header("#fields").alias("f"), header("#types").alias("t"))
+    bad = files.filter("size(f) <> 1 or size(t) <> 1").select("_file").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0][0]} must have one #fields and one #types line")
+    files = files.select("_file", F.concat_ws("\n", F.col("f")[0], F.col("t")[0]).alias("_header"))
+    layouts = [r["_header"] for r in files.select("_header").distinct().collect()]
+    if not layouts:
+        raise ValueError("no file has a #fields and a #types line")
+    kinds: dict[str, str] = {}
+    places = []
+    for layout in sorted(layouts):
+        names, types = (line.split("\t")[1:] for line in layout.split("\n"))
+        if len(names) != len(types):
+            raise ValueError(f"{len(names)} fields and {len(types)} types in one header")
+        for name, kind in zip(names, types):
+            if kinds.setdefault(name, kind) != kind:
+                raise ValueError(f"column {name} is both {kinds[name]} and {kind}")
+        places.append((layout, {name: i for i, name in enumerate(names)}))
+    parts = F.split("value", "\t")
+    body = lines.filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    # One layout, the usual case, needs no join.
+    body = body.withColumn("_header", F.lit(layouts[0])) if len(layouts) == 1 else body.join(files, "_file", "left")
+
+    def column(name: str, kind: str) -> Column:
+        text = F.lit(None).cast("string")
+        for layout, place in places:
+            if name in place:
+                text = F.when(F.col("_header") == layout, F.get(parts, F.lit(place[name]))).otherwise(text)
         value = F.when(~text.isin("-", "(empty)"), text)
         if kind == "bool":
             return F.when(value == "T", True).when(value == "F", False).alias(name)
         return value.try_cast(ZEEK_TYPES.get(kind, "string")).alias(name)
 
-    body = lines.filter(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return body.select(*[column(i, n, t) for i, (n, t) in enumerate(zip(header["#fields"], header["#types"]))])
+    return body.select(*[column(name, kind) for name, kind in kinds.items()])
 
 
 def read_snapshots(

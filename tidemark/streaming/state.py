@@ -153,7 +153,9 @@ class WindowedFlags(StatefulProcessor):
     """Holds events until the time window around them is complete, then flags those in anomalous bins.
 
     State is the count of each bin still needed and the held events. An event-time timer fires when the
-    watermark passes the end of the window; events too early to have a full left window pass unflagged.
+    watermark passes the end of the window; events too early to have a full left window pass unflagged. At the
+    end of the input a row without an id and with a late time closes all windows, and every event has come out.
+    ``spectral.bin_flags`` gives the same flags for a table.
     """
 
     def __init__(self, ts: str, row_id: str, resolution_s: int, half_bins: int, percentile: float, zthresh: float, hot_start: bool = False):
@@ -177,6 +179,9 @@ class WindowedFlags(StatefulProcessor):
         lowest = self.first.get()[0] if self.first.exists() else None
         fresh: dict[int, int] = {}
         for part in rows:
+            part = part[part[self.row_id].notna()]  # a row without an id only moves the watermark
+            if part.empty:
+                continue
             bins = micros(part[self.ts]) // (self.resolution * 1_000_000)
             for b, n in zip(*np.unique(bins, return_counts=True)):
                 fresh[int(b)] = fresh.get(int(b), 0) + int(n)
