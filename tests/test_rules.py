@@ -71,6 +71,14 @@ def test_bin_flags_find_a_burst(spark):
     assert len(out) == len(hours) and {r.s // 3600 for r in out if r.ts_anomaly} == {120}
 
 
+def test_scratch_folders_are_removed(spark):
+    kept, spark.sparkContext._tidemark_folders = getattr(spark.sparkContext, "_tidemark_folders", []), []
+    table = session.durable(spark.range(5))
+    folder = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and session.remove_scratch(spark) == 1 and not folder.exists()
+    spark.sparkContext._tidemark_folders = kept
+
+
 def test_workers_find_the_package_from_anywhere(tmp_path):
     """A job started in another folder, without a path to the sources in its environment."""
     root = Path(__file__).resolve().parents[1]

@@ -139,5 +139,20 @@ def few_local_partitions(spark: SparkSession):
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, for tables and stream checkpoints a job writes."""
     ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    sc._tidemark_folders = [*getattr(sc, "_tidemark_folders", []), path]
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Remove every folder that this context's jobs got from ``scratch_dir``; the number of folders.
+
+    Call it when results are stored elsewhere: tables read from these folders are gone afterwards.
+    """
+    sc = spark.sparkContext
+    folders, sc._tidemark_folders = getattr(sc, "_tidemark_folders", []), []
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
