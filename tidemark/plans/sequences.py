@@ -196,8 +196,8 @@ def consecutive_windows(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recent FROM d),
     l AS (SELECT *, lag(score) OVER w AS ps, lag(ts) OVER w AS pt, lead(score) OVER w AS ns, lead(ts) OVER w AS nt
           FROM r WHERE recent <= 50 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    f AS (SELECT *, score > ps AND epoch_us(ts) - epoch_us(pt) <= 86400000000 AS up,
-                    ns > score AND epoch_us(nt) - epoch_us(ts) <= 86400000000 AS next_up FROM l)
+    f AS (SELECT *, score > ps AND epoch_us(ts) - epoch_us(pt) <= 7200000000 AS up,
+                    ns > score AND epoch_us(nt) - epoch_us(ts) <= 7200000000 AS next_up FROM l)
     SELECT event_id, user_id, CASE WHEN up THEN 'Score escalation' WHEN next_up THEN 'Escalation trigger' ELSE '' END AS significance,
            coalesce(round(CASE WHEN up THEN score - ps END, 4), 0) AS score_gain,
            coalesce(round(CASE WHEN up THEN (epoch_us(ts) - epoch_us(pt)) / 6e7 END, 2), 0) AS minutes FROM f
@@ -206,7 +206,7 @@ def consecutive_windows(spark, sf_dir):
 def escalation(spark, sf_dir):
     recent = detections(spark, sf_dir).filter(F.col("ts") >= as_of() - F.expr("interval 30 days"))
     recent = ordered.top_k(recent, ["user_id"], 50, F.desc("ts"), F.desc("event_id"))
-    out = seq.escalations(recent, "user_id", "ts", "event_id", "score", 86400)
+    out = seq.escalations(recent, "user_id", "ts", "event_id", "score", 7200)
     return out.select(
         "event_id", "user_id", "significance",
         F.coalesce(F.round("score_gain", 4), F.lit(0.0)).alias("score_gain"),
