@@ -33,10 +33,10 @@ ALPHA = 1.0
 SPACE = "▁"
 #: Spaces with the characters up to the next space; a line feed is a unit of its own.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 STORES: dict = {}
 #: Characters of texts searched together.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Stands for the vocabulary's mark where a text itself has that character; no text can hold a lone surrogate.
 MARK = "\ud800"
 FACTOR = 0x9E3779B97F4A7C15
