@@ -29,7 +29,7 @@ REMEMBERED = 650_000
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 OTHER_SPACE = re.compile(r"[^\S \n]|\x01")
 #: So does a full stop or comma after a letter or digit; texts that have one after anything else are cut by pattern.
-OTHER_STOP = re.compile(r"[\W_][.,]")
+OTHER_STOP = re.compile(r"[.,](?<=[\W_].)")
 ENCODERS: dict = {}
 
 
