@@ -406,3 +406,34 @@ def test_license_scan(spark, empty):
     assert licenses.license_scan(df, df["path"]).count() == len(rows)
     nothing = empty.withColumn("path", F.lit("a/b"))
     assert licenses.license_scan(nothing, nothing["path"]).count() == 0
+
+
+HEADERS = {
+    "MIT": ["Please note: this is licensed under an MIT License", "/* SPDX-License-Identifier: MIT */"],
+    "Apache-2.0": [
+        'Licensed to the Apache Software Foundation (ASF) under one or more\ncontributor license agreements.  See the NOTICE file distributed with\nthis work for additional information regarding copyright ownership.\nThe ASF licenses this file to You under the Apache License, Version 2.0\n(the "License"); you may not use this file except in compliance with\nthe License.  You may obtain a copy of the License at\n\n   http://www.apache.org/licenses/LICENSE-2.0',
+        "# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception",
+    ],
+    "GPL-2.0": [
+        " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.",
+        "// SPDX-License-Identifier: GPL-2.0-or-later", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": ["                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007"],
+    "MPL-2.0": ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"],
+    "BSD-3-Clause": ["// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file."],
+    None: ["SPDX-License-Identifier: MIT-0", "the driver's license of the house was under an old stone"],
+}
+
+
+@pytest.mark.parametrize("size,listed", [(200, 200_000), (20_000, 200_000), (200, 5)])
+def test_real_notices_are_found_at_every_corpus_size(spark, size, listed, monkeypatch):
+    monkeypatch.setattr(licenses, "LISTED", listed)
+    texts = [(name, "the of an in a " + text + " an in the house") for name, all_of in HEADERS.items() for text in all_of]
+    plain = "case when id % 5 < 3 then concat('an in the house of a walk ', id) else concat('river stone ', id) end"
+    corpus = spark.range(1000, 1000 + size).selectExpr("id as doc_id", f"{plain} as text")
+    df = corpus.unionByName(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"))
+    got = {r.id: r.license for r in licenses.license_scan(df, F.lit("a/x.txt")).filter("id < 1000").collect()}
+    assert {t: got[i] for i, (_, t) in enumerate(texts)} == {t: name for name, t in texts}
