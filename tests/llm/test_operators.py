@@ -329,6 +329,24 @@ def test_units_give_what_whole_texts_give():
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_are_what_the_untouched_library_gives(spark, odd, odd_rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import plans
+
+    t = Tokenizer.from_file(BYTE_BPE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x.<|endoftext|>  y", "<|endoftext|><|endoftext|>\n", "<|endof text|>", "a b"]
+    ids, counts = tokens.UnitEncoder(BYTE_BPE).encode(texts)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    odd.repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    start, by_id = 0, {i: x or "" for i, x, *_ in odd_rows}
+    for r in plans.op6_token_files(spark, str(tmp_path)).orderBy("start").collect():
+        ids = t.encode(by_id[r.doc_id], add_special_tokens=False).ids + [tokens.END]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r.doc_id
+        start += len(ids)
+
+
 # pieces
 
 

@@ -62,7 +62,7 @@ def op6_token_files(spark, sf_dir):
 
     docs = common.documents(spark, sf_dir)
     folder = session.scratch_dir(spark, "tokens")
-    tokens.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    tokens.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
     starts = tokens.token_starts(spark, folder)
     return tokens.digests(spark, folder).join(starts, "at").select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 

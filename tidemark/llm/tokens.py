@@ -50,16 +50,21 @@ def cut(texts: list[str]) -> pa.ListArray:
 class UnitEncoder:
     """Encodes texts unit by unit, where units are what the vocabulary's own splitting never joins.
 
-    Units seen lately are remembered in two generations: when the younger is full, it becomes the older one.
+    Units seen lately are remembered in two generations: when the younger is full, it becomes the older one. A text that
+    holds the content of an added token is encoded whole, as the library splits at such tokens before anything else.
+    With ``special_as_text`` the content of a special token is text like any other, which is not the library's default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         # Spark already runs a worker on every core; threads inside them would only wait for each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if special_as_text:
+            self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -83,7 +88,8 @@ class UnitEncoder:
 
         Almost every text is plain, and Arrow cuts it and counts off its units; the others are cut by pattern.
         """
-        simple = [k for k, t in enumerate(texts) if plain(t)]
+        whole = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
+        simple = [k for k, t in enumerate(texts) if k not in whole and plain(t)]
         lists = cut([texts[k] for k in simple])
         coded = pc.list_flatten(lists).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
@@ -95,10 +101,14 @@ class UnitEncoder:
         for k, a, n in zip(simple, starts.tolist(), sizes.tolist()):
             by_text[k] = codes[a : a + n]
         for k, text in enumerate(texts):
-            if by_text[k] is None:
+            if by_text[k] is None and k not in whole:
                 by_text[k] = np.array([name(u) for u in BOUNDARY.split(text)], np.int64)
-        codes = np.concatenate([np.empty(0, np.int64), *by_text])
         data = self.ids_of(list(place))
+        # Whole texts are not remembered; their ids follow those of the units.
+        for k in sorted(whole):
+            by_text[k] = np.array([len(data)], np.int64)
+            data.append(array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes())
+        codes = np.concatenate([np.empty(0, np.int64), *by_text])
         flat = np.frombuffer(b"".join(data), "<u4")
         length = np.fromiter(map(len, data), np.int64, len(data)) // 4
         offset = np.cumsum(length) - length
@@ -109,17 +119,18 @@ class UnitEncoder:
         return ids, np.diff(upto)
 
 
-def encoder(path: str) -> UnitEncoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = UnitEncoder(path)
-    return ENCODERS[path]
+def encoder(path: str, special_as_text: bool = False) -> UnitEncoder:
+    key = path, special_as_text
+    if key not in ENCODERS:
+        ENCODERS[key] = UnitEncoder(path, special_as_text)
+    return ENCODERS[key]
 
 
-def encoded(rows: DataFrame, path: str, end: int | None = END) -> DataFrame:
+def encoded(rows: DataFrame, path: str, end: int | None = END, special_as_text: bool = False) -> DataFrame:
     """(id, n_tokens, ids) of (id, text) rows, in the order of the rows."""
 
     def run(batches):
-        coder = encoder(path)
+        coder = encoder(path, special_as_text)
         for batch in batches:
             ids, counts = coder.encode(batch.column("text").to_pylist())
             if end is not None:
@@ -131,17 +142,18 @@ def encoded(rows: DataFrame, path: str, end: int | None = END) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_tokens long, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, id_col="doc_id", text_col="text", end: int | None = END) -> None:
+def write_tokens(docs: DataFrame, folder: str, path: str, id_col="doc_id", text_col="text", end: int | None = END, special_as_text: bool = True) -> None:
     """Write the token files of all rows, in ascending id order, to ``folder``.
 
     Texts are dealt by ranges of the id and sorted, so file part-k holds smaller ids than part-(k+1); tokens
     themselves are never shuffled. A null text is empty: its only id is the end id. A null id comes first; rows with
-    equal ids stay next to each other. An empty table writes no rows.
+    equal ids stay next to each other. An empty table writes no rows. ``special_as_text`` off gives the ids of the
+    tokenizer file as the library reads it; on, no text can forge a special token.
     """
     rows = common.text_rows(docs, id_col, text_col)
     parts = max(common.shuffle_partitions(docs.sparkSession), 1)
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    out = encoded(ordered, path, end).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    out = encoded(ordered, path, end, special_as_text).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
     (
         out.write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
