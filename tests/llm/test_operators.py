@@ -274,6 +274,24 @@ def test_junk_leaves_and_prose_stays(spark):
     assert all(r.kept == (r.id < 300) for r in got)
 
 
+def test_a_bad_source_does_not_set_its_own_limits(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["the", "of", "house", "river", "stone", "walk", "green", "seven", "paper", "window", "light", "cat"]
+    good = lambda: " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(60))
+    marks = lambda: " ".join(f"{rng.choice(words)}{rng.randrange(999)}###" for _ in range(60))
+    lines = lambda: "\n".join([good()] + [rng.choice(words)] * 30)
+    capitals = lambda: good().upper()
+    for junk in (marks, lines, capitals):
+        bad = [(i, junk() if i % 5 < 2 else good(), "en", "bad") for i in range(300)]
+        rest = [(i, good(), "en" if i % 2 else "fr", "rest") for i in range(300, 900)]
+        # Long words of another language are no junk, though most rows have short ones.
+        long = [(i, good().replace(" ", "longwordsinonepiece "), "xx", "rest") for i in range(900, 1050)]
+        got = quality.judged(spark.createDataFrame(bad + rest + long, "doc_id long, text string, lang string, source string")).collect()
+        assert all(r.kept == (r.id >= 300 or r.id % 5 >= 2) for r in got)
+
+
 # language
 
 

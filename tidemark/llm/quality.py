@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds: quantile sketches per language and source replace fixed cutoffs.
 
 A sketch counts values in buckets of constant relative width, so sketches merge by adding counts, in any order and
-with the same result. They are kept per language and source, per language, and for all rows; a group with too few
-rows takes the next wider sketch. A row fails a rule when it lies beyond the group's quartile by more than six times
-the distance of that quartile from the median, and by no less than the rule's margin.
+with the same result. They are kept per language and source, per language, and for all rows. A sketch's fence lies
+beyond its quartile by six times the distance of that quartile from the median, and by no less than the rule's margin.
+A row fails a rule when it lies beyond the tightest fence of its group and the wider sketches, so a source that is
+mostly junk does not set its own limits; a group with too few rows has the wider sketches only. Word length differs
+between scripts, so its limits come from all rows only where a language has too few rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Bucket width of a sketch (a value is known within 1 %), and rows below which a wider sketch decides.
 GAMMA, LEAST_ROWS = 1.02, 100
-#: The middle half of a group sets its fences, so a group may hold up to a quarter of junk without hiding it.
+#: The middle half of a sketch sets its fences, so junk hides only if it is over a quarter of every sketch it is in.
 LOW, MIDDLE, HIGH = 0.25, 0.5, 0.75
 SPREAD = 6
 #: rule -> (value from the measured columns, margin below or None, margin above or None)
@@ -35,6 +37,8 @@ RULES = {
     "word_length": ("try_divide(word_chars, n_words)", 1.5, 4.0),
     "upper_share": ("try_divide(n_upper, word_chars)", None, 0.3),
 }
+#: Rules whose values depend on the language: a language with enough rows is not held to the fence of all rows.
+BY_LANGUAGE = ("word_length",)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 SALT = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 UPPER = bytes(range(65, 91))
@@ -154,17 +158,23 @@ def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", s
     rows = session.durable(rows.withColumns({"lang_key": key("lang"), "source_key": key("source")}))
     limits = session.durable(thresholds(rows, rules))
     limits = limits.filter(f"n >= {LEAST_ROWS} or level = 2").drop("level")
-    # For each group with rows, the finest sketch that is large enough.
+    # For each group with rows, the tightest fence of the sketches that are large enough; nulls do not count.
     groups = rows.groupBy("lang_key", "source_key").agg(F.count("*").alias("members"))
     bounds = [c for c in limits.columns if c[:3] in ("lo_", "hi_")]
     own = limits.select("lang_key", "source_key", F.struct(*bounds).alias("own"))
     lang = limits.filter("source_key = '*' and lang_key <> '*'").select("lang_key", F.struct(*bounds).alias("lang_own"))
     whole = limits.filter("source_key = '*' and lang_key = '*'").select(F.struct(*bounds).alias("whole"), F.lit(1).alias("one"))
+    def tightest(bound):
+        finer = [F.col(f"own.{bound}"), F.col(f"lang_own.{bound}")]
+        pick = F.greatest if bound[:3] == "lo_" else F.least
+        if bound[3:] in BY_LANGUAGE:
+            return F.when(F.col("lang_own").isNull(), pick(*finer, F.col(f"whole.{bound}"))).otherwise(pick(*finer)).alias(bound)
+        return pick(*finer, F.col(f"whole.{bound}")).alias(bound)
+
     chosen = (
         groups.join(own, ["lang_key", "source_key"], "left").join(lang, "lang_key", "left")
         .withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left")
-        .select("lang_key", "source_key", "members", F.coalesce("own", "lang_own", "whole").alias("b"))
-        .select("lang_key", "source_key", "members", "b.*")
+        .select("lang_key", "source_key", "members", *map(tightest, bounds))
     )
     rows = common.attach(rows, session.durable(chosen), ["lang_key", "source_key"], "members")
     broken = []
