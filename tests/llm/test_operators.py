@@ -236,6 +236,25 @@ def test_pii_base_kinds_match_the_patterns(odd, odd_rows, empty):
     assert pii.pii_spans(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before,span,after,kind",
+    [
+        ("IBAN ", "BE68 5390 0754 7034", " BIC: X", "iban"), ("", "ES91 2100 0418 4502 0005 1332", " BIC X", "iban"), ("", "BE68539007547034", " EUR 50", "iban"),
+        ("to ", "AT61 1904 3002 3457 3201", " 2024", "iban"), ("", "NO93 8601 1117 947", " KID", "iban"), ("", "GB82WEST12345698765432", " GBP 5", "iban"), ("", "DE89 3704 0044 0532 0130 00", "", "iban"),
+        ("BE68 5390 0754 7035 ", "BE68 5390 0754 7034", ".", "iban"), ("", "078-05-1120", " is my social security number", "ssn"), ("SSN: ", "078-05-1120", "", "ssn"),
+    ],
+)
+def test_accounts_end_at_their_length_and_context_is_on_both_sides(before, span, after, kind):
+    text = before + span + after
+    found = [s for s in pii.find(text) if s["kind"] == kind]
+    assert [text[s["start"] : s["end"]] for s in found] == [span]
+    assert span not in pii.masked(text, pii.find(text))
+
+
+def test_numbers_without_check_or_context_are_no_accounts():
+    assert not [s for s in pii.find("BE68 5390 0754 7035 BIC, part 078-05-1120 of the list") if s["kind"] in ("iban", "ssn")]
+
+
 # quality
 
 
