@@ -91,3 +91,11 @@ def test_workers_find_the_package_from_anywhere(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", job], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in done.stdout, done.stderr[-800:]
+
+
+def test_a_short_last_segment_joins_the_one_before(spark):
+    rows = [(u, float(i), i + k, 500.0 if i == n - 1 else float(i % 2)) for u, n, k in (("a", 101, 0), (None, 105, 1000), ("c", 9, 2000)) for i in range(n)]
+    df = spark.createDataFrame(rows, "u string, ts double, id long, v double")
+    got = spectral.event_anomalies(df, "u", "ts", "id", "v", segment=100)
+    assert sorted(r.id for r in got.collect()) == [100, 1104]
+    assert got.columns == df.columns

@@ -84,11 +84,18 @@ def event_anomalies(
 ) -> DataFrame:
     """Rows of the events whose signal value is anomalous within the user's sequence.
 
-    The sequence is analysed in consecutive segments of ``segment`` events, for every user alike; a segment of
-    fewer than ``min_history`` events has no anomalies.
+    The sequence is analysed in consecutive segments of ``segment`` events (``min_history`` at least), for every user
+    alike; a last segment of fewer than ``min_history`` events belongs to the one before it. A user of fewer than
+    ``min_history`` events in all has no anomalies.
     """
+    segment = max(segment, min_history)
     rows = ordered.row_index(df.select(user, ts, row_id, signal), [user], [ts, row_id], "_i")
-    rows = rows.withColumn("_segment", F.floor(F.col("_i") / segment))
+    # At most one row for every ``segment`` events.
+    rest = df.groupBy(F.col(user).alias("_user")).agg(F.count(F.lit(1)).alias("_n"))
+    rest = rest.filter((F.col("_n") > segment) & (F.col("_n") % segment).between(1, min_history - 1))
+    rest = rest.select("_user", (F.floor(F.col("_n") / segment) - 1).alias("_last"))
+    rows = rows.join(rest, rows[user].eqNullSafe(rest["_user"]), "left").drop("_user")
+    rows = rows.withColumn("_segment", F.least(F.floor(F.col("_i") / segment), F.col("_last"))).drop("_last")
 
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_history:
