@@ -100,6 +100,16 @@ def test_mixture(odd, odd_rows, empty):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_short_rows_are_spread_over_shards(spark):
+    counts = spark.createDataFrame([(0, 350_000), (10, 100_001), (5_000_000, 10), (0, 1)], "words long, n long")
+    assert [r.s for r in counts.select(mixing.shard_count(F.col("words"), F.col("n")).alias("s")).collect()] == [4, 2, 3, 1]
+    text = F.when(F.col("id") % 10 == 0, "one two three four five").when(F.col("id") % 2 == 0, "")
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("a").alias("source"))
+    got = mixing.mixture(docs, block=5, shard_rows=50).collect()
+    assert len(got) == 400 and sum(r.taken for r in got) == 300
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+
+
 # near duplicates
 
 

@@ -16,8 +16,8 @@ from tidemark import session
 from tidemark.llm import common
 
 SHARE, MOST = 1.5, 2
-#: Words of a block, and words of a shard at which a source is cut into more of them.
-BLOCK, SHARD = 50, 2_000_000
+#: Words of a block, and words and rows of a shard at which a source is cut into more of them.
+BLOCK, SHARD, SHARD_ROWS = 50, 2_000_000, 100_000
 SEED = "mix-1"
 #: The weights of sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -90,15 +90,21 @@ def targets(sources: DataFrame, share: float = SHARE, most: int = MOST) -> DataF
     )
 
 
+def shard_count(words, rows, shard_words: int = SHARD, shard_rows: int = SHARD_ROWS):
+    """Shards of a source: by its words, and by its rows where most are empty or very short."""
+    return F.greatest(F.lit(1), F.ceil(words / F.lit(shard_words)), F.ceil(rows / F.lit(shard_rows))).cast("long")
+
+
 def mixture(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    share: float = SHARE, most: int = MOST, block: int = BLOCK, shard_words: int = SHARD, seed: str = SEED,
+    share: float = SHARE, most: int = MOST, block: int = BLOCK, shard_words: int = SHARD, shard_rows: int = SHARD_ROWS, seed: str = SEED,
 ) -> DataFrame:
     """(row, id, source, size, source_size, weight, target, taken), one row per input row.
 
     A null text has size 0 and takes 0; a null source is a source of its own, ordered last. Repeated rows count
     each for itself. Seed and ids decide the order, so reruns agree; an empty table gives no rows. Only ids and
-    counts are shuffled, never texts, and a source of any size is spread over shards of about ``shard_words``.
+    counts are shuffled, never texts, and a source of any size is spread over shards of about ``shard_words`` words or
+    ``shard_rows`` rows, whichever gives more of them.
     """
     common.prepare(docs.sparkSession)
     ids = docs[id_col].cast("long")
@@ -115,7 +121,7 @@ def mixture(
     goals = goals.withColumn("name", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).drop("source", "source_size")
     sources = session.durable(sizes.join(goals, "name").drop("source"))
 
-    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words))).cast("long")
+    shards = shard_count(F.col("source_size"), F.col("members"), shard_words, shard_rows)
     dealt = common.attach(rows, sources, ["name"], "members")
     dealt = session.durable(
         dealt.withColumn("shard", F.conv(F.substring("turn", 25, 8), 16, 10).cast("long") % shards)
