@@ -1,20 +1,19 @@
-"""Repeated passages by prefix doubling over positions of all documents.
+"""Repeated passages by winnowing: fingerprints of anchor positions are grouped in Spark, then whole windows around them.
 
-The rank of a position at length h names the h-byte string that starts there: equal strings have equal ranks. Ranks at a
-larger length come from pairs of ranks at an offset: string(p, 2h) = string(p, h) + string(p + h, h). Spark sorts the
-pairs, equal pairs get one rank, the smallest document that holds it, and positions whose string occurs in one
+This replaces prefix doubling in Spark, which would sort every byte position and join its ranks round by round. No round
+here reads names made by an earlier one: the name of a string of any length is a hash, computed inside a task. Spark
+groups equal names, each group has the smallest document that holds it, and positions whose string occurs in one
 document only are dropped before the next, longer round. The last round reaches the wanted length.
 
-Sorting every byte position of a corpus is far more than the answer needs, so the first round is sampled: a
-position counts as an anchor when its rank name is the smallest of some window of the wanted length around it.
+A position counts as an anchor when the name of its first SEED bytes is the smallest of some window of the wanted length.
 Equal windows have equal anchors, so a repeated string always shows at its anchors, and about one in thirteen
-positions is sorted. What survives is then looked at position by position:
+positions is grouped. What survives is then looked at position by position:
 
   round 1   anchors, by the name of their first SEED bytes: those found in one document only are dropped
   round 2   surviving anchors, by the name of all bytes that any window over the anchor can cover: an anchor with
             the same surroundings as one in a smaller document is repeated as a whole
-  round 3   of what is left, each window over an anchor, by the pair (rank at p, rank at p + length - SEED); what a
-            task sees twice is settled there, and only the rest is sorted
+  round 3   of what is left, each window over an anchor, by two fingerprints (64 and 32 bits) of the whole window; what a
+            task sees twice is settled there, and only the rest is sent on
 
 Documents with equal texts are told apart first: a copy of a smaller document is removed as a whole.
 """
@@ -47,7 +46,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def names(data: np.ndarray, length: int, salt: np.uint64 = MULTIPLY) -> np.ndarray:
-    """A 64-bit name of the string of ``length`` bytes at every position, by doubling: pairs of names at an offset."""
+    """A 64-bit name of the string of ``length`` bytes at every position, by a hash that doubles its length inside the task."""
     n = len(data) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -187,7 +186,7 @@ def wide_pieces(data: np.ndarray, width: int):
 def window_pairs(rows: DataFrame, length: int, seed: int) -> DataFrame:
     """(rank_1, rank_2, id, a, b, known) for the windows over the anchors of (id, text, ats) rows, each window once.
 
-    The ranks are names of the first and the last SEED bytes, paired: together they are the whole window. Within
+    Both ranks are fingerprints of the whole window, of different hashes, computed from its two ends. Within
     a batch, windows of a document that a smaller one in the batch holds too are ``known`` to be repeated; they
     come as ranges [a, b) of what they cover, with ranks of no meaning. All others come one by one, for comparison
     with other batches.
