@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import common, exact, language, licenses, mixing, neardup, pieces, pii, quality, suffix, tokens
+from tidemark.llm import (
+    common, exact, language, licenses, manifest, mixing, neardup, pieces, pii, quality, resampling, suffix, tokens, vectordups,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -142,3 +144,116 @@ def op7_license_scan(spark, sf_dir):
     path = F.when(top, F.concat_ws("/", docs["source"], tenth, name)).otherwise(F.concat_ws("/", docs["source"], tenth, hundred, name))
     scanned = licenses.license_scan(docs, path).withColumnRenamed("id", "doc_id")
     return scanned.withColumn("license", F.coalesce("license", F.lit("")))
+
+
+@query(
+    "op11_embedding_near_duplicates",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+    c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+    SELECT node AS vec_id, (SELECT count(*) FROM l WHERE l.a = node) AS n_links, component_id, node = component_id AS kept FROM c
+    """,
+)
+def op11_embedding_near_duplicates(spark, sf_dir):
+    return vectordups.near_vectors(session.table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: The unsigned CRC-32 of a text's UTF-8 bytes, by its bitwise definition.
+CRC32_MACROS = """
+    tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT] || range(8)::UBIGINT[],
+              lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) x(i)))
+"""
+
+
+def crc32_sql(text: str) -> str:
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda k: ('0x' || substr(hex(encode({text})), 2 * k - 1, 2))::UBIGINT)"
+    step = "xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])"
+    return f"xor(list_reduce([4294967295::UBIGINT] || {octets}, lambda c, b: {step}), 4294967295::UBIGINT)"
+
+
+LOWER_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op12_importance_resampling",
+    f"""
+    WITH {CRC32_MACROS},
+    d AS (SELECT doc_id, {LOWER_WORDS} AS ws FROM documents),
+    b AS (SELECT {LOWER_WORDS} AS ws FROM benchmark),
+    dw AS (SELECT doc_id, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+    words AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+    named AS (SELECT w, ({crc32_sql("w")} % 10000)::BIGINT AS bucket FROM words, tab),
+    s AS (SELECT bucket, count(*) AS n FROM dw JOIN named USING (w) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS n FROM bw JOIN named USING (w) GROUP BY bucket),
+    g AS (SELECT named.w, floor(1000 * ln(((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000))::DOUBLE
+                 / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))::DOUBLE))::BIGINT AS gain
+          FROM named LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+    m AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS mean FROM dw JOIN g USING (w) GROUP BY doc_id),
+    h AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(mean, 0) AS weight,
+                 ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+    scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+    places AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+                      count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM places
+    """,
+)
+def op12_importance_resampling(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    drawn = resampling.resampled(docs, session.table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def field_sql(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(field_sql(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+    WITH RECURSIVE {CRC32_MACROS},
+    docs AS (SELECT doc_id, lang, {leaf_sql("n_chars")} AS leaf,
+                    CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN {leaf_sql("n_chars + 1")} ELSE {leaf_sql("n_chars")} END AS shown,
+                    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM documents, tab),
+    up AS (SELECT lang, 0 AS level, place AS k, leaf AS digest, count(*) OVER (PARTITION BY lang) AS width FROM docs
+           UNION ALL
+           SELECT lang, level + 1, k // 2, sha256(string_agg(digest, '' ORDER BY k)), (max(width) + 1) // 2
+           FROM up WHERE width > 1 GROUP BY lang, level, k // 2),
+    sub AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, count(*) OVER () AS width FROM up WHERE width = 1),
+    top AS (SELECT 0 AS level, k, subroot AS digest, width FROM sub
+            UNION ALL
+            SELECT level + 1, k // 2, sha256(string_agg(digest, '' ORDER BY k)), (max(width) + 1) // 2 FROM top WHERE width > 1 GROUP BY level, k // 2),
+    proof AS (SELECT doc_id, lang, level, k, p, width, proof, folded FROM (
+                SELECT doc_id, d.lang, 0 AS level, place AS k, place AS p, u.width, '' AS proof, shown AS folded
+                FROM docs d JOIN (SELECT lang, max(width) AS width FROM up WHERE level = 0 GROUP BY lang) u ON d.lang IS NOT DISTINCT FROM u.lang)
+              UNION ALL
+              SELECT q.doc_id, q.lang, q.level + 1, q.k // 2, q.p, (q.width + 1) // 2, q.proof || coalesce(n.digest, ''),
+                     sha256(CASE WHEN q.k % 2 = 0 THEN q.folded || coalesce(n.digest, '') ELSE n.digest || q.folded END)
+              FROM proof q LEFT JOIN up n ON n.lang IS NOT DISTINCT FROM q.lang AND n.level = q.level AND n.k = xor(q.k, 1)
+              WHERE q.width > 1),
+    ended AS (SELECT proof.doc_id, subroot, sub.k, sub.width, proof, folded FROM proof JOIN sub ON proof.lang IS NOT DISTINCT FROM sub.lang WHERE proof.width = 1),
+    last AS (SELECT doc_id, subroot, 0 AS level, k, width, proof, folded FROM ended
+             UNION ALL
+             SELECT q.doc_id, q.subroot, q.level + 1, q.k // 2, (q.width + 1) // 2, q.proof || coalesce(n.digest, ''),
+                    sha256(CASE WHEN q.k % 2 = 0 THEN q.folded || coalesce(n.digest, '') ELSE n.digest || q.folded END)
+             FROM last q LEFT JOIN top n ON n.level = q.level AND n.k = xor(q.k, 1) WHERE q.width > 1)
+    SELECT docs.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+    FROM docs JOIN last ON last.doc_id = docs.doc_id AND last.width = 1, (SELECT digest AS root FROM top WHERE width = 1)
+    """,
+)
+def op13_merkle_manifest(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    when = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0
+    whole = manifest.manifest(docs, changed={"n_chars": docs["n_chars"] + 1}, when=when).withColumnRenamed("id", "doc_id")
+    return whole.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
