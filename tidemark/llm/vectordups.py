@@ -29,10 +29,9 @@ COSINE = 0.9
 #: Vectors from which the rotation is learnt (the first by a hash of their values); every vector is indexed.
 SAMPLE = 20_000
 ROUNDS, SEED = 50, 17
-#: Hamming tables, and cells that a vector looks into in each: its own and those across its least certain bits.
-TABLES, PROBES = 5, 16
-#: Length of the whole code at least, whatever the slices need: it rules out most of what merely shares a cell.
-LEAST_BITS = 128
+#: Hamming tables, and cells that a vector looks into in each: its own and those across its least certain bits. Beyond
+#: DIFFERENT bits of a slice expected to differ, every 0.45 more adds a table and doubles the cells (``effort``).
+TABLES, PROBES, DIFFERENT = 5, 16, 1.9
 #: Vectors for each cell of a table, on average: the length of the slices follows from the number of vectors.
 OCCUPANCY = 8
 #: Members from which on a cell may give a ball, and cells asked in one round (the next round asks the others).
@@ -46,10 +45,10 @@ MARGIN = 1e-7
 class Quantiser:
     """Mean, principal axes and learnt rotations; ``values`` gives the numbers whose signs are the code."""
 
-    def __init__(self, sample: np.ndarray, bits: int, seed: int = SEED, rounds: int = ROUNDS):
+    def __init__(self, sample: np.ndarray, bits: int, centre: bool = True, seed: int = SEED, rounds: int = ROUNDS):
         dims = sample.shape[1]
         rng = np.random.default_rng(seed)
-        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(dims)
+        self.mean = sample.mean(axis=0) if centre else np.zeros(dims)
         centred = sample - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred + 1e-12 * np.eye(dims))
         parts = []
@@ -68,6 +67,30 @@ class Quantiser:
         return (vectors - self.mean) @ self.turn
 
 
+def bit_rate(sample: np.ndarray, cosine: float) -> tuple[float, bool]:
+    """(share of bits in which a pair at the threshold differs, whether to take the mean away first).
+
+    Taking the mean away balances the bits but widens angles if vectors lie close to it: with a centred squared norm r a
+    pair at the threshold has cosine 1 - (1 - cosine) / r. Where that leaves little, the mean stays.
+    """
+    centred = sample - sample.mean(axis=0)
+    r = np.quantile((centred**2).sum(axis=1), 0.05)
+    left = 1 - (1 - cosine) / r if r > 0 else -1.0
+    return (math.acos(left) / math.pi, True) if left >= 0.3 else (math.acos(cosine) / math.pi, False)
+
+
+def effort(n: int, rate: float) -> tuple[int, int, int, int]:
+    """(bits of a slice, tables, cells looked into per table, bits of the whole code) for ``n`` vectors.
+
+    Recall does not fall as ``n`` grows: tables and cells follow the bits of a slice expected to differ at the threshold. The
+    whole code is so long that linked and unrelated pairs lie nine deviations apart.
+    """
+    width = min(62, max(4, math.ceil(math.log2(max(2, n / OCCUPANCY)))))
+    more = max(0, math.ceil((width * rate - DIFFERENT) / 0.45))
+    tables, probes = TABLES + more, PROBES << min(more, 10)
+    return width, tables, len(flips(width, probes)), max(math.ceil((4.5 / (0.5 - rate)) ** 2), tables * width)
+
+
 def flips(width: int, probes: int) -> np.ndarray:
     """probes x width: which of a slice's bits, ordered from the least certain on, are flipped together.
 
@@ -133,10 +156,9 @@ def coded(nodes: DataFrame, quantiser: Quantiser, width: int, tables: int, probe
     return rows.mapInArrow(code, "node long, code array<long>, cells array<long>, looks array<long>")
 
 
-def most_different(bits: int, cosine: float) -> int:
+def most_different(bits: int, rate: float) -> int:
     """Different bits beyond which a linked pair is not expected: five deviations over the mean at the threshold."""
-    p = math.acos(cosine) / math.pi
-    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * rate + 5 * math.sqrt(bits * rate * (1 - rate)))
 
 
 def different(a: str, b: str, words: int):
@@ -265,13 +287,13 @@ def asked(asks: DataFrame, members: DataFrame, stats: DataFrame, nodes: DataFram
     return counts, links
 
 
-def met_in_tables(codes: DataFrame, nodes: DataFrame, bits: int, probes: int, cosine: float) -> DataFrame:
+def met_in_tables(codes: DataFrame, nodes: DataFrame, bits: int, probes: int, most: int, cosine: float) -> DataFrame:
     """Linked pairs (a, b), a < b, of nodes of which one looks into a cell of the other."""
     words = -(-bits // 64)
     own = codes.select(F.col("node").alias("a"), F.col("code").alias("code_a"), F.posexplode("cells").alias("t", "cell"))
     looks = codes.select(F.col("node").alias("b"), F.col("code").alias("code_b"), F.posexplode("looks").alias("at", "cell"))
     looks = looks.select("b", "code_b", F.floor(F.col("at") / probes).cast("int").alias("t"), "cell")
-    near = (F.col("a") != F.col("b")) & (different("code_a", "code_b", words) <= most_different(bits, cosine))
+    near = (F.col("a") != F.col("b")) & (different("code_a", "code_b", words) <= most)
     pairs = own.join(looks, ["t", "cell"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = session.durable(pairs.distinct())
 
@@ -295,16 +317,16 @@ def sampled(nodes: DataFrame, n: int, sample: int) -> np.ndarray:
     return matrix(low.orderBy(rank, "node").limit(sample).select("unit").toArrow().column("unit"))
 
 
-def linked_nodes(nodes: DataFrame, cosine: float, sample: int, tables: int, probes: int) -> tuple[DataFrame, DataFrame]:
+def linked_nodes(nodes: DataFrame, cosine: float, sample: int) -> tuple[DataFrame, DataFrame]:
     """Counts (node, n) of linked vectors in other nodes, and links (a, b) that connect all that is linked.
 
     ``nodes`` (node, unit, weight) is a written table of vectors of one length.
     """
     n = nodes.count()
-    width = min(62, max(4, math.ceil(math.log2(max(2, n / OCCUPANCY)))))
-    bits = max(LEAST_BITS, tables * width)
-    probes = len(flips(width, probes))
-    quantiser = Quantiser(sampled(nodes, n, sample), bits)
+    learnt = sampled(nodes, n, sample)
+    rate, centre = bit_rate(learnt, cosine)
+    width, tables, probes, bits = effort(n, rate)
+    quantiser = Quantiser(learnt, bits, centre)
     codes = session.durable(coded(nodes, quantiser, width, tables, probes))
     members, asks = balls(nodes, codes, cosine)
     weighed = members.join(nodes.select("node", "weight"), "node")
@@ -318,15 +340,14 @@ def linked_nodes(nodes: DataFrame, cosine: float, sample: int, tables: int, prob
     counts = counts.unionByName(inside.select("node", (F.col("ball_weight") - F.col("weight")).alias("n")))
     links = links.unionByName(inside.select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a <> b"))
     free = session.durable(codes.join(session.broadcast_if_small(members.select("node")), "node", "left_anti"))
-    pairs = met_in_tables(free, nodes, bits, probes, cosine)
+    pairs = met_in_tables(free, nodes, bits, probes, most_different(bits, rate), cosine)
     two = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = counts.unionByName(two.join(nodes.select(F.col("node").alias("b"), "weight"), "b").select(F.col("a").alias("node"), F.col("weight").alias("n")))
     return counts.groupBy("node").agg(F.sum("n").alias("n")), links.unionByName(pairs)
 
 
 def near_vectors(
-    vectors: DataFrame, id_col="vec_id", vector_col="embedding", cosine: float = COSINE, sample: int = SAMPLE,
-    tables: int = TABLES, probes: int = PROBES,
+    vectors: DataFrame, id_col="vec_id", vector_col="embedding", cosine: float = COSINE, sample: int = SAMPLE
 ) -> DataFrame:
     """(id, n_links, component_id, kept), one row per input row.
 
@@ -351,7 +372,7 @@ def near_vectors(
     counts, links = [], []
     for row in classes.select("dims").distinct().orderBy("dims").collect():
         nodes = session.durable(classes.filter(F.col("dims") == row["dims"]).select("node", "unit", "weight"))
-        n, found = linked_nodes(nodes, cosine, sample, tables, probes)
+        n, found = linked_nodes(nodes, cosine, sample)
         counts.append(session.durable(n))
         links.append(session.durable(found))
     if not counts:
