@@ -225,3 +225,13 @@ def test_manifest_of_few_rows(spark, odd, empty):
     one = manifest.manifest(odd.filter("doc_id = 1")).first()
     assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["proof"] == "" and one["verified"]
     assert one["proof_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_worker_keeps_one_operators_store():
+    from tidemark.llm import common
+
+    one = common.remembered("a")
+    one["x"] = 1
+    assert common.remembered("a") is one and common.remembered("a")["x"] == 1
+    assert common.remembered("b") == {} and one == {} and list(common.REMEMBERED) == ["b"]
+    common.remembered("")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import session
@@ -17,6 +17,20 @@ HEAVY_GROUPS = 1000
 HEAVY_LEAST = 64
 #: White space of the contracts: space and \x09-\x0D, so a word is a maximal run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What an operator's tasks remember in a Python worker for its next tasks, by operator. Workers outlive stages, so only
+#: the operator that runs keeps anything: see ``remembered``.
+REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """The store of the operator that now runs in this worker; what others remembered there goes."""
+    others = [name for name in REMEMBERED if name != owner]
+    for name in others:
+        REMEMBERED[name].clear()
+        del REMEMBERED[name]
+    if others:
+        gc.collect()
+    return REMEMBERED.setdefault(owner, {})
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -124,26 +138,3 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
         before = tuple(now)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
-def running_totals(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over all rows before each one in ``order``, without a single-task window over all rows.
-
-    Rows are range partitioned; a window runs inside each of 1,024 fixed slices of the order column's rank space
-    and the slices' sums, at most 1,024 rows, carry the totals on.
-    """
-    n = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
-    if not n["n"]:
-        return rows.withColumn(out, F.lit(0).cast("long"))
-    width = max(1, -(-(n["hi"] - n["lo"] + 1) // 1024))
-    sliced = rows.withColumn("slice", F.floor((F.col(order) - n["lo"]) / F.lit(width)).cast("int"))
-    sums = sliced.groupBy("slice").agg(F.sum(value).alias("slice_sum"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select("slice", F.coalesce(F.sum("slice_sum").over(before), F.lit(0)).alias("carry"))
-    inside = Window.partitionBy("slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sliced.withColumn("within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(carried), "slice")
-        .withColumn(out, (F.col("carry") + F.col("within")).cast("long"))
-        .drop("slice", "within", "carry")
-    )

@@ -175,6 +175,7 @@ def identified(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches):
+        common.remembered("language")
         model = shared.value
         for batch in batches:
             found = [decide(t.as_py(), model) for t in batch.column("text")]
@@ -195,6 +196,7 @@ def identified_rows(docs: DataFrame, model: LanguageFilter, columns: list[str],
     rows = docs.select(*columns)
 
     def predict(batches):
+        common.remembered("language")
         model = shared.value
         for batch in batches:
             lang, score, coverage = zip(*[decide(t.as_py(), model) for t in batch.column(text_col)])

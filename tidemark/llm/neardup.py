@@ -132,6 +132,7 @@ def signatures(docs: DataFrame, id_col="doc_id", text_col="text", words: int = W
     """
 
     def sign(batches):
+        common.remembered("neardup")
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
             bits: list = [[] for _ in sets]

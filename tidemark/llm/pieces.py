@@ -34,7 +34,6 @@ SPACE = "▁"
 #: Spaces with the characters up to the next space; a line feed is a unit of its own.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
 REMEMBERED = 150_000
-STORES: dict = {}
 #: Characters of texts searched together.
 SLICE = 1_000_000
 #: Stands for the vocabulary's mark where a text itself has that character; no text can hold a lone surrogate.
@@ -367,9 +366,10 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
 
 
 def store_of(path: str, alpha: float) -> Store:
-    if (path, alpha) not in STORES:
-        STORES[path, alpha] = Store(Vocabulary(path), alpha)
-    return STORES[path, alpha]
+    stores = common.remembered("pieces")
+    if (path, alpha) not in stores:
+        stores[path, alpha] = Store(Vocabulary(path), alpha)
+    return stores[path, alpha]
 
 
 def sampled(

@@ -30,7 +30,6 @@ BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 OTHER_SPACE = re.compile(r"[^\S \n]|\x01")
 #: So does a full stop or comma after a letter or digit; texts that have one after anything else are cut by pattern.
 OTHER_STOP = re.compile(r"[.,](?<=[\W_].)")
-ENCODERS: dict = {}
 
 
 def plain(text: str) -> bool:
@@ -121,9 +120,10 @@ class UnitEncoder:
 
 def encoder(path: str, special_as_text: bool = False) -> UnitEncoder:
     key = path, special_as_text
-    if key not in ENCODERS:
-        ENCODERS[key] = UnitEncoder(path, special_as_text)
-    return ENCODERS[key]
+    encoders = common.remembered("tokens")
+    if key not in encoders:
+        encoders[key] = UnitEncoder(path, special_as_text)
+    return encoders[key]
 
 
 def encoded(rows: DataFrame, path: str, end: int | None = END, special_as_text: bool = False) -> DataFrame:
