@@ -61,6 +61,8 @@ def test_unknown_loss_scalers_are_refused(spark):
     assert scoring.score(df, "user", model).count() == 6
     with pytest.raises(ValueError, match="modz"):
         scoring.score(df, "user", model, scaler="modz")
+    with pytest.raises(ValueError, match="robust"):
+        scoring.fit(df, "user", ["x"], ["c"], scalers=("robust",))
 
 
 def test_bin_flags_find_a_burst(spark):

@@ -53,6 +53,43 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[st
     return out.select(*keys, *columns)
 
 
+def _placed(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """Counted values with ``_upto``, how many of their key are not larger, and ``_n``, how many it has."""
+    counts = durable(counts.select(*keys, F.col(value).alias("_x"), F.col(count).alias("_c")).filter("_x is not null"))
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    placed = ordered.running_sum(counts, keys, ["_x"], F.col("_c"), "_upto")
+    if keys:
+        return ordered._null_safe(placed, totals, keys, "inner")
+    return placed.withColumn("_n", F.lit(totals.first()["_n"]))
+
+
+def weighted_lower_median(counts: DataFrame, keys: Sequence[str], value: str, count: str, out: str) -> DataFrame:
+    """``lower_median`` of values that are counted already, each value of a key once."""
+    middle = F.floor((F.col("_n") - 1) / 2)
+    placed = _placed(counts, keys, value, count)
+    return placed.groupBy(*keys).agg(F.min(F.when(F.col("_upto") > middle, F.col("_x"))).alias(out))
+
+
+def weighted_knots(counts: DataFrame, keys: Sequence[str], value: str, count: str, knots: int, out: str) -> DataFrame:
+    """Array of ``knots`` evenly spaced quantiles (linear interpolation) of counted values, smallest and largest included.
+
+    A value lists the positions it covers, so a key passes on at most two numbers for every knot.
+    """
+    placed = _placed(counts, keys, value, count)
+    step = (F.col("_n") - 1) / F.lit(knots - 1.0)
+    wanted = F.transform(
+        F.sequence(F.lit(0), F.lit(knots - 1)), lambda j: F.struct(j.alias("j"), F.least(j * step, (F.col("_n") - 1).cast("double")).alias("at"))
+    )
+    covers = lambda position: (position < F.col("_upto")) & (position >= F.col("_upto") - F.col("_c"))
+    near = F.filter(wanted, lambda w: covers(F.floor(w["at"])) | covers(F.ceil(w["at"])))
+    rows = placed.select(*keys, "_x", "_upto", "_c", F.explode(near).alias("w")).select(*keys, "_x", "_upto", "_c", "w.*")
+    low = F.max(F.when(covers(F.floor("at")), F.col("_x")))
+    high = F.max(F.when(covers(F.ceil("at")), F.col("_x")))
+    share = F.first(F.col("at") - F.floor("at"))
+    each = rows.groupBy(*keys, "j").agg((low + (high - low) * share).alias("x"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda k: k["x"]).alias(out))
+
+
 def lower_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Median that takes the lower middle value of an even count, without interpolation."""
     counts = _value_counts(df, keys, value)

@@ -3,39 +3,57 @@
 A model is a set of tables: one row per user (and the generic user) with the centre and spread of each
 numeric feature, category probabilities per feature, and the mean and deviation of each feature's loss on
 the training rows. Losses are the squared standardised distance (numeric) and -log p (category, boolean).
-Everything is combinable sums and counts, so the generic user, who owns every row, is not a hot spot.
+Everything is combinable sums and counts: the generic user, who owns every row, is merged from the other users' rows of
+statistics, and enters scoring as literals.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import lower_median
+from tidemark.operators.quantiles import lower_median, weighted_knots, weighted_lower_median
 from tidemark.operators.users import GENERIC, split_users
-from tidemark.session import durable
+from tidemark.session import broadcast_if_small, durable
 
 OTHER = "_other"
+#: Name of a loss scaler as rows carry it: what the model must hold for it.
+LOSS_SCALERS = {"z": (), "modz": ("md_", "mad_", "ad_"), "gauss_rank_scaled": ("q_",), "none_scaled": ()}
+#: Quantiles of a loss that a rank map keeps, first to last; between them it interpolates.
+KNOTS = 33
+#: Ranks are kept this far from 0 and 1, so that a normal score is finite (about 5.2).
+RANK_MARGIN = 1e-7
+#: Digits to which losses are compared when ranked, so that equal losses tie whatever the order of their arithmetic.
+RANK_DIGITS = 9
 
 
 @dataclass
 class Model:
-    users: DataFrame  # split_user, n, m_<numeric>, s_<numeric>, lm_<feature>, ls_<feature>
+    # split_user, n, m_<numeric>, s_<numeric>, p_<categorical>, lm_<f>, ls_<f>, and per scaler md_, mad_, ad_ or q_<f>
+    users: DataFrame
     categories: dict[str, DataFrame]  # feature -> split_user, value, p
     numeric: list[str]
     categorical: list[str]
 
+    @property
+    def features(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
+
 
 def vocabulary(rows: DataFrame, feature: str, min_cats: int, alpha: float) -> tuple[DataFrame, DataFrame]:
-    """(kept values with smoothed probability, probability of every other value) per user."""
+    """(kept values with smoothed probability, probability of every other value) per user and for the generic user,
+    whose counts are the sums of all users' counts."""
     counts = durable(
         rows.groupBy("split_user", F.coalesce(F.col(feature).cast("string"), F.lit("nan")).alias("value")).agg(
             F.count(F.lit(1)).alias("c")
         )
     )
+    generic = counts.groupBy("value").agg(F.sum("c").alias("c")).withColumn("split_user", F.lit(GENERIC))
+    counts = durable(counts.filter("split_user is not null").unionByName(generic))
     kept = counts.filter(F.col("c") >= min_cats)
     totals = counts.groupBy("split_user").agg(
         F.sum("c").alias("n"),
@@ -48,57 +66,199 @@ def vocabulary(rows: DataFrame, feature: str, min_cats: int, alpha: float) -> tu
     return p, other
 
 
+def moments(value: Column, name: str) -> list[Column]:
+    """Count, mean and variance of a value, from which those of merged groups follow (``merged``)."""
+    return [F.count(value).alias(f"c_{name}"), F.avg(value).alias(f"a_{name}"), F.var_pop(value).alias(f"v_{name}")]
+
+
+def merged(groups: DataFrame, names: Sequence[str]) -> dict[str, tuple[int, float | None, float | None]]:
+    """(count, mean, sum of squared distances) of all groups together, for each name."""
+    if not names:
+        return {}
+    means = groups.agg(
+        *[F.sum(f"c_{x}").alias(f"c_{x}") for x in names],
+        *[(F.sum(F.col(f"c_{x}") * F.col(f"a_{x}")) / F.nullif(F.sum(f"c_{x}"), F.lit(0))).alias(f"a_{x}") for x in names],
+    ).first()
+    far = {x: F.col(f"a_{x}") - F.lit(means[f"a_{x}"]).cast("double") for x in names}
+    squares = groups.agg(*[F.sum(F.col(f"c_{x}") * (F.col(f"v_{x}") + far[x] * far[x])).alias(x) for x in names]).first()
+    return {x: (means[f"c_{x}"] or 0, means[f"a_{x}"], squares[x]) for x in names}
+
+
 def numeric_stats(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Mean and sample deviation per user; a constant (or single) value gets deviation 1."""
-    spread = {n: F.coalesce(F.nullif(F.stddev_samp(n), F.lit(0.0)), F.lit(1.0)) for n in numeric}
-    return rows.groupBy("split_user").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(n).alias(f"m_{n}") for n in numeric],
-        *[s.alias(f"s_{n}") for n, s in spread.items()],
+    """Mean and sample deviation per user and of all rows; a constant (or single) value gets deviation 1.
+
+    The generic user's row is merged from the users' rows, so no row is copied for it.
+    """
+    spark = rows.sparkSession
+    parts = [c for x in numeric for c in moments(F.col(x).cast("double"), x)]
+    groups = durable(rows.groupBy("split_user").agg(F.count(F.lit(1)).alias("n"), *parts))
+    spread = {
+        x: F.sqrt(F.col(f"v_{x}") * F.col(f"c_{x}") / F.nullif(F.col(f"c_{x}") - 1, F.lit(0))) for x in numeric
+    }
+    own = groups.filter("split_user is not null").select(
+        "split_user", "n", *[F.col(f"a_{x}").alias(f"m_{x}") for x in numeric],
+        *[F.coalesce(F.nullif(s, F.lit(0.0)), F.lit(1.0)).alias(f"s_{x}") for x, s in spread.items()],
+    )
+    total = groups.agg(F.sum("n")).first()[0]
+    if total is None:
+        return own
+    whole = merged(groups, numeric)
+    deviation = {x: math.sqrt(m2 / (c - 1)) if c > 1 else 0.0 for x, (c, _, m2) in whole.items()}
+    generic = spark.range(1).select(
+        F.lit(GENERIC).alias("split_user"), F.lit(total).cast("long").alias("n"),
+        *[F.lit(whole[x][1]).cast("double").alias(f"m_{x}") for x in numeric],
+        *[F.lit(deviation[x] or 1.0).alias(f"s_{x}") for x in numeric],
     )
+    return own.unionByName(generic)
+
+
+def generic_row(model: Model) -> dict:
+    row = model.users.filter(F.col("split_user") == GENERIC).first()
+    return row.asDict() if row else {}
 
 
-def _losses(rows: DataFrame, model: Model) -> DataFrame:
-    """Add ``<f>_pred`` and ``<f>_loss``; rows carry ``split_user``. Nulls count as the user's mean."""
-    out = rows.join(model.users, "split_user")
+def _literal(value) -> Column:
+    return F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)
+
+
+def _attached(df: DataFrame, model: Model, own: Column | None, min_rows: int = 1) -> DataFrame:
+    """``split_user`` and its statistics: the row's own user where it has a model of at least ``min_rows`` rows, else the
+    generic user, whose single row is put in as literals. ``own`` None takes the generic user for all rows."""
+    generic = generic_row(model)
+    columns = [c for c in model.users.columns if c != "split_user"]
+    kinds = {f.name: f.dataType for f in model.users.schema}
+    fixed = {c: _literal(generic.get(c)).cast(kinds[c]) for c in columns}
+    if own is None:
+        return df.withColumns({"split_user": F.lit(GENERIC), **fixed})
+    users = model.users.filter((F.col("split_user") != GENERIC) & (F.col("n") >= min_rows)).withColumnRenamed("split_user", "_own")
+    out = df.withColumn("_u", own).join(users, F.col("_u") == F.col("_own"), "left")
+    alone = F.col("_own").isNull()
+    out = out.withColumns({c: F.when(alone, fixed[c]).otherwise(F.col(c)) for c in columns})
+    return out.withColumn("split_user", F.coalesce("_own", F.lit(GENERIC))).drop("_u", "_own")
+
+
+def _losses(rows: DataFrame, model: Model, suffix: str = "") -> DataFrame:
+    """Add ``<f>_pred`` and ``<f>_loss``; rows carry ``split_user`` and its statistics. Nulls count as the user's mean."""
+    out = rows
     for n in model.numeric:
         z = (F.coalesce(F.col(n).cast("double"), F.col(f"m_{n}")) - F.col(f"m_{n}")) / F.col(f"s_{n}")
-        out = out.withColumn(f"{n}_pred", F.col(f"m_{n}")).withColumn(f"{n}_loss", z * z)
+        out = out.withColumn(f"{n}_pred", F.col(f"m_{n}")).withColumn(f"{n}_loss{suffix}", z * z)
+    generic = F.col("split_user") == GENERIC
     for c in model.categorical:
-        known = model.categories[c].select("split_user", F.col("value").alias(f"_v_{c}"), F.col("p").alias(f"_p_{c}"))
-        out = out.withColumn(f"_v_{c}", F.coalesce(F.col(c).cast("string"), F.lit("nan"))).join(
-            known, ["split_user", f"_v_{c}"], "left"
+        table = model.categories[c]
+        own = table.filter(F.col("split_user") != GENERIC).select(
+            F.col("split_user").alias("_of"), F.col("value").alias("_at"), F.col("p").alias("_own_p")
         )
-        p = F.coalesce(f"_p_{c}", f"p_{c}")
-        out = out.withColumn(f"{c}_pred", F.when(F.col(f"_p_{c}").isNull(), OTHER).otherwise(F.col(f"_v_{c}")))
-        out = out.withColumn(f"{c}_loss", -F.log(p)).drop(f"_v_{c}", f"_p_{c}", f"p_{c}")
+        shared = table.filter(F.col("split_user") == GENERIC).select(F.col("value").alias("_any"), F.col("p").alias("_any_p"))
+        out = out.withColumn("_v", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+        out = out.join(own, (F.col("split_user") == F.col("_of")) & (F.col("_v") == F.col("_at")), "left")
+        out = out.join(broadcast_if_small(shared), F.col("_v") == F.col("_any"), "left")
+        known = F.when(generic, F.col("_any_p")).otherwise(F.col("_own_p"))
+        out = out.withColumn(f"{c}_pred", F.when(known.isNull(), OTHER).otherwise(F.col("_v")))
+        out = out.withColumn(f"{c}_loss{suffix}", -F.log(F.coalesce(known, f"p_{c}")))
+        out = out.drop("_v", "_of", "_at", "_own_p", "_any", "_any_p", f"p_{c}")
     return out
 
 
 def fit(
-    df: DataFrame, user: str, numeric: Sequence[str], categorical: Sequence[str], min_cats: int = 1, alpha: float = 1.0
-) -> Model:
-    """Fingerprint of every user and of the generic user.
-
-    The aggregates are written down as they are made, so the rows are read once per step and scoring
-    reads the stored model instead of fitting it again.
+    df: DataFrame, user: str, numeric: Sequence[str], categorical: Sequence[str], min_cats: int = 1, alpha: float = 1.0,
+    scalers: Sequence[str] = ("z",),
+) -> Model:
+    """Fingerprint of every user and of the generic user, with what the named loss scalers need.
+
+    The aggregates are written down as they are made, so the rows are read once per step and scoring reads the stored
+    model instead of fitting it again. The generic user's statistics are merged from the users' and its losses stand
+    beside the own ones in the same pass: no row is copied for it.
     """
-    rows = split_users(df, user)
+    for name in scalers:
+        known_scaler(name)
+    rows = df.select(F.col(user).cast("string").alias("split_user"), *numeric, *categorical)
     users = durable(numeric_stats(rows, numeric))
     categories, defaults = {}, users.select("split_user")
     for c in categorical:
         categories[c], other = vocabulary(rows, c, min_cats, alpha)
+        categories[c] = durable(categories[c])
         defaults = defaults.join(other, "split_user")
     model = Model(durable(users.join(defaults, "split_user")), categories, list(numeric), list(categorical))
-    features = [*numeric, *categorical]
-    scale = _losses(rows, model).groupBy("split_user").agg(
-        *[F.avg(f"{f}_loss").alias(f"lm_{f}") for f in features],
-        *[F.stddev_pop(f"{f}_loss").alias(f"ls_{f}") for f in features],
+    features = model.features
+
+    own = _losses(_attached(rows.withColumnRenamed("split_user", "_user"), model, F.col("_user")), model)
+    own = own.select("_user", *numeric, *categorical, *[f"{f}_loss" for f in features])
+    both = _losses(_attached(own, model, None), model, "_any")
+    both = both.select(F.col("_user").alias("split_user"), *[f"{f}_loss{x}" for f in features for x in ("", "_any")])
+    both = durable(both) if set(scalers) - {"z", "none_scaled"} else both
+    parts = [c for f in features for x in ("", "_any") for c in moments(F.col(f"{f}_loss{x}"), f"{f}{x}")]
+    groups = durable(both.groupBy("split_user").agg(*parts))
+    whole = merged(groups, [f"{f}_any" for f in features])
+    scale = groups.filter("split_user is not null").select(
+        "split_user", *[F.col(f"a_{f}").alias(f"lm_{f}") for f in features], *[F.sqrt(f"v_{f}").alias(f"ls_{f}") for f in features]
     )
-    model.users = durable(model.users.join(scale, "split_user"))
+    generic = df.sparkSession.range(1).select(
+        F.lit(GENERIC).alias("split_user"),
+        *[F.lit(whole[f"{f}_any"][1]).cast("double").alias(f"lm_{f}") for f in features],
+        *[F.lit(math.sqrt(whole[f"{f}_any"][2] / whole[f"{f}_any"][0]) if whole[f"{f}_any"][0] else None).cast("double").alias(f"ls_{f}") for f in features],
+    )
+    scale = scale.unionByName(generic)
+    if set(scalers) - {"z", "none_scaled"}:
+        scale = scale.join(_loss_ranks(both, features, scalers), "split_user", "left")
+    model.users = durable(model.users.join(durable(scale), "split_user"))
     return model
 
 
+def _loss_ranks(losses: DataFrame, features: Sequence[str], scalers: Sequence[str]) -> DataFrame:
+    """One row per user (and the generic one): median, median and mean absolute deviation of each loss, or its quantiles.
+
+    Losses are counted by value before any order is made, so no user's losses are gathered.
+    """
+    kinds = [(f, x) for f in features for x in ("", "_any")]
+    items = F.array(*[
+        F.struct(F.lit(f).alias("feature"), (F.lit(GENERIC) if x else F.col("split_user")).alias("who"), F.col(f"{f}_loss{x}").alias("loss"))
+        for f, x in kinds
+    ])
+    long = losses.select(F.explode(items).alias("i")).select("i.*").filter("who is not null")
+    counted = durable(long.groupBy("who", "feature", "loss").agg(F.count(F.lit(1)).alias("c")))
+    keys, parts = ["who", "feature"], []
+    if "modz" in scalers:
+        medians = durable(weighted_lower_median(counted, keys, "loss", "c", "md"))
+        far = counted.join(medians, keys).withColumn("dev", F.abs(F.col("loss") - F.col("md")))
+        spread = far.groupBy(*keys).agg((F.sum(F.col("dev") * F.col("c")) / F.sum("c")).alias("ad"))
+        mads = weighted_lower_median(far.groupBy(*keys, "dev").agg(F.sum("c").alias("c")), keys, "dev", "c", "mad")
+        parts.append(medians.join(mads, keys).join(spread, keys))
+    if "gauss_rank_scaled" in scalers:
+        knots = weighted_knots(counted, keys, "loss", "c", KNOTS, "q")
+        parts.append(knots.withColumn("q", F.transform("q", lambda x: F.round(x, RANK_DIGITS))))
+    out = None
+    for part in parts:
+        names = [c for c in part.columns if c not in keys]
+        wide = part.groupBy(F.col("who").alias("split_user")).agg(
+            *[F.first(F.when(F.col("feature") == f, F.col(n)), ignorenulls=True).alias(f"{n}_{f}") for n in names for f in features]
+        )
+        out = wide if out is None else out.join(wide, "split_user")
+    return out
+
+
+def known_scaler(name: str) -> None:
+    if name not in LOSS_SCALERS:
+        raise ValueError(f"no loss scaler {name!r}; there are {', '.join(LOSS_SCALERS)}")
+
+
+def save_model(model: Model, folder: str) -> None:
+    """The model's tables below ``folder``: users, the vocabulary of each categorical feature, and the feature names."""
+    model.users.write.mode("overwrite").parquet(f"{folder}/users")
+    for c, table in model.categories.items():
+        table.write.mode("overwrite").parquet(f"{folder}/categories/{c}")
+    names = [(i, f, f in model.categorical) for i, f in enumerate(model.features)]
+    spark = model.users.sparkSession
+    spark.createDataFrame(names, "position int, feature string, categorical boolean").write.mode("overwrite").parquet(f"{folder}/features")
+
+
+def load_model(spark: SparkSession, folder: str) -> Model:
+    names = spark.read.parquet(f"{folder}/features").orderBy("position").collect()  # one row per feature
+    categorical = [r["feature"] for r in names if r["categorical"]]
+    tables = {c: spark.read.parquet(f"{folder}/categories/{c}") for c in categorical}
+    return Model(spark.read.parquet(f"{folder}/users"), tables, [r["feature"] for r in names if not r["categorical"]], categorical)
+
+
 def model_rows(model: Model) -> DataFrame:
     """One row per (user, feature): centre, spread, loss mean and deviation."""
     none = F.lit(None).cast("double")
@@ -114,50 +274,71 @@ def model_rows(model: Model) -> DataFrame:
     return model.users.select("split_user", "n", F.explode(F.array(*items)).alias("f")).select("split_user", "n", "f.*")
 
 
-def with_model_user(df: DataFrame, user: str, model: Model, min_rows: int = 1) -> DataFrame:
-    """Add ``split_user``: the user itself when it has a model of at least ``min_rows`` rows, else generic."""
-    own = model.users.filter(F.col("n") >= min_rows).select(F.col("split_user").alias("_own"))
-    joined = df.withColumn("_u", F.col(user).cast("string")).join(own, F.col("_u") == F.col("_own"), "left")
-    return joined.withColumn("split_user", F.coalesce("_own", F.lit(GENERIC))).drop("_u", "_own")
-
-
 def score(df: DataFrame, user: str, model: Model, return_abs: bool = True, min_rows: int = 1, scaler: str = "z") -> DataFrame:
-    """Input columns plus pred, loss and z_loss per feature, max_abs_z, mean_abs_z, z_loss_scaler_type.
+    """Input columns plus split_user, pred, loss and z_loss per feature, max_abs_z, mean_abs_z, z_loss_scaler_type.
 
-    ``z`` is the only scaler: the deviation from the stored mean of a loss in its stored deviations.
+    ``scaler`` puts a loss into the scale of the losses seen in training: ``z`` by their mean and deviation, ``modz`` by
+    their median and median (or mean) absolute deviation, ``gauss_rank_scaled`` by the normal score of its rank among
+    them; ``none_scaled`` leaves it. The model must have been fitted for it.
     """
-    if scaler != "z":
-        raise ValueError(f"no loss scaler {scaler!r}: the stored model holds means and deviations, for 'z'")
-    return _scored(with_model_user(df, user, model, min_rows), model, return_abs, scaler)
+    known_scaler(scaler)
+    missing = [f"{x}{f}" for x in LOSS_SCALERS[scaler] for f in model.features if f"{x}{f}" not in model.users.columns]
+    if missing:
+        raise ValueError(f"the model was not fitted for loss scaler {scaler!r}")
+    return _scored(_attached(df, model, F.col(user).cast("string"), min_rows), model, return_abs, scaler)
+
+
+def scaled_loss(f: str, scaler: str) -> Column:
+    """The loss of a feature in the named scale, from the statistics beside it."""
+    loss = F.col(f"{f}_loss")
+    if scaler == "none_scaled":
+        return loss
+    if scaler == "modz":
+        mean_ad = F.coalesce(F.nullif(F.col(f"ad_{f}"), F.lit(0.0)), F.lit(1.0))
+        unit = F.when(F.col(f"mad_{f}") == 0, MEAN_AD_FACTOR * mean_ad).otherwise(MAD_FACTOR * F.col(f"mad_{f}"))
+        return (loss - F.col(f"md_{f}")) / unit
+    return (loss - F.col(f"lm_{f}")) / F.coalesce(F.nullif(F.col(f"ls_{f}"), F.lit(0.0)), F.lit(1.0))
 
 
 def _scored(df: DataFrame, model: Model, return_abs: bool = True, scaler: str = "z") -> DataFrame:
     rows = _losses(df, model)
     zs = []
-    for f in [*model.numeric, *model.categorical]:
-        spread = F.coalesce(F.nullif(F.col(f"ls_{f}"), F.lit(0.0)), F.lit(1.0))
-        z = (F.col(f"{f}_loss") - F.col(f"lm_{f}")) / spread
-        rows = rows.withColumn(f"{f}_z_loss", F.abs(z) if return_abs else z)
+    for f in model.features:
+        if scaler == "gauss_rank_scaled":
+            rows = with_normal_score(rows, F.col(f"{f}_loss"), F.col(f"q_{f}"), "_z")
+        else:
+            rows = rows.withColumn("_z", scaled_loss(f, scaler))
+        rows = rows.withColumn(f"{f}_z_loss", F.abs("_z") if return_abs else F.col("_z")).drop("_z")
         zs.append(F.col(f"{f}_z_loss"))
     largest = F.greatest(*zs) if len(zs) > 1 else zs[0]
     rows = rows.withColumn("max_abs_z", largest).withColumn("mean_abs_z", sum(zs[1:], zs[0]) / len(zs))
     rows = rows.withColumn("z_loss_scaler_type", F.lit(scaler))
-    inner = [c for c in rows.columns if c[:2] in ("m_", "s_") or c[:3] in ("lm_", "ls_")]
-    return rows.drop("n", *inner)
+    return rows.drop(*[c for c in model.users.columns if c != "split_user"])
+
+
+def with_normal_score(df: DataFrame, value: Column, knots: Column, out: str) -> DataFrame:
+    """Add the normal score of the value's rank among the stored quantiles; ties with several take the middle one.
+
+    In steps, so that each part is evaluated once per row and not once per mention.
+    """
+    df = df.withColumn("_x", F.round(value, RANK_DIGITS)).withColumn("_q", knots)
+    df = df.withColumn("_below", F.size(F.filter("_q", lambda x: x < F.col("_x"))))
+    df = df.withColumn("_upto", F.size(F.filter("_q", lambda x: x <= F.col("_x"))))
+    below, last = F.col("_below"), F.size("_q") - 1
+    low, high = F.try_element_at("_q", F.greatest(below, F.lit(1))), F.try_element_at("_q", below + 1)
+    inside = below - 1 + (F.col("_x") - low) / F.nullif(high - low, F.lit(0.0))
+    rank = F.when(F.col("_upto") > below, (below + F.col("_upto") - 1) / 2).when(below == 0, 0.0)
+    rank = rank.when(below > last, last.cast("double")).otherwise(inside)
+    share = F.greatest(F.lit(RANK_MARGIN), F.least(F.lit(1 - RANK_MARGIN), rank / F.nullif(last, F.lit(0))))
+    df = df.withColumn("_p", F.when(F.col("_x").isNotNull() & (last > 0), share))
+    return df.withColumn(out, inverse_normal(F.col("_p"))).drop("_x", "_q", "_below", "_upto", "_p")
 
 
 def compare_models(df: DataFrame, user: str, model: Model) -> DataFrame:
     """Per user: mean score under its own model, under the generic one, and the difference."""
-    kinds = F.array(
-        F.struct(F.lit("own").alias("kind"), F.col("split_user").alias("name")),
-        F.struct(F.lit("generic").alias("kind"), F.lit(GENERIC).alias("name")),
-    )
-    both = with_model_user(df, user, model).withColumn("_k", F.explode(kinds))
-    rows = _scored(both.withColumn("split_user", F.col("_k.name")), model)
-    errors = rows.groupBy(user).agg(
-        F.avg(F.when(F.col("_k.kind") == "own", F.col("mean_abs_z"))).alias("own_error"),
-        F.avg(F.when(F.col("_k.kind") == "generic", F.col("mean_abs_z"))).alias("generic_error"),
-    )
+    own = _scored(_attached(df, model, F.col(user).cast("string")), model).select(*df.columns, F.col("mean_abs_z").alias("_own_z"))
+    rows = _scored(_attached(own, model, None), model)
+    errors = rows.groupBy(user).agg(F.avg("_own_z").alias("own_error"), F.avg("mean_abs_z").alias("generic_error"))
     return errors.withColumn("gain", F.col("generic_error") - F.col("own_error"))
 
 

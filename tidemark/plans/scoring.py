@@ -10,7 +10,7 @@ from tidemark.operators import graph, learning, scoring as sco, spectral, travel
 from tidemark.plans.base import DETECTIONS_SQL, K_SQL, detections, events, keyed_events, with_baseline
 from tidemark.plans.sequences import located
 from tidemark.registry import query
-from tidemark.session import spread, table
+from tidemark.session import scratch_dir, spread, table
 
 ROWS_SQL = f"(SELECT event_id, user_id, ts, value, {K_SQL} AS k, event_type AS app FROM events)"
 SPLIT_SQL = f"(SELECT CAST(user_id AS VARCHAR) AS su, * FROM {ROWS_SQL} UNION ALL SELECT 'generic_user', * FROM {ROWS_SQL})"
@@ -70,6 +70,75 @@ def fingerprint_score(spark, sf_dir):
     return out.select("event_id", "user_id", "split_user", "app_pred", "z_loss_scaler_type", *[F.round(c, 5).alias(c) for c in numbers])
 
 
+def inverse_normal_sql(p: str) -> str:
+    """The normal quantile of a column ``p`` by the published rational approximation, as one expression."""
+    # Coefficients of the published approximation, centre and tails.
+    a = "-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00"
+    b = "-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0"
+    c = "-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00"
+    d = "7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0"
+    poly = lambda k, x: f"list_reduce([{k}]::DOUBLE[], lambda total, factor: total * ({x}) + factor)"
+    r, t = f"(({p}) - 0.5) * (({p}) - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - ({p}))))"
+    tail = f"{poly(c, t)} / {poly(d, t)}"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 1 - 0.02425 THEN -({tail}) ELSE {poly(a, r)} * (({p}) - 0.5) / {poly(b, r)} END"
+
+
+EVENT_SQL = f"ev AS (SELECT CASE WHEN st.n >= 50 THEN st.su ELSE 'generic_user' END AS su, r.* FROM {ROWS_SQL} r JOIN st ON st.su = CAST(r.user_id AS VARCHAR))"
+FEATURES = {"value": "lv", "k": "lk", "app": "la"}
+
+
+def fitted_for(spark, sf_dir, scaler):
+    """A model fitted for one loss scaler, stored and loaded again, as scoring jobs use it."""
+    model = sco.fit(feature_rows(spark, sf_dir), "user_id", ["value", "k"], ["app"], min_cats=3, scalers=(scaler,))
+    folder = scratch_dir(spark, "model")
+    sco.save_model(model, folder)
+    return sco.load_model(spark, folder)
+
+
+def rounded_scores(spark, sf_dir, scaler, return_abs):
+    out = sco.score(feature_rows(spark, sf_dir), "user_id", fitted_for(spark, sf_dir, scaler), return_abs, min_rows=50, scaler=scaler)
+    numbers = ["value_z_loss", "k_z_loss", "app_z_loss", "max_abs_z", "mean_abs_z"]
+    return out.select("event_id", "split_user", "z_loss_scaler_type", *[F.round(c, 5).alias(c) for c in numbers])
+
+
+@query(
+    "fingerprint_modz",
+    f"""
+    WITH {MODEL_SQL}, l AS {LOSS_SQL.format(rows="sp")},
+    md AS (SELECT su, {", ".join(f"list_sort(list({c}))[(count(*) + 1) // 2] AS d{c}" for c in FEATURES.values())} FROM l GROUP BY 1),
+    ma AS (SELECT su, {", ".join(f"list_sort(list(abs({c} - d{c})))[(count(*) + 1) // 2] AS m{c}, coalesce(nullif(avg(abs({c} - d{c})), 0), 1) AS a{c}" for c in FEATURES.values())}
+           FROM l JOIN md USING (su) GROUP BY 1),
+    {EVENT_SQL},
+    z AS (SELECT e.event_id, e.su, {", ".join(f"abs(({c} - d{c}) / CASE WHEN m{c} = 0 THEN 1.253314 * a{c} ELSE 1.486 * m{c} END) AS {f}" for f, c in FEATURES.items())}
+          FROM {LOSS_SQL.format(rows="ev")} e JOIN md USING (su) JOIN ma USING (su))
+    SELECT event_id, su AS split_user, 'modz' AS z_loss_scaler_type, round(value, 5) AS value_z_loss, round(k, 5) AS k_z_loss, round(app, 5) AS app_z_loss,
+           round(greatest(value, k, app), 5) AS max_abs_z, round((value + k + app) / 3, 5) AS mean_abs_z FROM z
+    """,
+)
+def fingerprint_modz(spark, sf_dir):
+    return rounded_scores(spark, sf_dir, "modz", True)
+
+
+@query(
+    "fingerprint_gauss_rank",
+    f"""
+    WITH {MODEL_SQL}, l AS {LOSS_SQL.format(rows="sp")},
+    q AS (SELECT su, {", ".join(f"list_transform(quantile_cont({c}, [{', '.join(str(j / 32) for j in range(33))}]), lambda x: round(x, 9)) AS q{c}" for c in FEATURES.values())} FROM l GROUP BY 1),
+    {EVENT_SQL},
+    o AS (SELECT event_id, su, {", ".join(f"round({c}, 9) AS {c}" for c in FEATURES.values())} FROM {LOSS_SQL.format(rows="ev")}),
+    n AS (SELECT e.event_id, e.su, {", ".join(f"{c}, q{c}, len(list_filter(q{c}, lambda x: x < {c})) AS b{c}, len(list_filter(q{c}, lambda x: x <= {c})) AS u{c}" for c in FEATURES.values())}
+          FROM o e JOIN q USING (su)),
+    p AS (SELECT event_id, su, {", ".join(f'''greatest(1e-7, least(1 - 1e-7, CASE WHEN u{c} > b{c} THEN (b{c} + u{c} - 1) / 2 WHEN b{c} = 0 THEN 0 WHEN b{c} > 32 THEN 32
+          ELSE b{c} - 1 + ({c} - q{c}[b{c}]) / (q{c}[b{c} + 1] - q{c}[b{c}]) END / 32)) AS {f}''' for f, c in FEATURES.items())} FROM n),
+    z AS (SELECT event_id, su, {", ".join(f"{inverse_normal_sql(f)} AS {f}" for f in FEATURES)} FROM p)
+    SELECT event_id, su AS split_user, 'gauss_rank_scaled' AS z_loss_scaler_type, round(value, 5) AS value_z_loss, round(k, 5) AS k_z_loss, round(app, 5) AS app_z_loss,
+           round(greatest(value, k, app), 5) AS max_abs_z, round((value + k + app) / 3, 5) AS mean_abs_z FROM z
+    """,
+)
+def fingerprint_gauss_rank(spark, sf_dir):
+    return rounded_scores(spark, sf_dir, "gauss_rank_scaled", False)
+
+
 @query(
     "model_comparison",
     f"""
@@ -162,7 +231,15 @@ def modified_scaler(spark, sf_dir):
     return out.select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
-@query("gauss_rank_scaler")
+@query(
+    "gauss_rank_scaler",
+    f"""
+    WITH r AS (SELECT event_id, event_type, value, rank() OVER (PARTITION BY event_type ORDER BY value) AS r,
+                      count(*) OVER (PARTITION BY event_type, value) AS c, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    p AS (SELECT event_id, event_type, (r - 1 + c / 2.0) / n AS p FROM r)
+    SELECT event_id, event_type, round({inverse_normal_sql("p")}, 6) AS scaled FROM p
+    """,
+)
 def gauss_rank_scaler(spark, sf_dir):
     out = sco.gauss_rank_scaled(events(spark, sf_dir), ["event_type"], "value", "scaled")
     return out.select("event_id", "event_type", F.round("scaled", 6).alias("scaled"))
