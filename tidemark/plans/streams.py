@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.plans.base import K_SQL, k_of
 from tidemark.registry import query
 from tidemark.session import configure, few_local_partitions, scratch_dir, table
+from tidemark.operators import scoring
 from tidemark.sinks import writers
-from tidemark.streaming import jobs, state
+from tidemark.streaming import jobs, scored, state
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,3 +220,65 @@ def feed_in_order(rows: DataFrame, ts: str, folder: str, parts: int = 3, closing
         end = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != ts]
         last = rows.sparkSession.range(1).select(*end, F.lit(span["hi"] + timedelta(days=365)).cast("timestamp").alias(ts))
         last.select(*rows.columns).write.mode("append").parquet(folder)
+
+
+SCORED_PARTS = 4
+SCORED_SQL = """
+    b AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 AS w FROM events),
+    p AS (SELECT event_id, user_id, ts, value, event_type AS app, least((epoch_us(ts) - lo) // w, 3) AS part, date_trunc('day', ts) AS day FROM events, b),
+    f AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS n_today, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n_total,
+                 CASE WHEN row_number() OVER (PARTITION BY user_id, day, app ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM p),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS values_today FROM f),
+    sp AS (SELECT CAST(user_id AS VARCHAR) AS su, * FROM r WHERE part = 0 UNION ALL SELECT 'generic_user', * FROM r WHERE part = 0),
+    st AS (SELECT su, count(*) AS n, avg(value) AS m1, coalesce(nullif(stddev_samp(value), 0), 1) AS s1, avg(n_today) AS m2, coalesce(nullif(stddev_samp(n_today), 0), 1) AS s2,
+                  avg(values_today) AS m3, coalesce(nullif(stddev_samp(values_today), 0), 1) AS s3 FROM sp GROUP BY 1),
+    cc AS (SELECT su, app, count(*) AS c FROM sp GROUP BY 1, 2),
+    ct AS (SELECT su, sum(c) AS n, sum(CASE WHEN c < 3 THEN c ELSE 0 END) AS rare, count(*) FILTER (WHERE c >= 3) AS v FROM cc GROUP BY 1),
+    cp AS (SELECT cc.su, app, (c + 1) / (n + v + 1) AS p FROM cc JOIN ct ON ct.su = cc.su WHERE c >= 3),
+    co AS (SELECT su, (rare + 1) / (n + v + 1) AS po FROM ct),
+    last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id, part ORDER BY ts DESC, event_id DESC) = 1),
+    ev AS (SELECT coalesce(st.su, 'generic_user') AS su, last.* FROM last LEFT JOIN st ON st.su = CAST(last.user_id AS VARCHAR) AND st.n >= 15),
+    l AS (SELECT e.*, pow((value - m1) / s1, 2) AS l1, pow((n_today - m2) / s2, 2) AS l2, pow((values_today - m3) / s3, 2) AS l3, -ln(coalesce(cp.p, po)) AS l4
+          FROM (SELECT 'train' AS kind, * FROM sp UNION ALL SELECT 'score', * FROM ev) e JOIN st ON st.su = e.su JOIN co ON co.su = e.su LEFT JOIN cp ON cp.su = e.su AND cp.app = e.app),
+    lm AS (SELECT su, avg(l1) AS a1, stddev_pop(l1) AS d1, avg(l2) AS a2, stddev_pop(l2) AS d2, avg(l3) AS a3, stddev_pop(l3) AS d3, avg(l4) AS a4, stddev_pop(l4) AS d4
+           FROM l WHERE kind = 'train' GROUP BY 1),
+    z AS (SELECT l.*, (abs((l1 - a1) / coalesce(nullif(d1, 0), 1)) + abs((l2 - a2) / coalesce(nullif(d2, 0), 1)) + abs((l3 - a3) / coalesce(nullif(d3, 0), 1))
+                       + abs((l4 - a4) / coalesce(nullif(d4, 0), 1))) / 4 AS mean_abs_z FROM l JOIN lm ON lm.su = l.su WHERE kind = 'score')"""
+
+
+def scored_parts(rows: DataFrame, parts: int = SCORED_PARTS) -> list[DataFrame]:
+    """The table in time order, cut into equal spans of time: what arrives between two runs of the stream."""
+    us = F.unix_micros("ts")
+    span = rows.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    width = max(1, ((span["hi"] or 0) - (span["lo"] or 0)) // parts)
+    part = F.least(F.floor((us - F.lit(span["lo"] or 0)) / width), F.lit(parts - 1))
+    return [rows.filter(part == k) for k in range(parts)]
+
+
+@query(
+    "stream_scored",
+    f"""
+    WITH {SCORED_SQL}
+    SELECT CASE WHEN mean_abs_z > 1.2 THEN 'anomalies' ELSE 'clean' END AS route, part AS epoch, user_id, event_id, su AS split_user, n_total, n_today, values_today,
+           round(mean_abs_z, 5) AS mean_abs_z, CASE WHEN mean_abs_z > 1.2 THEN CASE WHEN mean_abs_z > 5 THEN 'CRITICAL' WHEN mean_abs_z >= 3 THEN 'HIGH'
+             WHEN mean_abs_z >= 2.5 THEN 'MEDIUM' WHEN mean_abs_z > 2 THEN 'LOW' ELSE 'NONE' END END AS severity
+    FROM z
+    """,
+)
+def stream_scored(spark, sf_dir):
+    """Four runs of the scored stream over one checkpoint; both sinks read back, with the epoch that wrote each row."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    parts = scored_parts(rows)
+    trained = scored.training_features(parts[0], "user_id", "ts", "event_id", "event_type")
+    folder, feed = scratch_dir(spark, "scored"), scratch_dir(spark, "arrivals")
+    scoring.save_model(scoring.fit(trained, "user_id", ["value", "n_today", "values_today"], ["event_type"], min_cats=3), f"{folder}/model")
+    job = scored.ScoredStream(
+        scoring.load_model(spark, f"{folder}/model"), f"{folder}/carry", "user_id", "ts", "event_id", "event_type", 1.2, min_rows=15, every=3,
+        sinks={name: scored.epoch_sink(f"{folder}/out", name) for name in ("anomalies", "clean", "late")},
+    )
+    for part in parts:
+        part.write.mode("append").parquet(feed)
+        job.start(spark.readStream.schema(rows.schema).parquet(feed), f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    columns = ["route", "epoch", "user_id", "event_id", "split_user", "n_total", "n_today", "values_today", "severity"]
+    return out.select(*columns, F.round("mean_abs_z", 5).alias("mean_abs_z"))
