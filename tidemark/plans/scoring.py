@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import risk
 from tidemark.functions.text import window_chunks
-from tidemark.operators import graph, learning, scoring as sco, spectral, travel as tr
+from tidemark.operators import graph, learning, scoring as sco, spectral, travel as tr, trees
 from tidemark.plans.base import DETECTIONS_SQL, K_SQL, detections, events, keyed_events, with_baseline
 from tidemark.plans.sequences import located
 from tidemark.registry import query
@@ -457,3 +457,53 @@ def daily_counts(spark, sf_dir):
 @query("forecast")
 def forecast(spark, sf_dir):
     return learning.forecast(learning.daily_counts(detections(spark, sf_dir), "ts"), 14)
+
+
+TREE_FEATURES, TREES, TREE_DEPTH = ["value", "k", "hour"], 3, 3
+
+
+def tree_sql() -> str:
+    """The ensemble fitted round by round, its node table, and every event's walk down it."""
+    base = f"SELECT event_id, user_id, value, CAST({K_SQL} AS DOUBLE) AS k, CAST(hour(ts) AS DOUBLE) AS hour, CAST(event_type = 'error' AS INT)::DOUBLE AS y FROM events"
+    steps, nodes = [f"r0 AS ({base})"], []
+    for t in range(TREES):
+        asked = [TREE_FEATURES[(t + level) % 3] for level in range(TREE_DEPTH)]
+        shares = [(t + 1 + level * TREES) / (TREES * TREE_DEPTH + 1) for level in range(TREE_DEPTH)]
+        cell = "1"
+        for level, f in enumerate(asked):
+            cell = f"2 * ({cell}) + CASE WHEN {f} <= q{level} THEN 0 ELSE 1 END"
+        steps += [
+            f"c{t} AS (SELECT {', '.join(f'round(quantile_cont({f}, {q}), 6) AS q{level}' for level, (f, q) in enumerate(zip(asked, shares)))} FROM r0)",
+            f"s{t} AS (SELECT r{t}.*, {cell} AS cell FROM r{t}, c{t})",
+            f"l{t} AS (SELECT cell, 0.5 * sum(y) / (count(y) + 1) AS leaf FROM s{t} GROUP BY 1)",
+            f"r{t + 1} AS (SELECT event_id, user_id, value, k, hour, y - leaf AS y FROM s{t} JOIN l{t} USING (cell))",
+        ]
+        nodes += [f"SELECT {t} AS tree, {n} AS node, '{asked[n.bit_length() - 1]}' AS feature, q{n.bit_length() - 1} AS threshold, NULL::DOUBLE AS leaf FROM c{t}" for n in range(1, 8)]
+        nodes.append(f"SELECT {t}, cell, NULL, NULL, leaf FROM l{t}")
+    return f"""{", ".join(steps)}, nodes AS ({" UNION ALL ".join(nodes)}),
+    w AS (SELECT event_id, tree, 1 AS node FROM r0, (SELECT unnest(range({TREES})) AS tree)
+          UNION ALL
+          SELECT w.event_id, w.tree, 2 * w.node + CASE WHEN CASE n.feature WHEN 'value' THEN r0.value WHEN 'k' THEN r0.k ELSE r0.hour END <= n.threshold THEN 0 ELSE 1 END
+          FROM w JOIN nodes n ON n.tree = w.tree AND n.node = w.node AND n.feature IS NOT NULL JOIN r0 ON r0.event_id = w.event_id),
+    scores AS (SELECT w.event_id, sum(n.leaf) AS score FROM w JOIN nodes n ON n.tree = w.tree AND n.node = w.node AND n.feature IS NULL GROUP BY 1)"""
+
+
+def tree_scored(spark, sf_dir):
+    """A boosted ensemble fitted on the events, stored, and walked by all of them."""
+    rows = keyed_events(spark, sf_dir).withColumn("hour", F.hour("ts"))
+    nodes = trees.fit_oblivious(rows.withColumn("y", (F.col("event_type") == "error").cast("int")), TREE_FEATURES, "y", TREE_DEPTH, TREES)
+    return trees.ensemble_scores(rows.select("event_id", "user_id", *TREE_FEATURES), nodes, TREE_FEATURES)
+
+
+@query("tree_scores", f"WITH RECURSIVE {tree_sql()} SELECT event_id, round(score, 6) AS score, 1 / (1 + exp(-score)) > 0.54 AS score_flag FROM scores")
+def tree_scores(spark, sf_dir):
+    out = trees.flagged(tree_scored(spark, sf_dir), "score", 0.54)
+    return out.select("event_id", F.round("score", 6).alias("score"), "score_flag")
+
+
+@query(
+    "tree_sequence_scores",
+    f"WITH RECURSIVE {tree_sql()} SELECT user_id, round(max(score), 6) AS score, count(*) AS rows FROM scores JOIN events USING (event_id) GROUP BY 1",
+)
+def tree_sequence_scores(spark, sf_dir):
+    return trees.sequence_scores(tree_scored(spark, sf_dir), "user_id", "score").withColumn("score", F.round("score", 6))
