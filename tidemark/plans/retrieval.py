@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import risk
-from tidemark.operators import graph, ordered, search, vectors as vec
+from tidemark.operators import graph, ordered, retrieval, search, vectors as vec
 from tidemark.plans.base import DETECTIONS_SQL, as_of, detections
 from tidemark.registry import query
 from tidemark.session import spread, table
@@ -183,6 +183,57 @@ def rrf_fusion(spark, sf_dir):
     )
 
 
+HYBRID_SQL = f"""
+    tok AS (SELECT doc_id AS doc, token, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^0-9a-zà-ÿ]+'), lambda t: t <> '')) AS token FROM documents) GROUP BY 1, 2),
+    len AS (SELECT doc, sum(tf) AS length FROM tok GROUP BY 1), df AS (SELECT token, count(*) AS docs FROM tok GROUP BY 1),
+    tot AS (SELECT count(DISTINCT doc_id) AS n, (SELECT sum(tf) FROM tok) / count(DISTINCT doc_id) AS mean FROM documents),
+    q AS (SELECT doc_id AS query_id, lang, source FROM documents WHERE doc_id % 100 = 0),
+    qt AS (SELECT query_id, token, docs FROM (SELECT query_id, token, docs, row_number() OVER (PARTITION BY query_id ORDER BY docs, token) AS r FROM q JOIN tok ON doc = query_id JOIN df USING (token) WHERE docs > 1) WHERE r <= 8),
+    sparse AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS r FROM (
+      SELECT query_id, doc, sum(ln(1 + (n - docs + 0.5) / (docs + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+      FROM qt JOIN tok USING (token) JOIN len USING (doc), tot WHERE doc <> query_id GROUP BY 1, 2)),
+    graph AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, doc) AS r FROM (
+      SELECT query_id, b.doc, count(*) AS shared FROM q JOIN tok a ON a.doc = query_id JOIN df USING (token) JOIN tok b USING (token) WHERE docs BETWEEN 2 AND 20 AND b.doc <> query_id GROUP BY 1, 2)),
+    dense AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc) AS r FROM (
+      SELECT query_id, b.vec_id AS doc, list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS score
+      FROM q JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id <> a.vec_id)),
+    alike AS (SELECT query_id, d.doc_id AS doc, row_number() OVER (PARTITION BY query_id ORDER BY d.doc_id DESC) AS r FROM q JOIN documents d ON d.lang IS NOT DISTINCT FROM q.lang AND d.source IS NOT DISTINCT FROM q.source AND d.doc_id <> query_id),
+    u AS (SELECT *, 0 AS o, 'dense' AS s FROM dense WHERE r <= 20 UNION ALL SELECT *, 1, 'sparse' FROM sparse WHERE r <= 20 UNION ALL SELECT *, 2, 'graph' FROM graph WHERE r <= 20 UNION ALL SELECT *, 3, 'structured' FROM alike WHERE r <= 20),
+    f AS (SELECT query_id, doc, sum(1.0 / (60 + r)) AS score, string_agg(s, ',' ORDER BY o) AS sources FROM u GROUP BY 1, 2)"""
+
+
+def retrieval_lists(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    index = retrieval.build_index(spread(docs), "doc_id", "text")
+    queries = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"))  # the stated query set
+    vectors = embeddings(spark, sf_dir)
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    dense = vec.search(vectors, asked, 20, "vec_id", "embedding", "query_id", "asked", exclude_self=True).withColumnRenamed("id", "doc")
+    return {
+        "dense": dense.join(queries, "query_id", "left_semi"),
+        "sparse": retrieval.bm25(index, retrieval.query_terms(index, queries, "query_id", 8), "query_id", 20),
+        "graph": retrieval.co_mentioned(index, queries, "query_id", 20),
+        "structured": retrieval.alike(docs, queries, "doc_id", "query_id", ["lang", "source"], "doc_id", 20),
+    }
+
+
+@query("bm25_search", f"WITH {HYBRID_SQL} SELECT query_id, doc, r AS rank FROM sparse WHERE r <= 20")
+def bm25_search(spark, sf_dir):
+    return retrieval_lists(spark, sf_dir)["sparse"].select("query_id", "doc", "rank")
+
+
+@query(
+    "hybrid_retrieval",
+    f"""
+    WITH {HYBRID_SQL}
+    SELECT query_id, doc, rank, round(score, 8) AS rrf_score, sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc) AS rank FROM f) WHERE rank <= 10
+    """,
+)
+def hybrid_retrieval(spark, sf_dir):
+    out = retrieval.hybrid(retrieval_lists(spark, sf_dir), "query_id", 10)
+    return out.select("query_id", "doc", "rank", F.round("rrf_score", 8).alias("rrf_score"), F.array_join("sources", ",").alias("sources"))
+
+
 EDGES_SQL = f"""(
   SELECT 'User:' || user_id AS src, 'Detection:' || event_id AS dst, 'GENERATED' AS rel FROM {DETECTIONS_SQL}
   UNION SELECT 'Detection:' || event_id, 'Application:' || event_type, 'ACCESSED' FROM {DETECTIONS_SQL}
