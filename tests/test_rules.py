@@ -101,3 +101,18 @@ def test_a_short_last_segment_joins_the_one_before(spark):
     got = spectral.event_anomalies(df, "u", "ts", "id", "v", segment=100)
     assert sorted(r.id for r in got.collect()) == [100, 1104]
     assert got.columns == df.columns
+
+
+def test_flags_keep_rows_of_a_null_user(spark):
+    rows = [(None if i % 4 == 0 else f"u{i % 2}", i, i * 1800) for i in range(200)]
+    df = spark.createDataFrame(rows, "u string, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    df = df.withColumn("day", F.to_date("ts"))
+    for out in (spectral.timeseries_flags(df, "u", "ts", "day", zthresh=3), spectral.bin_flags(df, "u", "ts", zthresh=3)):
+        assert out.count() == 200 and out.filter("u is null").count() == 50
+
+
+def test_zeek_files_without_a_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.log").write_text("#fields\tts\tuid\n#types\ttime\tstring\n1.5\tC1\n")
+    (tmp_path / "b.log").write_text("2.5\tC2\n")
+    with pytest.raises(ValueError, match="b.log"):
+        sl.read_zeek(spark, str(tmp_path))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
-from tidemark.session import by_key
+from tidemark.session import by_key, configure, durable
 
 
 def periodogram(signals: np.ndarray) -> np.ndarray:
@@ -63,6 +63,7 @@ def count_anomalies(
     min_history: int = 10,
 ) -> DataFrame:
     """(user, bin, n) of the anomalous bins."""
+    configure(df.sparkSession)
     bins = count_signal(df, user, ts, width)
 
     @F.pandas_udf("array<int>")
@@ -88,6 +89,7 @@ def event_anomalies(
     alike; a last segment of fewer than ``min_history`` events belongs to the one before it. A user of fewer than
     ``min_history`` events in all has no anomalies.
     """
+    configure(df.sparkSession)
     segment = max(segment, min_history)
     rows = ordered.row_index(df.select(user, ts, row_id, signal), [user], [ts, row_id], "_i")
     # At most one row for every ``segment`` events.
@@ -107,6 +109,10 @@ def event_anomalies(
     return by_key(rows, user, "_segment").groupBy(user, "_segment").applyInPandas(detect, df.select(user, ts, row_id, signal).schema)
 
 
+#: Bins of one block of a user's history: windows and counts meet by block.
+BLOCK_BINS = 64
+
+
 def timeseries_flags(
     df: DataFrame, user: str, ts: str, batch: str, resolution_s: int = 3600, min_window_s: int = 43200,
     hot_start: bool = False, cold_end: bool = True, percentile: float = 90, zthresh: float = 8,
@@ -114,68 +120,58 @@ def timeseries_flags(
     """Rows with ``ts_anomaly``: is the event's time bin anomalous in the window around its batch?
 
     The window reaches half of ``min_window`` to both sides of the batch. Batches before the first full left
-    window pass unflagged unless ``hot_start``; batches without a full right window unless not ``cold_end``.
+    window pass unflagged unless ``hot_start``; batches without a full right window unless not ``cold_end``. Windows are
+    dealt out by (user, batch) and take the counts of the blocks they overlap, so no task holds a user's history. A null
+    user is a user like any other.
     """
+    configure(df.sparkSession)
     half = int(np.ceil(min_window_s / resolution_s))
     second = F.round(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).cast("bigint")
     origin = df.groupBy(user).agg(
         F.unix_seconds(F.date_trunc("day", F.min(ts)).cast("timestamp")).alias("_t0")
     )
-    rows = df.join(origin, user).withColumn("_bin", F.floor((second - F.col("_t0")) / resolution_s).cast("int")).drop("_t0")
-    counted = rows.groupBy(user, "_bin").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    counts = counted.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("_bin", "n"))).alias("c"))
-    spans = rows.groupBy(user, batch).agg(F.min("_bin").alias("lo"), F.max("_bin").alias("hi"))
-    batches = spans.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(batch, "lo", "hi"))).alias("b"))
-
-    @F.pandas_udf("array<struct<pos:int,bin:int>>")
-    def detect(bins: pd.Series, ns: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
-        windows = [
-            (row, *window)
-            for row, user_bins in enumerate(zip(bins, ns, lows, highs))
-            for window in _batch_windows(*user_bins, half, hot_start, cold_end)
-        ]
-        out: list[list[dict]] = [[] for _ in range(len(bins))]
-        by_length: dict[int, list] = {}
-        for window in windows:
-            by_length.setdefault(len(window[-1]), []).append(window)
-        # Windows of one length, of all users in the batch, are transformed together.
-        for same in by_length.values():
-            hits = anomaly_mask(np.stack([w[-1] for w in same]), percentile, zthresh)
-            for (row, position, low, high, _), mask in zip(same, hits):
-                for i in np.flatnonzero(mask):
-                    value = low - half - 1 + int(i)
-                    if low <= value <= high:
-                        out[row].append({"pos": position, "bin": value})
+    rows = ordered._null_safe(df, origin, [user], "inner")
+    rows = rows.withColumn("_bin", F.floor((second - F.col("_t0")) / resolution_s).cast("int")).drop("_t0")
+    counts = durable(rows.groupBy(user, "_bin").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    extent = counts.groupBy(user).agg(F.min("_bin").alias("_first"), F.max("_bin").alias("_last"))
+    spans = rows.groupBy(user, batch).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
+    spans = durable(ordered._null_safe(spans, extent, [user], "inner"))
+    if not hot_start:
+        warm = spans.filter(F.col("_first") <= F.col("_lo") - half).groupBy(user).agg(F.min(batch).alias("_from"))
+        spans = ordered._null_safe(spans, warm, [user], "inner").filter(F.col(batch) >= F.col("_from"))
+    if cold_end:
+        spans = spans.filter(F.col("_last") >= F.col("_hi") + half)
+    spans = spans.select(user, batch, "_lo", "_hi", (F.col("_lo") - half).alias("_start"), (F.col("_hi") + half).alias("_end"))
+    block = lambda c: F.floor(F.col(c) / BLOCK_BINS)
+    wanted = spans.withColumn("_block", F.explode(F.sequence(block("_start"), block("_end"))))
+    met = ordered._null_safe(wanted, counts.withColumn("_block", block("_bin")), [user, "_block"], "inner")
+    met = met.filter(F.col("_bin").between(F.col("_start"), F.col("_end")))
+    # One empty bin in front, and the last bin counted together with the one before it.
+    place = F.least(F.col("_bin") - F.col("_start") + 1, F.col("_end") - F.col("_start"))
+    signals = met.groupBy(user, batch, "_lo", "_hi").agg(F.collect_list(F.struct(place.alias("at"), "_n")).alias("_s"))
+
+    @F.pandas_udf("array<int>")
+    def detect(places: pd.Series, ns: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+        out: list[list[int]] = [[] for _ in range(len(lows))]
+        by_length: dict[int, list[int]] = {}
+        for row, (low, high) in enumerate(zip(lows, highs)):
+            by_length.setdefault(high - low + 2 * half + 1, []).append(row)
+        # Windows of one length are transformed together.
+        for length, same in by_length.items():
+            signals = np.zeros((len(same), length))
+            for k, row in enumerate(same):
+                np.add.at(signals[k], np.asarray(places.iloc[row]), np.asarray(ns.iloc[row]))
+            for row, mask in zip(same, anomaly_mask(signals, percentile, zthresh)):
+                found = lows.iloc[row] - half - 1 + np.flatnonzero(mask)
+                out[row] = [int(b) for b in found if lows.iloc[row] <= b <= highs.iloc[row]]
         return pd.Series(out)
 
-    found = by_key(counts.join(batches, user), user).withColumn(
-        "f", F.explode(detect(F.col("c._bin"), F.col("c.n"), F.col("b.lo"), F.col("b.hi")))
-    )
-    flagged = found.select(
-        user, F.element_at("b", F.col("f.pos") + 1)[batch].alias(batch), F.col("f.bin").alias("_bin"), F.lit(True).alias("_hit")
-    )
-    out = rows.join(flagged, [user, batch, "_bin"], "left")
+    hits = detect(F.col("_s.at"), F.col("_s._n"), F.col("_lo"), F.col("_hi"))
+    flagged = by_key(signals, user, batch).select(user, batch, F.explode(hits).alias("_bin")).withColumn("_hit", F.lit(True))
+    out = ordered._null_safe(rows, durable(flagged), [user, batch, "_bin"], "left")
     return out.withColumn("ts_anomaly", F.coalesce("_hit", F.lit(False))).drop("_hit", "_bin")
 
 
-def _batch_windows(bins, counts, lows, highs, half, hot_start, cold_end):
-    """(position, low, high, signal) of the batches that have the window they need."""
-    bins, counts = np.asarray(bins), np.asarray(counts)
-    warm = hot_start
-    for position, (low, high) in enumerate(zip(lows, highs)):
-        start, end = low - half, high + half
-        if bins[0] > start and not warm:
-            continue
-        warm = True
-        if bins[-1] < end and cold_end:
-            continue
-        first, last = np.searchsorted(bins, [start, end + 1])
-        # One empty bin in front, and the last bin counted together with the one before it.
-        signal = np.zeros(end - start + 1)
-        np.add.at(signal, np.minimum(bins[first:last] - (start - 1), end - start), counts[first:last])
-        yield position, low, high, signal
-
-
 def bin_flags(
     df: DataFrame, user: str, ts: str, resolution_s: int = 3600, min_window_s: int = 43200, hot_start: bool = False,
     percentile: float = 90, zthresh: float = 8,
@@ -185,6 +181,7 @@ def bin_flags(
     The batch form of ``streaming.state.windowed_flags``: without ``hot_start``, bins that have no full window on
     their left within the user's history pass unflagged.
     """
+    configure(df.sparkSession)
     half = -(-min_window_s // resolution_s)
     rows = df.withColumn("_bin", F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div {resolution_s * 1_000_000}"))
     counts = rows.groupBy(user, "_bin").agg(F.count(F.lit(1)).cast("double").alias("_n"))
@@ -192,7 +189,7 @@ def bin_flags(
     # Every bin sends its count to the windows it lies in; a window is as long as its parameters say.
     sent = counts.select(user, "_n", "_bin", shift.alias("_s")).select(user, "_n", (F.col("_bin") + F.col("_s")).alias("_bin"), (-F.col("_s")).alias("_s"))
     windows = sent.groupBy(user, "_bin").agg(F.map_from_entries(F.collect_list(F.struct("_s", "_n"))).alias("_w"))
-    windows = windows.join(counts.select(user, "_bin"), [user, "_bin"], "left_semi")
+    windows = ordered._null_safe(windows, counts.select(user, "_bin"), [user, "_bin"], "left_semi")
     first = counts.groupBy(user).agg(F.min("_bin").alias("_first"))
     signal = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)))
 
@@ -201,5 +198,6 @@ def bin_flags(
         return pd.Series(anomaly_mask(np.stack(series.to_list()), percentile, zthresh)[:, half]) if len(series) else pd.Series([], dtype=bool)
 
     warm = F.lit(True) if hot_start else F.col("_first") <= F.col("_bin") - half
-    flags = windows.join(first, user).select(user, "_bin", (warm & middle(signal)).alias("ts_anomaly"))
-    return rows.join(flags, [user, "_bin"]).drop("_bin")
+    windows = ordered._null_safe(windows, first, [user], "inner")
+    flags = windows.select(user, "_bin", (warm & middle(signal)).alias("ts_anomaly"))
+    return ordered._null_safe(rows, flags, [user, "_bin"], "inner").drop("_bin")

@@ -383,9 +383,41 @@ def fft_velocity_anomalies(spark, sf_dir):
     return spectral.event_anomalies(rows, "user_id", "ts", "event_id", "travel_speed_kmph", zthresh=3)
 
 
-@query("timeseries_flags")
+@query(
+    "timeseries_flags",
+    """
+    -- the reconstruction keeps the strongest tenth of the frequencies; stated as sums over each day's window. Two groups
+    -- of users have dense signals, whose frequencies differ in energy by more than rounding
+    WITH grouped AS (SELECT event_id, ts, user_id % 2 AS user_id FROM events),
+    s AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(round(epoch_us(ts) / 1e6) AS BIGINT) AS sec FROM grouped),
+    o AS (SELECT user_id, CAST(epoch_us(date_trunc('day', min(ts))) // 1000000 AS BIGINT) AS t0 FROM grouped GROUP BY 1),
+    e AS (SELECT event_id, s.user_id, day, (sec - t0) // 3600 AS bin FROM s JOIN o ON o.user_id IS NOT DISTINCT FROM s.user_id),
+    c AS (SELECT user_id, bin, count(*)::DOUBLE AS n FROM e GROUP BY 1, 2),
+    x AS (SELECT user_id, min(bin) AS first, max(bin) AS last FROM c GROUP BY 1),
+    b AS (SELECT user_id, day, min(bin) AS lo, max(bin) AS hi FROM e GROUP BY 1, 2),
+    g AS (SELECT b.*, first, last, min(CASE WHEN first <= lo - 12 THEN day END) OVER (PARTITION BY b.user_id) AS since FROM b JOIN x ON x.user_id IS NOT DISTINCT FROM b.user_id),
+    w AS (SELECT user_id, day, lo, hi, hi - lo + 25 AS len FROM g WHERE day >= since AND last >= hi + 12),
+    v AS (SELECT w.user_id, w.day, w.lo, w.hi, w.len, i.i, coalesce(sum(c.n), 0) AS x
+          FROM w CROSS JOIN (SELECT unnest(range(0, 60)) AS i) i LEFT JOIN c ON c.user_id IS NOT DISTINCT FROM w.user_id AND c.bin BETWEEN lo - 12 AND hi + 12
+            AND least(c.bin - lo + 13, len - 1) = i.i WHERE i.i < len GROUP BY ALL),
+    z AS (SELECT *, avg(x) OVER q AS mu, stddev_pop(x) OVER q AS sd FROM v WINDOW q AS (PARTITION BY user_id, day)),
+    k AS (SELECT user_id, day, k, any_value(len) AS len, sum(x * cos(2 * pi() * k * i / len)) AS re, -sum(x * sin(2 * pi() * k * i / len)) AS im,
+                 sum((x - mu) * cos(2 * pi() * k * i / len)) AS cr, sum((x - mu) * sin(2 * pi() * k * i / len)) AS ci, any_value(sd) AS sd
+          FROM z CROSS JOIN (SELECT unnest(range(0, 31)) AS k) WHERE k <= len // 2 GROUP BY ALL),
+    p AS (SELECT *, (cr * cr + ci * ci) / len / (CASE WHEN sd = 0 THEN 1 ELSE sd * sd END) AS energy FROM k),
+    t AS (SELECT user_id, day, quantile_cont(energy, 0.9) AS least_energy FROM p GROUP BY ALL),
+    r AS (SELECT z.user_id, z.day, z.i, any_value(z.lo) AS lo, any_value(z.hi) AS hi, any_value(z.x) AS x,
+                 sum(CASE WHEN p.energy < t.least_energy THEN 0 ELSE (CASE WHEN p.k = 0 OR 2 * p.k = p.len THEN 1 ELSE 2 END)
+                     * (p.re * cos(2 * pi() * p.k * z.i / p.len) - p.im * sin(2 * pi() * p.k * z.i / p.len)) END / p.len) AS y
+          FROM z JOIN p ON p.user_id IS NOT DISTINCT FROM z.user_id AND p.day = z.day JOIN t ON t.user_id IS NOT DISTINCT FROM z.user_id AND t.day = z.day GROUP BY ALL),
+    d AS (SELECT *, abs(y - x) AS err FROM r),
+    q AS (SELECT *, avg(err) OVER q AS me, stddev_pop(err) OVER q AS se FROM d WINDOW q AS (PARTITION BY user_id, day)),
+    f AS (SELECT user_id, day, lo - 13 + i AS bin FROM q WHERE se > 0 AND abs(err - me) / se >= 3 AND lo - 13 + i BETWEEN lo AND hi)
+    SELECT e.event_id, e.user_id, f.bin IS NOT NULL AS ts_anomaly FROM e LEFT JOIN f ON f.user_id IS NOT DISTINCT FROM e.user_id AND f.day = e.day AND f.bin = e.bin
+    """,
+)
 def timeseries_flags(spark, sf_dir):
-    rows = events(spark, sf_dir).select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    rows = events(spark, sf_dir).select("event_id", (F.col("user_id") % 2).alias("user_id"), "ts", F.to_date("ts").alias("day"))
     out = spectral.timeseries_flags(rows, "user_id", "ts", "day", zthresh=3)
     return out.select("event_id", "user_id", "ts_anomaly")
 

@@ -56,7 +56,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     )
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -86,7 +86,7 @@ def read_zeek(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
     header = lambda tag: F.collect_set(F.when(F.col("value").startswith(tag), F.col("value")))
-    files = lines.filter(F.col("value").startswith("#")).groupBy("_file").agg(header("#fields").alias("f"), header("#types").alias("t"))
+    files = lines.groupBy("_file").agg(header("#fields").alias("f"), header("#types").alias("t"))
     bad = files.filter("size(f) <> 1 or size(t) <> 1").select("_file").limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0][0]} must have one #fields and one #types line")

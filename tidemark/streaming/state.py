@@ -1,8 +1,9 @@
 """Per-user stateful operators.
 
 State per key is bounded (a counter, a maximum, the training window, the last few snapshots, the open time
-window), and input arrives in Arrow batches, so a busy key never has to fit in memory at once. All functions
-take a streaming frame and return one; start them with ``rocksdb(spark)`` in effect.
+window) and input arrives in Arrow batches, but one key is one task, which at times holds its whole state.
+``streaming.carry`` spreads a busy key's rows over tasks. All functions take a streaming frame and return one; start
+them with ``rocksdb(spark)`` in effect.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.spectral import anomalous_points
+from tidemark.session import configure
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def rocksdb(spark: SparkSession) -> None:
+    configure(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
