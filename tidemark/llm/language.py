@@ -21,15 +21,18 @@ from tidemark import session
 from tidemark.llm import common
 
 N = 4
-#: Slots of the filter (a power of two) and slots per n-gram: the broadcast table has SLOTS words of 64 languages.
-SLOTS, HASHES = 1 << 19, 3
+#: Slots of the filter: the power of two from ROOM for each n-gram of the fullest language, within these bounds; every
+#: n-gram is held, so beyond them a filter answers more by chance, which the correction takes off. A slot has one word for
+#: 64 languages (32 MB at the most).
+LEAST_SLOTS, MOST_SLOTS, ROOM = 1 << 16, 1 << 22, 12
+#: Slots per n-gram.
+HASHES = 3
 #: The filter is fitted on at most this many labelled documents per language, those first by a hash of their id.
 SAMPLE_DOCS = 4000
-#: An n-gram is held for a language that uses it at least this often, relative to the language that uses it most,
-#: and in at least this many of its sampled documents.
-LIKE_MOST, LEAST_DOCS = 0.2, 2
-#: At most so many n-grams per language, the most common first: a filled slot share below a third for 64 languages.
-MOST_GRAMS = 40_000
+#: An n-gram is held for a language that uses it at least this often, relative to the language that uses it most.
+LIKE_MOST = 0.2
+#: Cells that a language's labelled documents are counted in, by the order of the sample.
+CELLS = 1 << 14
 UNDECIDED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -39,13 +42,15 @@ PIECE = 1 << 20
 
 @dataclass
 class LanguageFilter:
-    """``slots``: SLOTS x ceil(languages / 64) masks; ``false_rate``: chance answers of each language's filter."""
+    """``slots``: slots x ceil(languages / 64) masks; ``false_rate``: chance answers of each language's filter;
+    ``usual``: the language with most labelled documents, for texts of which no n-gram is held."""
 
     languages: list[str]
     slots: np.ndarray
     false_rate: np.ndarray
     hashes: int = HASHES
     n: int = N
+    usual: str = UNDECIDED
 
 
 def grams(text: str, n: int = N) -> np.ndarray:
@@ -90,21 +95,44 @@ def slots_of(h: np.ndarray, slots: int, hashes: int = HASHES) -> list[np.ndarray
     return [((h * MIX[k % 3] + np.uint64(k)) >> np.uint64(20)) & np.uint64(slots - 1) for k in range(hashes)]
 
 
-def fit(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS) -> LanguageFilter:
-    """Fit on rows with a language and a text; others are ignored. The sample and the result don't depend on order."""
+def sampled(rows: DataFrame, size: int) -> DataFrame:
+    """(lang, text): the first ``size`` ids of each language by a hash, one text for each id.
+
+    Ids are counted by cells of the hash first, so only the cells that the sample reaches into are sorted: about
+    ``size`` rows and one cell of each language, however common it is. An id with several texts gives that with the least hash.
+    """
+    ids = rows.select("lang", "id", F.xxhash64(F.lit("lang-sample"), "id").alias("turn"))
+    ids = ids.withColumn("cell", F.shiftrightunsigned("turn", 64 - CELLS.bit_length() + 1)).distinct()
+    ids = session.durable(ids)
+    cells = ids.groupBy("lang", "cell").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    reached = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < size)
+    near = ids.join(session.broadcast_if_small(reached.select("lang", "cell", "before")), ["lang", "cell"])
+    place = F.row_number().over(Window.partitionBy("lang", "cell").orderBy("turn", "id")) + F.col("before")
+    picked = session.durable(near.withColumn("place", place).filter(F.col("place") <= size).select("lang", "id"))
+    texts = rows.join(session.broadcast_if_small(picked), ["lang", "id"], "left_semi")
+    texts = texts.groupBy("lang", "id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return texts.select("lang", F.col("first.text").alias("text"))
+
+
+def fit(
+    labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS, slots: int | None = None
+) -> LanguageFilter:
+    """Fit on rows with a language, an id and a text; others are ignored. The sample and the result don't depend on order.
+
+    A language with a single labelled document is held as any other, by that document's n-grams. ``slots`` (a power of
+    two) overrides the size that follows from the n-grams.
+    """
     common.prepare(labelled.sparkSession)
     rows = labelled.select(
         labelled[id_col].cast("long").alias("id"), labelled[lang_col].cast("string").alias("lang"), labelled[text_col].cast("string").alias("text")
-    ).filter("lang is not null and text <> ''")
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang-sample"), "id"), "id")
-    picked = (
-        rows.select("id", "lang").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= sample_docs).select("id", "lang")
-    )
-    # At most sample_docs ids for each language; a language count is small by nature, and the bound is checked.
-    sample = rows.join(session.broadcast_if_small(picked), ["id", "lang"], "left_semi")
-    sample = session.durable(session.spread(sample.select("lang", "text")))
+    ).filter("lang is not null and id is not null and text <> ''")
+    sample = session.durable(session.spread(sampled(rows, sample_docs)))
     docs = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").first()
     languages = sorted(docs)
+    if not languages:
+        return LanguageFilter([], np.zeros((slots or LEAST_SLOTS, 1), np.uint64), np.zeros(0))
 
     def count(batches):
         """Documents of each language that hold an n-gram, added up within a batch."""
@@ -119,24 +147,35 @@ def fit(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
                 )
 
     counts = sample.mapInArrow(count, "lang string, gram long, docs long")
-    sizes = F.create_map(*[F.lit(x) for pair in docs.items() for x in pair]) if docs else F.lit(None)
-    held = []
-    if languages:
-        counts = counts.groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-        counts = counts.withColumn("share", F.col("docs") / sizes[F.col("lang")])
-        counts = counts.withColumn("top", F.max("share").over(Window.partitionBy("gram")))
-        counts = counts.filter((F.col("share") >= LIKE_MOST * F.col("top")) & (F.col("docs") >= LEAST_DOCS))
-        by_use = Window.partitionBy("lang").orderBy(F.desc("docs"), "gram")
-        counts = counts.withColumn("turn", F.row_number().over(by_use)).filter(F.col("turn") <= MOST_GRAMS)
-        held = counts.select("lang", "gram").toPandas()  # at most MOST_GRAMS rows for each language
-    words = max(1, -(-len(languages) // 64))
-    slots = np.zeros((SLOTS, words), np.uint64)
-    for k, lang in enumerate(languages):
-        h = held.loc[held["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
-        for slot in slots_of(h, SLOTS):
-            slots[slot, k // 64] |= np.uint64(1) << np.uint64(k % 64)
+    sizes = F.create_map(*[F.lit(x) for pair in docs.items() for x in pair])
+    counts = counts.groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    counts = counts.withColumn("share", F.col("docs") / sizes[F.col("lang")])
+    counts = counts.withColumn("top", F.max("share").over(Window.partitionBy("gram")))
+    held = session.durable(counts.filter(F.col("share") >= LIKE_MOST * F.col("top")).select("lang", "gram"))
+    if slots is None:
+        fullest = held.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << int(ROOM * fullest - 1).bit_length() if fullest else 0))
+
+    def slot_bits(batches):
+        """Slots of n-grams with their language's bit, ORed within a batch."""
+        for batch in batches:
+            number = {lang: k for k, lang in enumerate(languages)}
+            k = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
+            h = batch.column("gram").to_numpy().view(np.uint64)
+            at = np.concatenate(slots_of(h, slots)).astype(np.int64) * words + np.tile(k // 64, HASHES)
+            bits = np.tile(np.uint64(1) << (k % 64).astype(np.uint64), HASHES)
+            order = np.argsort(at, kind="stable")
+            place, first = np.unique(at[order], return_index=True)
+            masks = np.bitwise_or.reduceat(bits[order], first) if len(at) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(masks.view(np.int64))], ["place", "mask"])
+
+    words = -(-len(languages) // 64)
+    table = np.zeros(slots * words, np.uint64)
+    filled = held.mapInArrow(slot_bits, "place long, mask long").groupBy("place").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    table[filled["place"].to_numpy()] = filled["mask"].to_numpy(np.int64).view(np.uint64)  # at most a row for each word of the filter
+    slots = table.reshape(slots, words)
     full = [float(((slots[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(languages))]
-    return LanguageFilter(languages, slots, np.array(full) ** HASHES)
+    return LanguageFilter(languages, slots, np.array(full) ** HASHES, usual=labels["lang"])
 
 
 def counted(text: str, model: LanguageFilter) -> tuple[int, np.ndarray]:
@@ -155,21 +194,23 @@ def counted(text: str, model: LanguageFilter) -> tuple[int, np.ndarray]:
 
 def decide(text: str | None, model: LanguageFilter) -> tuple[str, float, float]:
     """(language, score, coverage): the score is the language's share of all corrected counts, the coverage its
-    corrected count in n-grams of the text. Ties go to the language first by name."""
+    corrected count in n-grams of the text. Ties go to the language first by name; a text of which no n-gram is held
+    has no evidence and gets the language of most labelled documents with score and coverage 0."""
     if not text or not model.languages or not LETTER.search(text):
         return UNDECIDED, 0.0, 0.0
     total, hits = counted(text, model)
-    right = np.maximum(0.0, (hits - total * model.false_rate) / (1 - model.false_rate))
+    right = np.maximum(0.0, (hits - total * model.false_rate) / np.maximum(1 - model.false_rate, 1e-9))
     best = int(np.argmax(right))
-    share = right[best] / right.sum() if right[best] > 0 else 1 / len(right)
-    return model.languages[best], round(float(share), 6), round(min(1.0, float(right[best]) / max(total, 1)), 6)
+    if right[best] == 0:
+        return model.usual, 0.0, 0.0
+    return model.languages[best], round(float(right[best] / right.sum()), 6), round(min(1.0, float(right[best]) / max(total, 1)), 6)
 
 
 def identified(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, coverage), one row per input row, from the text alone.
+    """(id, lang_pred, score, coverage), one row per input row, from the text alone, whole: long ones in pieces of PIECE.
 
     A null text, an empty one or one without letters is ``und`` with score 0. Repeated rows get equal answers; an
-    empty table gives no rows. The model is a few megabytes by its parameters, whatever the corpus.
+    empty table gives no rows. The model's size is bounded by MOST_SLOTS, whatever the corpus.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
