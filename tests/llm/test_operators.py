@@ -286,6 +286,73 @@ def test_quality_measures_and_verdict(odd, odd_rows, empty):
     assert quality.judged(empty).count() == 0
 
 
+def fences(rows):
+    """Fences by quantiles of all values instead of sketches: {(lang, source): {rule: (low, high)}}, each sketch by itself."""
+    out = {}
+    for level in (("lang", "source"), ("lang",), ()):
+        groups = {}
+        for r in rows:
+            if r.n_words:
+                groups.setdefault(tuple(getattr(r, c) for c in level), []).append(r)
+        for key, members in groups.items():
+            out[key] = {"n": len(members)}
+            for rule in quality.RULES:
+                v = sorted(measures_of(r)[rule][0] for r in members)
+                low, mid, high = (v[-int(-q * len(v) // 1) - 1] for q in (0.25, 0.5, 0.75))
+                low, mid, high = (np.log(x) if rule == "word_length" else np.log(x / (1 - x)) for x in (low, mid, high))
+                out[key][rule] = (low - 6 * (mid - low), high + 6 * (high - mid))
+    return out
+
+
+def measures_of(r):
+    """rule -> (smoothed value, proven value or None, proven for the lower fence)"""
+    share = lambda n, of, unit=1: ((n + unit / 2) / (of + unit), (n - 2 * (unit * n) ** 0.5) / of, None)
+    length = r.word_chars / r.n_words
+    return {
+        "symbol_share": share(r.n_symbols, r.word_chars), "dup_line_share": share(r.n_dup_lines, r.n_lines),
+        "repeat_share": share(r.n_repeat_words, r.n_words, 10), "upper_share": share(r.n_upper, r.word_chars),
+        "word_length": (length, length * (1 - 2 * r.n_words**-0.5), length * (1 + 2 * r.n_words**-0.5)),
+    }
+
+
+def test_fences_and_verdicts_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.judged(docs).collect()
+    limits = fences(rows)
+    near, by_rule = 0, Counter()
+    for r in rows:
+        if not r.n_words:
+            assert not r.kept
+            continue
+        failed, close = [], False
+        for rule, (_, proven, low_proven) in measures_of(r).items():
+            lows, highs = [], []
+            for k, key in enumerate(((), (r.lang,), (r.lang, r.source))):
+                lo, hi = limits[key][rule]
+                n = limits[key]["n"]
+                lows.append(lo if not k else (n * lo + quality.PRIOR * lows[-1]) / (n + quality.PRIOR))
+                highs.append(hi if not k else (n * hi + quality.PRIOR * highs[-1]) / (n + quality.PRIOR))
+            if rule == "word_length":
+                lows, highs = lows[1:], highs[1:]
+                low = np.log(low_proven) - max(lows)
+                close |= abs(low) < 0.04
+            else:
+                low = 1
+            high = -1
+            if proven > 0:
+                high = (np.log(proven) if rule == "word_length" else np.log(proven / max(1 - proven, 1e-9))) - min(highs)
+                # A quarter percent of a quartile counts 13 times at most; log odds of larger shares are steeper.
+                close |= abs(high) < (0.04 if rule == "word_length" else 0.1)
+            failed += [rule] if low < 0 or high > 0 else []
+        near += close
+        if not close:
+            assert list(r.failed_rules) == failed and r.kept == (not r.base_failed and not failed), r
+        by_rule.update(failed if not r.base_failed else [])
+    rejected = sum(not r.kept and not r.base_failed for r in rows)
+    print(f"{len(rows)} rows, {rejected} rejected by sketches, by rule {dict(by_rule)}, {near} within the sketches' error")
+    assert rejected and near <= 0.1 * len(rows)
+
+
 def test_sketches_merge_and_bound_their_error(spark):
     df = spark.range(1, 5001).select((F.col("id") / 7).alias("v"))
     df = df.select("v", quality.bucket_value(quality.sketch_bucket(F.col("v"))).alias("b"))
@@ -324,6 +391,57 @@ def test_a_bad_source_does_not_set_its_own_limits(spark):
 # language
 
 
+def held_grams(rows):
+    """n-grams of each language by the rule of the filter, from (text, lang) rows, with plain sets and counters."""
+    docs, many = {}, Counter(lang for _, lang in rows)
+    for text, lang in rows:
+        docs.setdefault(lang, Counter()).update(set(language.grams(text).tolist()))
+    held = {}
+    for lang, counts in docs.items():
+        top = lambda g: max(docs[x][g] / many[x] for x in docs)
+        held[lang] = {g for g, n in counts.items() if n / many[lang] >= language.LIKE_MOST * top(g)}
+    return held
+
+
+def test_language_counts_by_brute_force(spark):
+    rows = [
+        (1, "the weather is fine and the wind is low", "en"), (2, "they walk along the river with the dog", "en"),
+        (3, "das Wetter ist schön und der Wind ist schwach", "de"), (4, None, "de"), (5, "no label", None), (None, "no id here", "de"),
+        (6, "le temps est beau et le vent est faible", "fr"), (6, "le temps est beau et le vent est faible", "fr"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    held = held_grams([(t, g) for _, t, g in [*rows[:3], rows[6]]])
+    assert model.languages == sorted(held) and model.usual == "en" and max(model.false_rate) < 1e-6
+    texts = ["Das Wetter ist fein", "the river and the wind", "vent du temps", "qqqq wwww", "x " * 700_000 + "the wind is fine"]
+    for text in texts:
+        total, hits = language.counted(text, model)
+        own = np.concatenate([language.grams(p) for p in language.pieces(text)]).tolist()
+        assert total == len(own) and hits.tolist() == [sum(g in held[x] for g in own) for x in model.languages]
+    # One labelled document is enough for a language; without any n-gram there is no evidence, and the score says so.
+    assert language.decide("Der Wind ist schwach", model)[0] == "de" and language.decide("Der Wind ist schwach", model)[1] > 0.6
+    assert language.decide("qqqq wwww", model) == ("en", 0.0, 0.0)
+    # A filter that is far too small answers by chance for most n-grams; the correction finds the true counts again.
+    small = language.fit(df, slots=256)
+    assert max(small.false_rate) > 0.01
+    text = " ".join(str(t) for _, t, g in rows if g == "en") * 20
+    total, hits = language.counted(text, small)
+    exact = language.counted(text, model)[1]
+    right = (hits - total * small.false_rate) / (1 - small.false_rate)
+    assert (np.abs(right - exact) <= 0.1 * total).all() and language.decide(text, small)[0] == "en"
+
+
+def test_language_sample_is_the_first_ids_of_each_language(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "de") for i in range(900)] + [(7, "other", "en")] * 50
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = language.sampled(df, 40).collect()
+    turn = {r.id: r.t for r in spark.range(900).select("id", F.xxhash64(F.lit("lang-sample"), "id").alias("t")).collect()}
+    for lang in ("en", "de"):
+        ids = sorted({i for i, _, g in rows if g == lang}, key=lambda i: (turn[i] % 2**64, i))[:40]
+        assert {r.text for r in got if r.lang == lang} - {"other"} == {f"text {i}" for i in ids} - ({"text 7"} if any(r.text == "other" for r in got) else set())
+        assert sum(r.lang == lang for r in got) == 40
+
+
 def test_language_filter(spark, odd, empty):
     sounds = {"en": ["the", "ing", "tion", "and"], "fr": ["eau", "eux", "ment", "que"], "xx": ["zk", "wrz", "ów", "ść"]}
     import random

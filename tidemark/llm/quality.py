@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds: quantile sketches per language and source replace fixed cutoffs.
 
 A sketch counts values in buckets of constant relative width, so sketches merge by adding counts, in any order and
-with the same result. They are kept per language and source, per language, and for all rows. A sketch's fence lies
-beyond its quartile by six times the distance of that quartile from the median, and by no less than the rule's margin.
-A row fails a rule when it lies beyond the tightest fence of its group and the wider sketches, so a source that is
-mostly junk does not set its own limits; a group with too few rows has the wider sketches only. Word length differs
-between scripts, so its limits come from all rows only where a language has too few rows.
+with the same result. They are kept per language and source, per language, and for all rows. What they hold is smoothed:
+half a unit is added to a count, so that texts with none differ by how much their length tells, and a rule has a spread
+where most counts are zero. A sketch's fence lies beyond its quartile by SPREAD times the distance of that quartile
+from the median, on a log scale (log odds for shares); no fence has a fixed part. The fewer rows a sketch has, the more its
+fence is drawn to that of the next wider sketch, by n / (n + PRIOR). A row fails a rule when what its text proves (its
+count less two standard errors) lies beyond the tightest fence of its group, its language and all rows, so a source that
+is mostly junk does not set its own limits. Word length differs between scripts: there, all rows count through the
+shrinking only.
 """
 
 from __future__ import annotations
@@ -24,20 +27,31 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Bucket width of a sketch (a value is known within 1 %), and rows below which a wider sketch decides.
-GAMMA, LEAST_ROWS = 1.02, 100
+#: Bucket width of a sketch (a value is known within 0.25 %), and the rows that the next wider sketch counts for in a fence.
+GAMMA, PRIOR = 1.005, 10
 #: The middle half of a sketch sets its fences, so junk hides only if it is over a quarter of every sketch it is in.
 LOW, MIDDLE, HIGH = 0.25, 0.5, 0.75
 SPREAD = 6
-#: rule -> (value from the measured columns, margin below or None, margin above or None)
+
+
+def share_rule(count: str, of: str, unit: int = 1) -> tuple[str, str | None, str | None]:
+    """A rule on count / of, counts coming in clumps of ``unit``: (smoothed value, proven low or None, proven high)."""
+    return f"({count} + {unit / 2}) / ({of} + {unit})", None, f"({count} - 2 * sqrt({unit} * {count})) / {of}"
+
+
+#: rule -> (value for the sketches, what a text is held to at the lower fence, and at the upper one; None: no fence)
 RULES = {
-    "symbol_share": ("try_divide(n_symbols, word_chars)", None, 0.05),
-    "dup_line_share": ("try_divide(n_dup_lines, n_lines)", None, 0.35),
-    "repeat_share": ("try_divide(n_repeat_words, n_words)", None, 0.2),
-    "word_length": ("try_divide(word_chars, n_words)", 1.5, 4.0),
-    "upper_share": ("try_divide(n_upper, word_chars)", None, 0.3),
+    "symbol_share": share_rule("n_symbols", "word_chars"),
+    "dup_line_share": share_rule("n_dup_lines", "n_lines"),
+    "repeat_share": share_rule("n_repeat_words", "n_words", 2 * WINDOW),
+    "upper_share": share_rule("n_upper", "word_chars"),
+    "word_length": (
+        "word_chars / n_words",
+        "word_chars / n_words * (1 + 2 / sqrt(n_words))",
+        "word_chars / n_words * (1 - 2 / sqrt(n_words))",
+    ),
 }
-#: Rules whose values depend on the language: a language with enough rows is not held to the fence of all rows.
+#: Rules whose values depend on the language: a language is not held to the fence of all rows. Others are shares.
 BY_LANGUAGE = ("word_length",)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 SALT = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -113,8 +127,16 @@ def bucket_value(bucket):
     return F.when(bucket == 0, F.lit(0.0)).otherwise(middle)
 
 
+def scaled(rule, value):
+    """A value on the scale of fences: log odds of a share, the logarithm of anything else."""
+    return F.log(value) if rule in BY_LANGUAGE else F.log(value) - F.log1p(-F.least(value, F.lit(1 - 1e-9)))
+
+
 def thresholds(rows: DataFrame, rules: dict = RULES) -> DataFrame:
-    """(level, lang_key, source_key, n, lo_<rule>, hi_<rule>) from merged sketches; level 0 is the finest."""
+    """(level, lang_key, source_key, n, lo_<rule>, hi_<rule>) from merged sketches, each sketch by itself.
+
+    Level 0 is a language and source, 1 a language, 2 all rows; fences are on the scale of ``scaled``.
+    """
     values = F.explode(
         F.array(*[F.struct(F.lit(r).alias("rule"), sketch_bucket(F.expr(e)).alias("bucket")) for r, (e, _, _) in rules.items()])
     )
@@ -136,13 +158,14 @@ def thresholds(rows: DataFrame, rules: dict = RULES) -> DataFrame:
         s = s.groupBy("lang_key", "source_key", "rule").agg(
             F.max("all").alias("n"), at(LOW).alias("low"), at(MIDDLE).alias("middle"), at(HIGH).alias("high")
         )
-        lo, hi = [], []
+        fences = []
         for rule, (_, below, above) in rules.items():
+            low, middle, high = (scaled(rule, F.col(c)) for c in ("low", "middle", "high"))
             if below is not None:
-                lo.append(F.max(F.when(F.col("rule") == rule, F.col("low") - F.greatest(SPREAD * (F.col("middle") - F.col("low")), F.lit(below)))).alias(f"lo_{rule}"))
+                fences.append(F.max(F.when(F.col("rule") == rule, low - SPREAD * (middle - low))).alias(f"lo_{rule}"))
             if above is not None:
-                hi.append(F.max(F.when(F.col("rule") == rule, F.col("high") + F.greatest(SPREAD * (F.col("high") - F.col("middle")), F.lit(above)))).alias(f"hi_{rule}"))
-        s = s.groupBy("lang_key", "source_key").agg(F.lit(level).alias("level"), F.max("n").alias("n"), *lo, *hi)
+                fences.append(F.max(F.when(F.col("rule") == rule, high + SPREAD * (high - middle))).alias(f"hi_{rule}"))
+        s = s.groupBy("lang_key", "source_key").agg(F.lit(level).alias("level"), F.max("n").alias("n"), *fences)
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -150,26 +173,30 @@ def thresholds(rows: DataFrame, rules: dict = RULES) -> DataFrame:
 def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", rules: dict = RULES) -> DataFrame:
     """(id, the measures, base_failed, failed_rules, kept), one row per input row.
 
-    Null languages and null sources are groups of their own. A text without words fails the base rule. Repeated
-    rows count each in the sketches; an empty table gives no rows. Thresholds come from all rows.
+    Null languages and null sources are groups of their own. A text without words fails the base rule and is in no
+    sketch. Repeated rows count each in the sketches; an empty table gives no rows. Thresholds come from all rows, and a
+    group of one row is judged as one of a million, only with other weights. A long text is measured whole; its task
+    holds that text, its words and eight bytes for each.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
     rows = measured(docs, id_col, text_col, lang_col, source_col)
     rows = session.durable(rows.withColumns({"lang_key": key("lang"), "source_key": key("source")}))
     limits = session.durable(thresholds(rows, rules))
-    limits = limits.filter(f"n >= {LEAST_ROWS} or level = 2").drop("level")
-    # For each group with rows, the tightest fence of the sketches that are large enough; nulls do not count.
     groups = rows.groupBy("lang_key", "source_key").agg(F.count("*").alias("members"))
     bounds = [c for c in limits.columns if c[:3] in ("lo_", "hi_")]
-    own = limits.select("lang_key", "source_key", F.struct(*bounds).alias("own"))
-    lang = limits.filter("source_key = '*' and lang_key <> '*'").select("lang_key", F.struct(*bounds).alias("lang_own"))
-    whole = limits.filter("source_key = '*' and lang_key = '*'").select(F.struct(*bounds).alias("whole"), F.lit(1).alias("one"))
+    with_n = lambda name: F.struct("n", *bounds).alias(name)
+    own = limits.filter("level = 0").select("lang_key", "source_key", with_n("own"))
+    lang = limits.filter("level = 1").select("lang_key", with_n("lang_own"))
+    whole = limits.filter("level = 2").select(with_n("whole"), F.lit(1).alias("one"))
+
     def tightest(bound):
-        finer = [F.col(f"own.{bound}"), F.col(f"lang_own.{bound}")]
+        """Each sketch's fence drawn to the wider one's by its rows, then the tightest; nulls do not count."""
+        drawn = [F.col(f"whole.{bound}")]
+        for level in ("lang_own", "own"):
+            n, wider = F.col(f"{level}.n"), drawn[-1]
+            drawn.append(F.coalesce((n * F.col(f"{level}.{bound}") + PRIOR * wider) / (n + PRIOR), wider))
         pick = F.greatest if bound[:3] == "lo_" else F.least
-        if bound[3:] in BY_LANGUAGE:
-            return F.when(F.col("lang_own").isNull(), pick(*finer, F.col(f"whole.{bound}"))).otherwise(pick(*finer)).alias(bound)
-        return pick(*finer, F.col(f"whole.{bound}")).alias(bound)
+        return pick(*(drawn[1:] if bound[3:] in BY_LANGUAGE else drawn)).alias(bound)
 
     chosen = (
         groups.join(own, ["lang_key", "source_key"], "left").join(lang, "lang_key", "left")
@@ -177,15 +204,16 @@ def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", s
         .select("lang_key", "source_key", "members", *map(tightest, bounds))
     )
     rows = common.attach(rows, session.durable(chosen), ["lang_key", "source_key"], "members")
+    # Bounds of texts without words are not asked for: their division by zero is an error in ANSI mode.
     broken = []
-    for rule, (expression, below, above) in rules.items():
-        value = F.expr(expression)
+    for rule, (_, below, above) in rules.items():
         beyond = F.lit(False)
         if below is not None:
-            beyond = beyond | (value < F.col(f"lo_{rule}"))
+            beyond = beyond | (scaled(rule, F.expr(below)) < F.col(f"lo_{rule}"))
         if above is not None:
-            beyond = beyond | (value > F.col(f"hi_{rule}"))
-        broken.append(F.when(F.coalesce(beyond, F.lit(False)), F.lit(rule)))
+            proven = F.expr(above)
+            beyond = beyond | F.when(proven > 0, scaled(rule, proven) > F.col(f"hi_{rule}")).otherwise(False)
+        broken.append(F.when(F.col("n_words") > 0, F.when(F.coalesce(beyond, F.lit(False)), F.lit(rule))))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*broken))})
     return rows.select(
