@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures."""
 
+import json
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import stages
 from tidemark.operators import filters, graph, learning, profiles, schema as sc, search, sequences as seq, spectral, tables, vectors as vec
+from tidemark.sinks import writers
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +131,56 @@ def test_schema_errors_and_absent_input(spark):
     assert sc.from_config([{"name": "x", "dtype": "str", "from": "flag", "op_type": "rename"}]).apply(df).columns == ["x"]
 
 
+def test_feature_files(spark, tmp_path):
+    config = {
+        "model_features": {"default": ["location"], "all": ["category", "appDisplayName", "travel_speed_kmph", "locincrement", "logcount"]},
+        "categorical_features": {"category": {"enabled": False}, "location": None},
+        "behavioral_features": {"locincrement": {"my_params": {"input_name": "location_country", "period": "month"}}, "logcount": None},
+    }
+    (tmp_path / "f.json").write_text(json.dumps(config))
+    names = lambda s: [c.name for c in s.columns]
+    assert names(sc.from_file(spark, str(tmp_path / "f.json"))) == ["timestamp", "username", "location"]
+    assert names(sc.from_file(spark, str(tmp_path / "f.json"), "absent")) == ["timestamp", "username", "location"]
+    schema = sc.from_file(spark, str(tmp_path / "f.json"), "all", row_id="id", preserve=["id"])
+    assert names(schema) == [
+        "timestamp", "username", "appDisplayName", "location_country", "location_geoCoordinates_latitude",
+        "location_geoCoordinates_longitude", "travel_speed_kmph", "location", "logcount", "locincrement",
+    ]
+    assert schema.columns[-1].period == "month" and schema.columns[-1].source == "location_country"
+    rows = [("2024-01-01 10:00:00", "u", "DE", 1), ("2024-01-09 10:00:00", "u", "FR", 2), ("2024-01-09 10:00:00", "u", "DE", 3), ("2024-02-01 00:00:00", None, None, 4)]
+    df = spark.createDataFrame(rows, "timestamp string, username string, location_country string, id long")
+    got = [(r.id, r.logcount, r.locincrement, r.travel_speed_kmph) for r in schema.apply(df).orderBy("id").collect()]
+    assert got == [(1, 0, 1, None), (2, 0, 2, None), (3, 1, 2, None), (4, 0, 1, None)]
+    assert schema.apply(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="unknown features"):
+        sc.feature_entries({"model_features": {"default": ["nonsense"]}})
+    with pytest.raises(ValueError, match="row_id"):
+        sc.from_config([{"name": "n", "op_type": "increment"}]).apply(df)
+    with pytest.raises(ValueError, match="twice"):
+        sc.from_config([{"name": "n", "dtype": "int"}, {"name": "n", "op_type": "increment"}])
+    same = [{"name": "id", "dtype": "int"}, {"name": "n", "op_type": "distinct", "from": "location_country", "period": "month"}]
+    coded = sc.FeatureSchema([sc.Plain("id", "int"), sc.DistinctIncrement("n", "location_country", "username", "timestamp", "month")], row_id="id")
+    assert sorted(sc.from_config(same, "id").apply(df).collect()) == sorted(coded.apply(df).collect())
+
+
+def test_validation_report_as_json(spark, tmp_path):
+    left = spark.createDataFrame([(1, 1.0, "a", 5), (2, 2.0, None, 5), (3, 3.0, "c", 5)], "id long, v double, s string, only_left int")
+    right = spark.createDataFrame([(1, 1.0005, "a", 7), (2, 2.5, None, 7), (4, 3.0, "c", 7)], "id long, v double, s string, _ts_r int")
+    path = str(tmp_path / "out.json")
+    report = tables.validation_report(left, right, ["id"])
+    writers.write_report(report, path)
+    (part,) = [p for p in (tmp_path / "out.json").iterdir() if p.name.startswith("part-")]
+    got = json.loads(part.read_text())
+    assert list(got) == sorted(got) and got == {
+        "diff_rows": 1, "diff_s": 0, "diff_v": 1, "extra_columns": [], "extra_rows": 1, "matching_columns": ["s", "v"],
+        "matching_rows": 1, "missing_columns": ["only_left"], "missing_rows": 1, "total_rows": 3,
+    }
+    with pytest.raises(Exception, match="(?i)exist"):
+        writers.write_report(report, path)
+    writers.write_report(tables.validation_report(left, left, ["id"]), path, overwrite=True)
+    assert spark.read.json(path).first()["matching_rows"] == 3
+
+
 def test_router_rejects_unknown_keys(spark):
     with pytest.raises(Exception, match="no route"):
         filters.routed(spark.range(3), F.col("id"), {"0": "a", "1": "b"}).collect()

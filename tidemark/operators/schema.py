@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,8 +274,13 @@ def select_features(
     return chosen
 
 
-def from_config(config: Sequence[Mapping[str, object]]) -> FeatureSchema:
-    """Schema from a list of ``{name, dtype, op_type, ...}`` entries (as read from YAML or JSON)."""
+def from_config(config: Sequence[Mapping[str, object]], row_id: str | None = None, preserve: Sequence[str] = ()) -> FeatureSchema:
+    """Schema from a list of ``{name, dtype, op_type, ...}`` entries, as read from YAML or JSON.
+
+    ``increment`` and ``distinct`` count within ``groupby`` (default username) and ``period`` by ``timestamp``; they
+    come after the other columns and need ``row_id``, the tie-break of equal times.
+    """
+    counted = lambda c: (c.get("groupby", "username"), c.get("timestamp", "timestamp"), c.get("period", "day"))
     builders = {
         "select": lambda c: Plain(c["name"], c["dtype"]),
         "rename": lambda c: Rename(c["name"], c["dtype"], c["from"]),
@@ -283,11 +288,97 @@ def from_config(config: Sequence[Mapping[str, object]]) -> FeatureSchema:
         "datetime": lambda c: DateTime(c["name"], c.get("from", c["name"])),
         "join": lambda c: StringJoin(c["name"], c["from"], c.get("sep", ",")),
         "concat": lambda c: StringCat(c["name"], c["from"], c.get("sep", ", ")),
+        "increment": lambda c: Increment(c["name"], *counted(c)),
+        "distinct": lambda c: DistinctIncrement(c["name"], c["from"], *counted(c)),
     }
     unknown = [c.get("op_type") for c in config if c.get("op_type", "select") not in builders]
     if unknown:
         raise ValueError(f"unknown op_type {unknown}")
-    return FeatureSchema([builders[c.get("op_type", "select")](c) for c in config])
+    names = [c["name"] for c in config]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns declared twice: {sorted({n for n in names if names.count(n) > 1})}")
+    return FeatureSchema([builders[c.get("op_type", "select")](c) for c in config], preserve=preserve, row_id=row_id)
+
+
+# Columns that a feature file may select, by kind, in output order.
+FILE_TEXTS = (
+    "appDisplayName", "resourceDisplayName", "clientAppUsed", "deviceDetailbrowser", "deviceDetaildisplayName",
+    "deviceDetailoperatingSystem", "statusfailureReason", "location_city_state_country", "location_state_country",
+    "location_country", "category",
+)
+FILE_NUMBERS = {
+    "location_geoCoordinates_latitude": "float", "location_geoCoordinates_longitude": "float", "travel_speed_kmph": "float",
+    "distance_km": "float", "ts_delta_hour": "float", "autonomousSystemNumber": "int",
+}
+FILE_FLAGS = ("is_corp_vpn", "is_weekend")
+#: Counting features and the input whose distinct values they count (none: rows).
+FILE_COUNTS = {"logcount": None, "locincrement": "location", "appincrement": "appDisplayName"}
+#: Inputs that a feature computed later needs beside itself.
+FILE_NEEDS = {"travel_speed_kmph": ("location_geoCoordinates_latitude", "location_geoCoordinates_longitude")}
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A feature file, YAML or JSON, from any path that Spark reads."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    try:
+        import yaml
+    except ImportError:
+        import json
+
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def feature_entries(config: Mapping[str, object], feature_set: str = "default") -> list[dict]:
+    """``from_config`` entries of one feature set: time, user, texts, numbers, flags, location, counters.
+
+    The file's ``model_features`` maps a set to its column names (an unknown set means ``default``);
+    ``categorical_features`` may switch a text off by ``enabled: false``; ``behavioral_features`` may give a counter's
+    ``input_name``, ``groupby_column``, ``timestamp_column`` and ``period`` under a key ending in ``params``. Inputs of
+    a selected counter and coordinates of a selected travel speed are added unasked. Names the file selects and
+    nobody knows are an error.
+    """
+    sets = config.get("model_features") or {}
+    wanted = set(sets.get(feature_set, sets.get("default", ())))
+    known = {*FILE_TEXTS, *FILE_NUMBERS, *FILE_FLAGS, *FILE_COUNTS, "timestamp", "username", "location"}
+    if wanted - known:
+        raise ValueError(f"unknown features {sorted(wanted - known)}")
+    off = {name for name, entry in (config.get("categorical_features") or {}).items() if (entry or {}).get("enabled", True) is False}
+    counters = []
+    for name, source in FILE_COUNTS.items():
+        if name not in wanted:
+            continue
+        entry = (config.get("behavioral_features") or {}).get(name) or {}
+        given = next((v for k, v in entry.items() if k.endswith("params") and v), {})
+        one = {
+            "name": name, "op_type": "distinct" if source else "increment", "groupby": given.get("groupby_column", "username"),
+            "timestamp": given.get("timestamp_column", "timestamp"), "period": given.get("period", "day"),
+        }
+        if source:
+            one["from"] = given.get("input_name", source)
+        elif "input_name" in given:
+            one["timestamp"] = given["input_name"]
+        counters.append(one)
+    needed = {c["from"] for c in counters if "from" in c}
+    needed.update(n for feature, inputs in FILE_NEEDS.items() if feature in wanted for n in inputs)
+    chosen = (wanted | needed) - off
+    select = lambda name, dtype: {"name": name, "dtype": dtype}
+    return [
+        {"name": "timestamp", "op_type": "datetime"},
+        select("username", "str"),
+        *[select(n, "str") for n in FILE_TEXTS if n in chosen],
+        *[select(n, t) for n, t in FILE_NUMBERS.items() if n in chosen],
+        *[select(n, "bool") for n in FILE_FLAGS if n in chosen],
+        select("location", "str"),
+        *counters,
+    ]
+
+
+def from_file(
+    spark: SparkSession, path: str, feature_set: str = "default", row_id: str | None = None, preserve: Sequence[str] = ("_batch_id",)
+) -> FeatureSchema:
+    """Schema of one feature set of a feature file (``feature_entries``); ``preserve`` are patterns of columns kept."""
+    return from_config(feature_entries(read_config(spark, path), feature_set), row_id, preserve)
 
 
 def clean_names(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
+from tidemark.operators.schema import regex_select
 from tidemark.session import broadcast_if_small
 
 
@@ -100,6 +101,21 @@ def column_difference(left: DataFrame, right: DataFrame) -> dict[str, list[str]]
     return {"extra": sorted(b - a), "missing": sorted(a - b), "matching": sorted(a & b)}
 
 
+def validation_report(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], include: Sequence[str] = (), exclude: Sequence[str] = ("^ID$", "^_ts_"),
+    abs_tol: float = 0.001, rel_tol: float = 0.005,
+) -> DataFrame:
+    """One row: ``compare`` over the columns both sides have, and the names of extra, missing and matching columns.
+
+    ``include`` and ``exclude`` are patterns of column names; keys are compared by the join alone.
+    """
+    chosen = lambda df: regex_select(df.drop(*keys), include, exclude)
+    names = column_difference(chosen(left), chosen(right))
+    counts = compare(left, right, keys, names["matching"], abs_tol, rel_tol)
+    lists = [F.lit(names[kind]).cast("array<string>").alias(f"{kind}_columns") for kind in ("extra", "missing", "matching")]
+    return counts.select("*", *lists)
+
+
 def best_entities(df: DataFrame, doc: str, kind: str, text: str, confidence: str) -> DataFrame:
     """One row per (document, type, text): the most confident."""
     return latest_version(df, [doc, kind, text], confidence)

@@ -18,6 +18,7 @@ from tidemark.plans.base import (
     with_baseline,
 )
 from tidemark.registry import query
+from tidemark.session import scratch_dir
 
 
 @query(
@@ -178,6 +179,48 @@ def distinct_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.add_increment(df, spec, "event_id").select("event_id", "user_id", "appincrement")
 
 
+#: A feature file as users write it; the query below stores it and builds its schema from there.
+FEATURE_FILE = """
+model_features:
+  default: [appDisplayName, location]
+  travel: [appDisplayName, category, travel_speed_kmph, is_weekend, logcount, locincrement, appincrement]
+categorical_features:
+  category: {enabled: false}
+behavioral_features:
+  logcount: {params: {groupby_column: username}}
+  locincrement: {params: {input_name: location, groupby_column: username, timestamp_column: timestamp}}
+  appincrement: {params: {input_name: appDisplayName, period: week}}
+"""
+
+
+@query(
+    "feature_file_schema",
+    f"""
+    WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS u, ts, date_trunc('day', ts) AS d, date_trunc('week', ts) AS w,
+                 event_type AS app, CAST({K_SQL} AS VARCHAR) AS loc, value FROM events),
+    f AS (SELECT *, row_number() OVER (PARTITION BY u, w, app ORDER BY ts, event_id) = 1 AS new_app,
+                 row_number() OVER (PARTITION BY u, d, loc ORDER BY ts, event_id) = 1 AS new_loc FROM e)
+    SELECT ts AS timestamp, u AS username, app AS "appDisplayName", value AS "location_geoCoordinates_latitude",
+           CAST(NULL AS DOUBLE) AS "location_geoCoordinates_longitude", value * 2 AS travel_speed_kmph, dayofweek(ts) IN (0, 6) AS is_weekend,
+           loc AS location, row_number() OVER (PARTITION BY u, d ORDER BY ts, event_id) - 1 AS logcount,
+           CAST(sum(CASE WHEN new_loc THEN 1 ELSE 0 END) OVER (PARTITION BY u, d ORDER BY ts, event_id) AS BIGINT) AS locincrement,
+           CAST(sum(CASE WHEN new_app THEN 1 ELSE 0 END) OVER (PARTITION BY u, w ORDER BY ts, event_id) AS BIGINT) AS appincrement,
+           event_id AS _row FROM f
+    """,
+)
+def feature_file_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature set read from a stored file: selected columns, what they need, and counters by day and week."""
+    path = f"{scratch_dir(spark, 'features')}/features.yaml"
+    spark.createDataFrame([(FEATURE_FILE,)], "value string").coalesce(1).write.text(path)
+    rows = keyed_events(spark, sf_dir).select(
+        F.col("event_id").alias("_row"), F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("username"),
+        F.col("event_type").alias("appDisplayName"), F.col("event_type").alias("category"), F.col("k").cast("string").alias("location"),
+        F.col("value").alias("location_geoCoordinates_latitude"), (F.col("value") * 2).alias("travel_speed_kmph"),
+        F.dayofweek("ts").isin(1, 7).alias("is_weekend"),
+    )
+    return sc.from_file(spark, path, "travel", row_id="_row", preserve=["_row"]).apply(rows)
+
+
 @query(
     "day_increments",
     f"""

@@ -9,7 +9,8 @@ from tidemark.operators import dashboards as dash, tables
 from tidemark.plans.base import DETECTIONS_SQL, K_SQL, events, keyed_events
 from tidemark.plans.dashboards import ANOMALIES_SQL, anomalies
 from tidemark.registry import query
-from tidemark.session import table
+from tidemark.session import scratch_dir, table
+from tidemark.sinks import writers
 
 
 @query(
@@ -158,6 +159,36 @@ def frame_compare(spark, sf_dir):
     return tables.compare(left, changed, ["event_id"], ["value", "event_type"])
 
 
+@query(
+    "validation_report",
+    f"""
+    WITH l AS (SELECT event_id, value, event_type FROM events WHERE {K_SQL} <> 5),
+    r AS (SELECT event_id, CASE WHEN {K_SQL} > 90 THEN value + 5 ELSE value END AS value, CASE WHEN {K_SQL} = 1 THEN NULL ELSE event_type END AS event_type FROM events WHERE {K_SQL} <> 7),
+    j AS (SELECT l.event_id AS a, r.event_id AS b, l.event_type IS NOT DISTINCT FROM r.event_type AS et, abs(l.value - r.value) <= 0.001 + 0.005 * abs(r.value) AS ev
+          FROM l FULL OUTER JOIN r ON l.event_id = r.event_id)
+    SELECT count(a) AS total_rows, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND et AND ev) AS matching_rows,
+           count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND NOT (et AND ev)) AS diff_rows,
+           count(*) FILTER (WHERE b IS NULL) AS missing_rows, count(*) FILTER (WHERE a IS NULL) AS extra_rows,
+           count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND NOT ev) AS diff_value,
+           count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND NOT et) AS diff_event_type,
+           'k' AS extra_columns, 'user_id' AS missing_columns, 'event_type,value' AS matching_columns FROM j
+    """,
+)
+def validation_report(spark, sf_dir):
+    """The comparison written as JSON and read back from there."""
+    rows = keyed_events(spark, sf_dir)
+    left = rows.filter("k <> 5").select("event_id", "user_id", "value", "event_type", F.col("ts").alias("_ts_left"))
+    right = rows.filter("k <> 7").select(
+        "event_id", "k", F.when(F.col("k") > 90, F.col("value") + 5).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("k") != 1, F.col("event_type")).alias("event_type"),
+    )
+    report = tables.validation_report(left, right, ["event_id"])
+    path = f"{scratch_dir(spark, 'report')}/result.json"
+    writers.write_report(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    return back.withColumns({c: F.array_join(c, ",") for c in back.columns if c.endswith("_columns")})
+
+
 @query(
     "row_set_compare",
     f"""

@@ -42,6 +42,11 @@ def write_scores_by_period(df: DataFrame, path: str, user: str, ts: str, feature
     write_partitioned(out, path, ["period"], "csv")
 
 
+def write_report(report: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A comparison result (one row) as one JSON file, keys in order; nothing is computed if ``path`` exists and stays."""
+    write_file(report.select(*sorted(report.columns)).coalesce(1), path, "json", overwrite)
+
+
 def append_merged(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append; readers merge old and new columns (``read_merged``). Pass fmt="delta" where that is installed."""
     writer = df.write.mode("append").format(fmt)
