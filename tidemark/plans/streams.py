@@ -9,19 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.base import K_SQL, k_of
 from tidemark.registry import query
-from tidemark.session import configure, few_local_partitions, scratch_dir, table
+from tidemark.session import few_local_partitions, scratch_dir, table, table_stream
 from tidemark.operators import scoring
 from tidemark.sinks import writers
 from tidemark.streaming import jobs, scored, state
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
-    schema = table(spark, sf_dir, "events").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -150,12 +145,12 @@ def stream_snapshots(spark, sf_dir):
 @query("stream_collections", "SELECT 'label_' || label AS collection, count(*) AS n FROM embeddings GROUP BY 1")
 def stream_collections(spark, sf_dir):
     """Vectors streamed into one folder per collection."""
-    rows = table(spark, sf_dir, "embeddings")
-    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    stream = table_stream(spark, sf_dir, "embeddings")
     out = scratch_dir(spark, "collections")
     tagged = stream.withColumn("collection", F.concat(F.lit("label_"), F.col("label").cast("string")))
     writers.start_collections(tagged, out, f"{out}-state", available_now=True).awaitTermination()
-    return spark.read.parquet(out).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+    # The schema is given: a stream without rows writes no file to take it from.
+    return spark.read.schema(tagged.schema).parquet(out).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_newer_only", "SELECT count(*) AS n FROM events")
