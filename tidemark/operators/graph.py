@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import durable
+from tidemark.session import by_key, durable
 
 # Entity category, vertex label and edge name of detection-to-entity links.
 ENTITY_EDGES = [
@@ -131,9 +131,12 @@ def entity_coverage(edges: DataFrame, rels: Sequence[str]) -> DataFrame:
     )
 
 
-def paired_edges(df: DataFrame, a: Column, b: Column, forth: str, back: str) -> DataFrame:
-    """Edges in both directions between two columns; each pair is made unique once, before it is doubled."""
-    pairs = df.select(a.alias("a"), b.alias("b")).distinct()
+def paired_edges(df: DataFrame, a: Column, b: Column, forth: str, back: str, rows: int = 0) -> DataFrame:
+    """Edges in both directions between two columns; each pair is made unique once, before it is doubled.
+
+    ``rows``, when known, bounds what a task makes unique at once.
+    """
+    pairs = by_key(df.select(a.alias("a"), b.alias("b")), "a", "b", rows=rows).distinct()
     ends = F.array(
         F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(forth).alias("rel")),
         F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(back).alias("rel")),
@@ -141,10 +144,10 @@ def paired_edges(df: DataFrame, a: Column, b: Column, forth: str, back: str) ->
     return pairs.select(F.explode(ends).alias("e")).select("e.*")
 
 
-def transaction_edges(df: DataFrame, client: str, transaction: str, merchant: str) -> DataFrame:
+def transaction_edges(df: DataFrame, client: str, transaction: str, merchant: str, rows: int = 0) -> DataFrame:
     """Four typed edges per transaction row: buy, bought, issued, sell."""
     c, t, m = (vertex(n, F.col(x)) for n, x in (("client", client), ("transaction", transaction), ("merchant", merchant)))
-    return paired_edges(df, c, t, "buy", "bought").unionByName(paired_edges(df, t, m, "issued", "sell"))
+    return paired_edges(df, c, t, "buy", "bought", rows).unionByName(paired_edges(df, t, m, "issued", "sell", rows))
 
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
