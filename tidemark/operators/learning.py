@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import quantiles
+from tidemark.session import durable
 
 
 def row_vectors(df: DataFrame, columns: Sequence[str], size: int, out: str = "representation") -> DataFrame:
@@ -27,17 +28,24 @@ def row_vectors(df: DataFrame, columns: Sequence[str], size: int, out: str = "re
     return pipeline.fit(df).transform(df).withColumn(out, vector_to_array("_pca")).drop("_raw", "_std", "_pca")
 
 
-def text_classifier(text: str, label: str, weight: str | None = None, features: int = 1 << 16) -> Pipeline:
-    """TF-IDF with a confidence-weighted logistic regression."""
+def term_counts(df: DataFrame, text: str, features: int = 1 << 16, out: str = "terms") -> DataFrame:
+    """The rows with hashed word counts in place of their text, written down once.
+
+    Fitting passes over its rows many times and most of a pass over texts is splitting them.
+    """
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern="[^0-9a-zA-ZÀ-ÿ]+").transform(df)
+    return durable(HashingTF(inputCol="_words", outputCol=out, numFeatures=features).transform(words).drop(text, "_words"))
+
+
+def text_classifier(label: str, weight: str | None = None, terms: str = "terms") -> Pipeline:
+    """TF-IDF with a confidence-weighted logistic regression, on rows with ``term_counts``."""
     classifier = LogisticRegression(featuresCol="_tfidf", labelCol="_label", maxIter=20, regParam=0.01)
     if weight:
         classifier = classifier.setWeightCol(weight)
     return Pipeline(
         stages=[
             StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc"),
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern="[^0-9a-zA-ZÀ-ÿ]+"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
+            IDF(inputCol=terms, outputCol="_tfidf"),
             classifier,
         ]
     )

@@ -437,8 +437,9 @@ def representation_pca(spark, sf_dir):
 @query("text_classifier")
 def text_classifier(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.lit(0.9).alias("weight")))
-    model = learning.text_classifier("text", "lang", "weight").fit(docs)
-    return learning.classify(model, docs).select("doc_id", "lang", "predicted", F.round("confidence", 4).alias("confidence"))
+    counted = learning.term_counts(docs, "text")
+    model = learning.text_classifier("lang", "weight").fit(counted)
+    return learning.classify(model, counted).select("doc_id", "lang", "predicted", F.round("confidence", 4).alias("confidence"))
 
 
 @query("risk_regressor")
