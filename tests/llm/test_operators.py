@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -207,6 +208,24 @@ def test_repeated_passages(odd, odd_rows, empty, piece, monkeypatch):
     assert suffix.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [20_000, 0])
+def test_edges_of_passages_are_compared_without_sending_windows(spark, crowd, monkeypatch):
+    """Passages that differ on both sides: a row for each open anchor, and window by window only for crowded names."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    line = noise(140)
+    # Cuts of a line in noise, at any length around the wanted one; some shared by few, some by many documents.
+    rows = [(i, noise(rng.randrange(40)) + line[(a := rng.randrange(60)) : a + rng.randrange(30, 110)] + noise(rng.randrange(40))) for i in range(120)]
+    rows += [(200 + i, line[a : a + 55] + noise(9)) for i, a in enumerate(range(0, 80, 7))]
+    monkeypatch.setattr(suffix, "CROWD", crowd)
+    sent, single = [], suffix.single_windows
+    monkeypatch.setattr(suffix, "single_windows", lambda *args: sent.append(1) or single(*args))
+    got = suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    want = brute_repeats(rows, 50)
+    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == want
+    assert bool(sent) == (crowd == 0) and sum(w[1] > 0 for w in want.values()) > 60
+
+
 def test_an_id_with_two_texts_does_not_crash(spark):
     df = spark.createDataFrame([(1, "x" * 80), (1, "y" * 60), (2, "x" * 80), (3, None)], "doc_id long, text string")
     assert suffix.without_repeats(df).count() == 4

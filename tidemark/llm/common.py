@@ -54,7 +54,11 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Between written tables: let Spark notice that earlier shuffles are unreachable, so that their files go."""
+    """Between written tables: let Spark notice that earlier shuffles are unreachable, so that their files go.
+
+    Spark's listeners hold the query that ended last until another one ends, so a query of one row comes first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
