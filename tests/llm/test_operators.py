@@ -567,6 +567,40 @@ def test_samples_follow_the_lattice_without_replacement():
     assert abs(weighted - 1) < 0.05  # inclusion scores make the samples unbiased
 
 
+def test_units_that_end_alike_share_their_nodes():
+    store = pieces.Store(pieces.store_of(PIECES, 1.0).vocabulary, 1.0)
+    store.learn(["▁walking"])
+    assert store.nodes == 8
+    store.learn(["▁talking", "▁walking", "▁talking", "king"])
+    assert store.nodes == 10  # the two endings that begin before "alking"
+    assert store.start["king"] in store.to[: store.edges].tolist()
+    alone = pieces.Store(store.vocabulary, 1.0)
+    for unit in ("▁talking", "king"):
+        assert sorted(every_path(store, unit)) == sorted(every_path(alone, unit))
+    # Far fewer nodes than characters where words are made of the same endings.
+    heads = [a + b for a in "bcdfghklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "in", "on", "un")]
+    text = " ".join(a + b for a in heads for b in heads[::7])
+    store.clear()
+    pieces.sample([text], [1], store, 3)
+    assert store.nodes < len(text) / 2
+
+
+def test_samples_do_not_depend_on_what_the_store_knows():
+    vocabulary = pieces.store_of(PIECES, 1.0).vocabulary
+    texts = ["", " ", "\n\n a  b \n", "c▁d\t\r\n", "x" * 300, "one\ntwo  three ", "▁▁ a\x00b \x00the", "日本語😀", "the cat then the cats"]
+    codes, begin, units = pieces.laid_out(texts)
+    assert units.tolist() == [len(pieces.units_of(t)) for t in texts]
+    assert np.diff(begin, append=len(codes)).tolist() == [len(u) for t in texts for u in pieces.units_of(t)]
+    together = pieces.sample(texts, list(range(len(texts))), pieces.Store(vocabulary, 1.0), 3)
+    for k, (text, found) in enumerate(zip(texts, together)):
+        alone = pieces.sample([text], [k], pieces.Store(vocabulary, 1.0), 3)[0]
+        assert [(a.tolist(), *x) for a, *x in found] == [(b.tolist(), *y) for b, *y in alone]
+        assert all(vocabulary.decode(ids.tolist()) == text for ids, *_ in found), text
+        wanted = b" " + text.encode() if text else b""
+        assert list(vocabulary.decode_all([ids for ids, *_ in found])) == [wanted] * len(found)
+    assert list(vocabulary.decode_all([])) == []
+
+
 def test_samples_of_odd_rows(odd, odd_rows, empty):
     got = pieces.sampled(odd, PIECES).collect()
     assert len(got) == len(odd_rows) and all(r.round_trip for r in got)

@@ -9,8 +9,8 @@ lattice into the paths that leave it there, each with a maximum below the popped
 the search visit only winning paths.
 
 Pieces never join white space to what is before it, so a lattice falls into units of one word with its spaces;
-units are independent, their node masses are found once per different unit, and a path of the whole text is drawn
-for all of its units at once.
+units are independent, and a path of the whole text is drawn for all of its units at once. What can follow a position
+depends on the rest of its unit only, so units that end alike share nodes, whose masses are found once per different ending.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import heapq
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +34,8 @@ ALPHA = 1.0
 SPACE = "▁"
 #: Spaces with the characters up to the next space; a line feed is a unit of its own.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
-REMEMBERED = 150_000
+#: Nodes kept in each Python worker.
+REMEMBERED = 750_000
 #: Characters of texts searched together.
 SLICE = 1_000_000
 #: Stands for the vocabulary's mark where a text itself has that character; no text can hold a lone surrogate.
@@ -79,16 +81,20 @@ class Vocabulary:
         # A symbol is a piece, or a character spelt in bytes, whose ids lie in ``spelt`` at ``begin``.
         self.weight, self.begin, self.spelt = weight, np.arange(n + 1), np.arange(n, dtype=np.int32)
         self.spelling: dict[int, int] = {}
-        keys = np.zeros(len(normal), np.uint64)
+        keys, begun = np.zeros(len(normal), np.uint64), set()
         for k, (piece, _) in enumerate(normal):
             h = 0
             for c in piece:
-                h = (h * FACTOR + ord(c)) & 0xFFFFFFFFFFFFFFFF
+                begun.add(h)
+                h = (h * FACTOR + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             keys[k] = h
         order = np.argsort(keys)
         self.keys, self.symbols = keys[order], np.array([i for _, i in normal])[order]
-        self.likely = np.zeros(1 << 20, bool)
-        self.likely[slot(self.keys)] = True
+        # By slot of a key: 1 if it may be a piece, 2 if a longer piece may begin so.
+        self.likely = np.zeros(1 << 20, np.uint8)
+        self.likely[slot(self.keys)] = 1
+        self.likely[slot(np.array(sorted(begun), np.uint64))] |= 2
+        self.bytes = pa.array(self.text, pa.large_binary())
 
     def spell(self, code: int) -> int:
         """The symbol of a character without a piece."""
@@ -100,19 +106,30 @@ class Vocabulary:
             self.weight = np.append(self.weight, self.byte_weight * len(data))
         return self.spelling[code]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The piece of each key, or -1."""
-        out = np.full(len(keys), -1)
-        maybe = np.flatnonzero(self.likely[slot(keys)])
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece of each key, or -1, and whether a longer piece may begin with it."""
+        out, likely = np.full(len(keys), -1), self.likely[slot(keys)]
+        maybe = np.flatnonzero(likely & 1)
         at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
         hit = self.keys[at] == keys[maybe]
         out[maybe[hit]] = self.symbols[at[hit]]
-        return out
+        return out, likely > 1
 
     def decode(self, ids) -> str:
         """The text of a segmentation, without the space that was put before it."""
         return b"".join(map(self.text.__getitem__, ids))[1:].decode()
 
+    def decode_all(self, segmentations: list[np.ndarray]) -> Iterator[bytes]:
+        """The UTF-8 text of each segmentation, with the space that was put before it."""
+        spelt = self.bytes.take(pa.array(np.concatenate([np.empty(0, np.int32), *segmentations])))
+        ends = np.cumsum([0, *map(len, segmentations)])
+        if not ends[-1]:
+            return iter([b""] * len(segmentations))
+        _, offsets, data = spelt.buffers()
+        at = np.frombuffer(offsets, np.int64)[ends].tolist()
+        data = data.to_pybytes()
+        return (data[a:b] for a, b in zip(at, at[1:]))
+
 
 def slot(keys: np.ndarray) -> np.ndarray:
     return mixed(keys) >> np.uint64(44)
@@ -133,17 +150,19 @@ def uniform(stream: np.ndarray, step: int) -> np.ndarray:
     return ((mixed(stream + lane_step(step, STEP)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def lane(stream: np.ndarray, use: int, turn: int, place: np.ndarray) -> np.ndarray:
-    """Streams of their own for every use, turn of the search and place in the text."""
-    return mixed(mixed(stream + lane_step(16 * turn + use, LANE)) + place * STEP)
+def lane(stream: np.ndarray, use: int, turn: int, place: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Streams of their own for every use, turn of the search and place in the text; many places of each if sizes are given."""
+    own = mixed(stream + lane_step(16 * turn + use, LANE))
+    return mixed((own if sizes is None else np.repeat(own, sizes)) + place * STEP)
 
 
 class Store:
     """Lattices of the different units seen, side by side in arrays.
 
-    A node is a position in a unit; the edges of a node are neighbours. ``share`` is an edge's probability among all
-    continuations of its node, from the masses of all segmentations of the rest of the unit; ``rest`` is what the
-    node's other edges have.
+    A node is the rest of a unit from a position on, whichever units end so; the edges of a node are neighbours.
+    ``share`` is an edge's probability among all continuations of its node, from the masses of all segmentations of the
+    rest of the unit (``after``, a logarithm); ``log_share`` and ``log_rest`` are the logarithms of it and of what the
+    node's other edges have. ``start`` has the first nodes of units that were learnt by name.
     """
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
@@ -153,82 +172,132 @@ class Store:
     def clear(self) -> None:
         self.start: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.first = np.zeros(1 << 16, np.int64)
+        self.first, self.after = np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
         self.to, self.symbol = np.zeros((2, 1 << 17), np.int32)
-        self.share, self.rest = np.zeros((2, 1 << 17))
+        self.share, self.log_share, self.log_rest = np.zeros((3, 1 << 17))
+        # Keys of the nodes' endings in order, and the node of each.
+        self.keys, self.node_of = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def learn(self, units: list[str]) -> None:
-        """Add the lattices of units not known yet, all at once: edges by length, masses from the units' ends."""
-        if len(self.start) > REMEMBERED:
+        """Add the lattices of units."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([0, *map(len, units)])
+        nodes = self.enter(codes, ends[:-1])
+        self.start.update(zip(units, nodes.tolist()))
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """The node of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.node_of[at], -1)
+
+    def enter(self, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """First nodes of the units that begin at places of a text; nodes not known yet are added, all at once."""
+        if self.nodes > REMEMBERED:
             self.clear()
-        units = [u for u in units if u not in self.start]
-        if not units:
-            return
+        if not len(begin):
+            return np.empty(0, np.int64)
+        sizes = np.diff(begin, append=len(codes))
+        left = np.repeat(begin + sizes, sizes) - np.arange(len(codes))
+        # An ending's key is a sum over its characters of a number for the character and its place from the end.
+        keys = mixed(codes * np.uint64(FACTOR) + left.view(np.uint64) * LANE)
+        sums = np.cumsum(keys)
+        keys += np.repeat(sums[begin + sizes - 1], sizes) - sums
+        units, at, which = np.unique(keys[begin], return_index=True, return_inverse=True)
+        nodes = self.known(units)
+        new = nodes < 0
+        if new.any():
+            n = sizes[at[new]]
+            spans = np.repeat(begin[at[new]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            self.add(codes[spans].astype(np.uint64), left[spans], keys[spans])
+            nodes[new] = self.known(units[new])
+        return nodes[which]
+
+    def add(self, codes: np.ndarray, left: np.ndarray, keys: np.ndarray) -> None:
+        """Add the nodes of units side by side: edges by length, masses from the units' ends."""
         v = self.vocabulary
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.cumsum(sizes)
-        n = len(codes)
-        left = np.repeat(ends, sizes) - np.arange(n)
-        nodes, keys = np.arange(n), np.zeros(n, np.uint64)
-        found = []
+        keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        node = self.known(keys)
+        new = np.flatnonzero(node < 0)
+        order = np.argsort(left[at[new]], kind="stable")
+        node[new[order]] = np.arange(self.nodes, self.nodes + len(new))
+        place = np.searchsorted(self.keys, keys[new])
+        self.keys, self.node_of = np.insert(self.keys, place, keys[new]), np.insert(self.node_of, place, node[new])
+        # From here on nodes are numbered from the first new one, by their distance from the end of the unit.
+        at, node = at[new[order]], node[which]
+        left = left[at]
+        on, keys = np.arange(len(at)), np.zeros(len(at), np.uint64)
+        # A character counts as its code plus one, so that a leading NUL is not lost.
+        counted = codes + np.uint64(1)
+        found, many = [], np.zeros(len(at), np.int64)
         for length in range(1, v.longest + 1):
-            go = left[nodes] >= length
-            nodes, keys = nodes[go], keys[go] * np.uint64(FACTOR) + codes[nodes[go] + length - 1]
-            symbol = v.find(keys)
+            keys = keys * np.uint64(FACTOR) + counted[at[on] + length - 1]
+            symbol, longer = v.find(keys)
             if length == 1:
                 for k in np.flatnonzero(symbol < 0):
-                    symbol[k] = v.spell(int(codes[k]))
-            hit = symbol >= 0
-            found.append((nodes[hit], np.full(int(hit.sum()), length), symbol[hit]))
-        node, length, symbol = (np.concatenate(x) for x in zip(*found))
+                    symbol[k] = v.spell(int(codes[at[k]]))
+            hit = np.flatnonzero(symbol >= 0)
+            found.append((on[hit], symbol[hit]))
+            many[on[hit]] += 1
+            go = np.flatnonzero(longer & (left[on] > length))
+            on, keys = on[go], keys[go]
+            if not len(on):
+                break
+
+        # Edges of a node side by side.
+        first = np.cumsum(many) - many
+        edges = int(many.sum())
+        symbol, to, slots = np.empty(edges, np.int64), np.empty(edges, np.int64), first.copy()
+        for length, (on, symbols) in enumerate(found, 1):
+            edge = slots[on]
+            symbol[edge] = symbols
+            to[edge] = np.where(left[on] == length, -1, node[np.minimum(at[on] + length, len(node) - 1)])
+            slots[on] += 1
         weight = self.alpha * v.weight[symbol]
-
-        # Nodes by their distance from the end of the unit, edges of a node side by side.
-        order = np.argsort((left[node] << 40) + (node << 5) + length)
-        node, length, symbol, weight = node[order], length[order], symbol[order], weight[order]
-        share, rest, after = np.empty(len(node)), np.empty(len(node)), np.zeros(n + 1)
-        bounds = np.flatnonzero(np.diff(left[node], prepend=0))
-        for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(node)]):
-            begin = np.flatnonzero(np.diff(node[a:b], prepend=-1))
-            many = np.diff(begin, append=b - a)
-            target = node[a:b] + length[a:b]
-            x = weight[a:b] + np.where(length[a:b] == left[node[a:b]], 0.0, after[target])
-            top = np.repeat(np.maximum.reduceat(x, begin), many)
+        share, rest = np.empty(edges), np.empty(edges)
+        self.after = grown(self.after, self.nodes, np.zeros(len(at)))
+        bounds = np.flatnonzero(np.diff(left, prepend=0)).tolist()
+        for i, j in zip(bounds, [*bounds[1:], len(at)]):
+            a, b = int(first[i]), int(first[j - 1] + many[j - 1])
+            begin, n = first[i:j] - a, many[i:j]
+            x = weight[a:b] + np.where(to[a:b] < 0, 0.0, self.after[to[a:b]])
+            highest = np.maximum.reduceat(x, begin)
+            top = np.repeat(highest, n)
             e = np.exp(x - top)
-            total = np.add.reduceat(e, begin)
+            sums = np.add.reduceat(e, begin)
+            total = np.repeat(sums, n)
             largest = x == top
             # What is left beside the largest edge is summed without it, so that little is not lost.
-            others = np.where(largest, np.repeat(np.add.reduceat(np.where(largest, 0.0, e), begin), many), np.repeat(total, many) - e)
-            ties = np.repeat(np.add.reduceat(largest.astype(np.int64), begin), many)
+            others = np.where(largest, np.repeat(np.add.reduceat(np.where(largest, 0.0, e), begin), n), total - e)
+            ties = np.repeat(np.add.reduceat(largest.astype(np.int64), begin), n)
             others = np.where(largest, others + ties - 1, others)
-            share[a:b], rest[a:b] = e / np.repeat(total, many), others / np.repeat(total, many)
-            after[node[a:b][begin]] = top[begin] + np.log(total)
-
-        order = np.lexsort((-share, node))
-        node, length, symbol, share, rest = node[order], length[order], symbol[order], share[order], rest[order]
-        begin = np.flatnonzero(np.diff(node, prepend=-1))
-        to = np.where(length == left[node], -1, node + length + self.nodes)
-        self.start.update(zip(units, (self.nodes + ends - sizes).tolist()))
-        self.first = grown(self.first, self.nodes, np.append(begin, len(node)) + self.edges)
-        for name, values in (("to", to), ("symbol", symbol), ("share", share), ("rest", rest)):
+            share[a:b], rest[a:b] = e / total, others / total
+            self.after[self.nodes + i : self.nodes + j] = highest + np.log(sums)
+
+        order = np.lexsort((-share, np.repeat(np.arange(len(at)), many)))
+        share = share[order]
+        with np.errstate(divide="ignore"):
+            logs = np.log(share), np.log(rest[order])
+        self.first = grown(self.first, self.nodes, np.append(first, edges) + self.edges)
+        for name, values in zip(("to", "symbol", "share", "log_share", "log_rest"), (to[order], symbol[order], share, *logs)):
             setattr(self, name, grown(getattr(self, name), self.edges, values))
-        self.nodes, self.edges = self.nodes + n, self.edges + len(node)
-
-    def starts(self, units: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
+        self.nodes, self.edges = self.nodes + len(at), self.edges + edges
 
     def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node; a node's likeliest edges come first, so few are passed over."""
-        edge, last = self.first[nodes], self.first[nodes + 1] - 1
-        on = np.arange(len(nodes))
+        edge = self.first[nodes]
+        share = self.share[edge]
+        on = np.flatnonzero(u >= share)
+        u, at, last = u[on] - share[on], edge[on], self.first[nodes[on] + 1] - 1
         while len(on):
-            share = self.share[edge[on]]
-            u_on = u[on]
-            go = (u_on >= share) & (edge[on] < last[on])
-            on = on[go]
-            u[on] = u_on[go] - share[go]
-            edge[on] += 1
+            # Those that stay at their node's last edge are done, the others go one edge further.
+            go = at < last
+            on, u, at, last = on[go], u[go], at[go] + 1, last[go]
+            edge[on] = at
+            share = self.share[at]
+            go = u >= share
+            on, u, at, last = on[go], u[go] - share[go], at[go], last[go]
         return edge
 
     def draw(self, nodes: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,18 +340,17 @@ def grown(array: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
     return array
 
 
-def truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel values at log masses, given that they lie below the bound."""
+def truncated(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel values at log masses, given that they lie below their bounds."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         return np.where(np.isneginf(mass), -np.inf, mass - np.log(np.exp(mass - bound) - np.log(u)))
 
 
 @dataclass
 class Search:
-    """The queue of one text: sets of paths that share edges of ``path`` up to ``at`` and leave it there."""
+    """The queue of one text: sets of paths that share edges of ``path`` up to a place and leave it there."""
 
     starts: np.ndarray
-    stream: np.ndarray
     queue: list = field(default_factory=list)
     found: list = field(default_factory=list)
     pending: tuple | None = None
@@ -295,68 +363,96 @@ def units_of(text: str) -> list[str]:
     return UNIT.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE))
 
 
+def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts as encoded, the places where their units begin (those of ``units_of``), and each text's number of units."""
+    marked = [" " + t if t else "" for t in texts]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    space, feed = codes == ord(" "), codes == ord("\n")
+    codes[codes == ord(SPACE)] = ord(MARK)
+    codes[space] = ord(SPACE)
+    begins = feed.copy()
+    begins[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+    ends = np.cumsum(sizes)
+    begins[(ends - sizes)[sizes > 0]] = True
+    begin = np.flatnonzero(begins)
+    return codes, begin, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
 def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k different segmentations (ids, log-probability, perturbed value, inclusion), best first.
 
     All texts take a round of their search together, so that paths are drawn for all of them at once.
     """
-    split = [units_of(t) for t in texts]
-    store.learn(list(dict.fromkeys(u for units in split for u in units)))
+    codes, begin, units = laid_out(texts)
+    starts = store.enter(codes, begin)
     streams = mixed(np.array(keys, np.int64).view(np.uint64) + STEP)
-    searches = [Search(store.starts(units), s) for units, s in zip(split, np.split(streams, len(streams)))] if texts else []
-    for s in searches:
-        root = -math.log(-math.log(float(uniform(lane(s.stream, ROOT, 0, ONE), 0)[0])))
-        s.pending = (root, np.empty(0, np.int64), np.empty(0, np.int64), None, -1, frozenset())
+    searches = [Search(s) for s in np.split(starts, np.cumsum(units)[:-1])] if texts else []
+    for s, u in zip(searches, uniform(lane(streams, ROOT, 0, ONE), 0).tolist()):
+        s.pending = (-math.log(-math.log(u)), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), None, -1, frozenset())
     for turn in range(k):
-        live = [s for s in searches if s.pending]
-        begin, lanes, sizes = [], [], []
+        which = [i for i, s in enumerate(searches) if s.pending]
+        if not which:
+            break
+        live, own, tails, keeps = [searches[i] for i in which], streams[which], [], []
         for s in live:
-            value, path, unit_of, edge, unit, _ = s.pending
+            _, path, _, _, edge, unit, _ = s.pending
             tail = s.starts[unit + 1 :]
             if edge is not None and store.to[edge] >= 0:
                 tail = np.concatenate([[store.to[edge]], tail])
-            begin.append(tail)
-            lanes.append(lane(s.stream, DRAW, turn, np.arange(len(tail), dtype=np.uint64)[::-1]))
-            sizes.append(len(tail))
-        if not live:
-            break
-        drawn, counts = store.draw(np.concatenate(begin), np.concatenate(lanes))
+            tails.append(tail)
+            keeps.append(len(path))
+        sizes = np.fromiter(map(len, tails), np.int64, len(tails))
+        places = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(int(sizes.sum()))
+        drawn, counts = store.draw(np.concatenate(tails), lane(own, DRAW, turn, places.view(np.uint64), sizes))
+        drawn_logs = store.log_share[drawn]
+        edges_upto = np.cumsum(counts)
+        masses, bounds, firsts = [], [], []
         at = edges_at = 0
-        for s, size in zip(live, sizes):
-            value, path, unit_of, edge, unit, out = s.pending
-            n = counts[at : at + size]
-            tail = drawn[edges_at : edges_at + int(n.sum())]
-            inside = edge is not None and store.to[edge] >= 0
-            units = np.repeat(np.arange(unit if inside else unit + 1, len(s.starts)), n)
-            keep = len(path)
-            if edge is not None:
-                tail, units = np.concatenate([[edge], tail]), np.concatenate([[unit], units])
-            path, unit_of = np.concatenate([path, tail]), np.concatenate([unit_of, units])
-            at, edges_at = at + size, edges_at + int(n.sum())
-            logs = np.log(store.share[path])
+        for s, size, keep in zip(live, sizes.tolist(), keeps):
+            value, path, logs, upto, edge, unit, out = s.pending
+            upto_tail = edges_upto[at : at + size] - edges_at + keep
+            end = edges_at + int(upto_tail[-1]) - keep if size else edges_at
+            tail, tail_logs = drawn[edges_at:end], drawn_logs[edges_at:end]
+            if edge is None:
+                path, logs, upto = tail, tail_logs, upto_tail
+            else:
+                inside = store.to[edge] >= 0
+                path, logs = np.concatenate([path, [edge], tail]), np.concatenate([logs, [store.log_share[edge]], tail_logs])
+                upto = np.concatenate([upto[:unit], upto_tail + 1] if inside else [upto[:unit], [keep + 1], upto_tail + 1])
+            at, edges_at = at + size, end
             s.found.append((path, float(logs.sum()), value))
             # Split what is left of the popped set along its winner.
-            before = np.cumsum(logs) - logs
-            left = store.rest[path[keep:]].copy()
+            left = store.log_rest[path[keep:]]
             if edge is not None:
                 out = out | {int(edge)}
-                left[0] = sum(float(store.share[e]) for e in store.siblings(edge) if e not in out)
-            with np.errstate(divide="ignore"):
-                mass = before[keep:] + np.log(left)
-            best = truncated(mass, value, uniform(lane(s.stream, SPLIT, turn, np.arange(keep, len(path), dtype=np.uint64)), 0))
-            want = k - turn
+                share = sum(float(store.share[e]) for e in store.siblings(edge) if e not in out)
+                left[0] = math.log(share) if share > 0 else -math.inf
+            masses.append((np.cumsum(logs) - logs)[keep:] + left)
+            bounds.append(value)
+            firsts.append((logs, upto, out))
+        sizes = np.fromiter(map(len, masses), np.int64, len(masses))
+        ends = np.cumsum(sizes)
+        places = np.arange(int(ends[-1])) + np.repeat(np.array(keeps) - (ends - sizes), sizes)
+        u = uniform(lane(own, SPLIT, turn, places.view(np.uint64), sizes), 0)
+        best_of = truncated(np.concatenate(masses), np.repeat(bounds, sizes), u)
+        leave = uniform(lane(own, LEAVE, turn, ONE), 0).tolist()
+        want = k - turn
+        for s, (logs, upto, out), keep, a, b, u in zip(live, firsts, keeps, (ends - sizes).tolist(), ends.tolist(), leave):
+            path, edge, best = s.found[-1][0], s.pending[4], best_of[a:b]
             top = np.argpartition(-best, want)[:want] if len(best) > want else np.arange(len(best))
-            for j in top:
+            for j in top.tolist():
                 if best[j] > -np.inf:
                     taken = out if j == 0 and edge is not None else frozenset([int(path[keep + j])])
-                    heapq.heappush(s.queue, (-float(best[j]), len(s.found), int(keep + j), path, unit_of, taken))
+                    heapq.heappush(s.queue, (-float(best[j]), len(s.found), keep + j, path, logs, upto, taken))
             s.pending = None
             if s.queue and turn + 1 < k:
-                v, _, t, path, unit_of, taken = heapq.heappop(s.queue)
+                v, _, t, path, logs, upto, taken = heapq.heappop(s.queue)
                 options = [e for e in store.siblings(path[t]) if e not in taken]
                 weights = np.cumsum(store.share[options])
-                pick = np.searchsorted(weights, float(uniform(lane(s.stream, LEAVE, turn, ONE), 0)[0]) * weights[-1])
-                s.pending = (-v, path[:t], unit_of[:t], options[min(int(pick), len(options) - 1)], int(unit_of[t]), taken)
+                pick = np.searchsorted(weights, u * weights[-1])
+                unit = int(np.searchsorted(upto, t, side="right"))
+                s.pending = (-v, path[:t], logs[:t], upto, options[min(int(pick), len(options) - 1)], unit, taken)
     out = []
     for s in searches:
         bar = -s.queue[0][0] if s.queue else -math.inf
@@ -387,16 +483,19 @@ def sampled(
     def run(batches):
         store = store_of(path, alpha)
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            keys = [i.as_py() or 0 for i in batch.column("id")]
+            texts = batch.column("text").to_pylist()
+            keys = [i or 0 for i in batch.column("id").to_pylist()]
             rows, trips, at = [], [], 0
             while at < len(texts):
                 upto, size = at, 0
                 while upto < len(texts) and (upto == at or size + len(texts[upto]) <= SLICE):
                     size += len(texts[upto])
                     upto += 1
-                for text, found in zip(texts[at:upto], sample(texts[at:upto], keys[at:upto], store, k)):
-                    trips.append(all(store.vocabulary.decode(ids.tolist()) == text for ids, *_ in found))
+                samples = sample(texts[at:upto], keys[at:upto], store, k)
+                decoded = store.vocabulary.decode_all([ids for found in samples for ids, *_ in found])
+                for text, found in zip(texts[at:upto], samples):
+                    wanted = b" " + text.encode() if text else b""
+                    trips.append(all([next(decoded) == wanted for _ in found]))
                     rows.append(
                         [
                             {
