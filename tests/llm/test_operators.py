@@ -513,6 +513,51 @@ def test_units_give_what_whole_texts_give():
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def library_ids(coder, texts):
+    return [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_mark_or_line_follows():
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.given = tokenizer, []
+
+        def encode_batch_fast(self, units, **options):
+            self.given += units
+            return self.tokenizer.encode_batch_fast(units, **options)
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+    coder = tokens.UnitEncoder(BYTE_BPE)
+    counting = coder.tokenizer = Counting(coder.tokenizer)
+    words = [a + b for a in ("on", "ver", "sch", "the") for b in ("eit", "ing", "ois", "er")]
+    marks = [".", ",", "$$$", "!", "?)", "***", "-", "\n"]
+    texts = ["x " + " ".join(w + m for w in words) + "x" for m in marks[:-1]] + ["\n".join(words)]
+    for part in (texts, texts[::-1]):
+        ids, counts = coder.encode(part)
+        assert ids.tolist() == sum(library_ids(coder, part), []) and counts.tolist() == list(map(len, library_ids(coder, part)))
+    assert len(counting.given) == len(set(counting.given)) < 4 * len(words)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_units_of_odd_texts_also_where_keys_are_equal(weak, monkeypatch):
+    import random
+
+    if weak:
+        monkeypatch.setattr(tokens, "mixed", lambda h: h & np.uint64(7))
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    rng, coder = random.Random(3), tokens.UnitEncoder(BYTE_BPE)
+    parts = [*"ab1.,'\"\n\t\r$_é \u3000²Ⅷ日\x00\x1c\x85א٣ª😀\u0301\u200b\ufeff", " ", " ", "  ", "'ll", "the", " the", "<|endoftext|>"]
+    for _ in range(20):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(100)]
+        ids, counts = coder.encode(texts)
+        want = library_ids(coder, texts)
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    ids, counts = coder.encode([])
+    assert not len(ids) and not len(counts)
+
+
 def test_added_tokens_are_what_the_untouched_library_gives(spark, odd, odd_rows, tmp_path):
     from tokenizers import Tokenizer
 

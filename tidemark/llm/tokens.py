@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,35 +23,72 @@ from tidemark.llm import common
 
 END = 2
 ROW_GROUP, PAGE, PAGE_ROWS = 64 << 20, 1 << 20, 2000
-#: Units kept with their ids in each Python worker, so that a common unit is encoded once (two generations of them).
-REMEMBERED = 650_000
-#: A space between two other characters always begins a new pre-token of this vocabulary, whatever surrounds it.
-BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
-OTHER_SPACE = re.compile(r"[^\S \n]|\x01")
-#: So does a full stop or comma after a letter or digit; texts that have one after anything else are cut by pattern.
-OTHER_STOP = re.compile(r"[.,](?<=[\W_].)")
+#: Units kept with their ids in each Python worker, so that a common unit is encoded once.
+REMEMBERED = 1_200_000
+#: Texts given to the library at once.
+AT_ONCE = 10_000
+#: By code: what is not white space, and letters and digits; beyond U+3000 there is no white space, and letters are not cut at.
+SOLID = np.array([not chr(c).isspace() for c in range(0x3002)])
+WORDLIKE = np.array([chr(c).isalnum() for c in range(0x3001)] + [False])
+MARKS = np.zeros(129, bool)
+MARKS[[ord(c) for c in string.punctuation]] = True
+ODD, PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def plain(text: str) -> bool:
-    """Whether white space is only single spaces inside the text and line feeds away from them, and stops follow words."""
-    odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
-    return not odd and not OTHER_SPACE.search(text) and not OTHER_STOP.search(text)
+def solid(codes: np.ndarray) -> np.ndarray:
+    return SOLID[np.minimum(codes, len(SOLID) - 1)]
 
 
-def cut(texts: list[str]) -> pa.ListArray:
-    """Units of plain texts: cut before each space, full stop and comma."""
-    marked = pa.array(texts, pa.large_string())
-    for c in " .,":
-        marked = pc.replace_substring(marked, pattern=c, replacement="\x01" + c)
-    return pc.split_pattern(marked, pattern="\x01")
+def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts side by side, the places where their units begin, and each text's number of units.
+
+    Whatever surrounds it, a new pre-token of this vocabulary begins at a space between two other characters, at and
+    after a line feed between two such, and at a punctuation mark after a letter or digit.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.zeros(len(codes), bool)
+    ends = np.cumsum(sizes)
+    begins[(ends - sizes)[sizes > 0]] = True
+    for c in " \n":
+        at = np.flatnonzero(codes[1:-1] == ord(c)) + 1
+        at = at[solid(codes[at - 1]) & solid(codes[at + 1])]
+        begins[at] = True
+        if c == "\n":
+            begins[at + 1] = True
+    at = np.flatnonzero(MARKS[np.minimum(codes[1:], len(MARKS) - 1)]) + 1
+    begins[at[WORDLIKE[np.minimum(codes[at - 1], len(WORDLIKE) - 1)]]] = True
+    begin = np.flatnonzero(begins)
+    return codes, begin, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of many runs, one run after the other."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def grown(array: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
+    need = size + len(values)
+    if need > len(array):
+        array = np.concatenate([array, np.zeros(max(need - len(array), len(array) // 2), array.dtype)])
+    array[size:need] = values
+    return array
 
 
 class UnitEncoder:
     """Encodes texts unit by unit, where units are what the vocabulary's own splitting never joins.
 
-    Units seen lately are remembered in two generations: when the younger is full, it becomes the older one. A text that
-    holds the content of an added token is encoded whole, as the library splits at such tokens before anything else.
-    With ``special_as_text`` the content of a special token is text like any other, which is not the library's default.
+    Units are known by a key of their characters; unit n's ids lie in ``ids`` from ``id_at[n]`` on, and its characters
+    in ``codes`` from ``code_at[n]`` on, with which every use is compared, so equal keys of different units do no harm.
+    A text that holds the content of an added token is encoded whole, as the library splits at such tokens before
+    anything else. With ``special_as_text`` the content of a special token is text like any other, which is not the
+    library's default.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -64,58 +101,93 @@ class UnitEncoder:
             self.tokenizer.encode_special_tokens = True
         added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids_of(self, units: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of different units."""
-        missing = [u for u in units if u not in self.young]
-        if len(missing) + len(self.young) > REMEMBERED and self.young:
-            self.old, self.young = self.young, {}
-            missing = units
-        again = [u for u in missing if u in self.old]
-        self.young.update(zip(again, map(self.old.__getitem__, again)))
-        new = [u for u in missing if u not in self.old]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.young.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, found))
-        return list(map(self.young.__getitem__, units))
+        self.clear()
+
+    def clear(self) -> None:
+        self.units = 0
+        self.keys, self.unit_of = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.id_at, self.code_at = np.zeros((2, 1 << 16), np.int64)
+        self.ids, self.codes = np.zeros(1 << 17, np.int32), np.zeros(1 << 18, np.uint32)
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """The unit of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.unit_of[at], -1)
+
+    def library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after the other, and their number in each unit."""
+        ids, counts = array("I"), []
+        for at in range(0, len(units), AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(units[at : at + AT_ONCE], add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                counts.append(len(own))
+        return np.array(ids, np.int32), np.array(counts, np.int64)
+
+    def add(self, codes: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
+        """Encode and keep new units, whose characters lie side by side, by ascending key."""
+        ends = np.cumsum(sizes)
+        text = codes.tobytes().decode("utf-32-le", "surrogatepass")
+        ids, counts = self.library([text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())])
+        new = np.arange(self.units, self.units + len(sizes))
+        for name, values, many in (("ids", ids, counts), ("codes", codes, sizes)):
+            where = f"{name[:-1]}_at"
+            starts = getattr(self, where)
+            begun = int(starts[self.units])
+            setattr(self, where, grown(starts, self.units, begun + np.cumsum(np.concatenate([[0], many]))))
+            setattr(self, name, grown(getattr(self, name), begun, values))
+        self.units += len(sizes)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.unit_of = np.insert(self.keys, place, keys), np.insert(self.unit_of, place, new)
+
+    def units_at(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units that begin at places of a text, and which of them are not what their key stands for."""
+        sizes = np.diff(begin, append=len(codes))
+        # A unit's key is a sum over its characters of a number for the character and its place.
+        place = (np.arange(len(codes)) - np.repeat(begin, sizes)).view(np.uint64)
+        keys = np.add.reduceat(mixed(codes * ODD + place * PLACE), begin)
+        keys = mixed(keys + sizes.view(np.uint64) * PLACE)
+        keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        units = self.known(keys)
+        new = units < 0
+        if new.any():
+            at = at[new]
+            self.add(codes[spans(begin[at], sizes[at])], sizes[at], keys[new])
+            units[new] = self.known(keys[new])
+        units = units[which]
+        stored = self.code_at[units]
+        right = self.code_at[units + 1] - stored == sizes
+        same = self.codes[np.minimum(np.repeat(stored - begin, sizes) + np.arange(len(codes)), len(self.codes) - 1)] == codes
+        return units, ~(right & np.logical_and.reduceat(same, begin))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and their number in each text.
-
-        Almost every text is plain, and Arrow cuts it and counts off its units; the others are cut by pattern.
-        """
+        """Ids of all texts one after the other, and their number in each text."""
+        if self.units > REMEMBERED:
+            self.clear()
         whole = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
-        simple = [k for k, t in enumerate(texts) if k not in whole and plain(t)]
-        lists = cut([texts[k] for k in simple])
-        coded = pc.list_flatten(lists).dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        place = {u: k for k, u in enumerate(coded.dictionary.to_pylist())}
-        name = lambda u: place.setdefault(u, len(place))
-        by_text: list = [None] * len(texts)
-        for k, a, n in zip(simple, starts.tolist(), sizes.tolist()):
-            by_text[k] = codes[a : a + n]
-        for k, text in enumerate(texts):
-            if by_text[k] is None and k not in whole:
-                by_text[k] = np.array([name(u) for u in BOUNDARY.split(text)], np.int64)
-        data = self.ids_of(list(place))
-        # Whole texts are not remembered; their ids follow those of the units.
-        for k in sorted(whole):
-            by_text[k] = np.array([len(data)], np.int64)
-            data.append(array("I", self.tokenizer.encode(texts[k], add_special_tokens=False).ids).tobytes())
-        codes = np.concatenate([np.empty(0, np.int64), *by_text])
-        flat = np.frombuffer(b"".join(data), "<u4")
-        length = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        offset = np.cumsum(length) - length
-        n = length[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(offset[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, by_text)])]
-        return ids, np.diff(upto)
+        while True:
+            codes, begin, many = laid_out(["" if k in whole else t for k, t in enumerate(texts)])
+            if not len(begin):
+                units = np.empty(0, np.int64)
+                break
+            units, wrong = self.units_at(codes, begin)
+            if not wrong.any():
+                break
+            whole.update(np.searchsorted(np.cumsum(many), np.flatnonzero(wrong), side="right").tolist())
+        start = self.id_at[units]
+        n = self.id_at[units + 1] - start
+        ids = self.ids[spans(start, n)]
+        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(many)])]
+        counts = np.diff(upto)
+        if whole:
+            # Whole texts are not remembered; they had no units.
+            order = sorted(whole)
+            own, counts_own = self.library([texts[k] for k in order])
+            ids = np.insert(ids, np.repeat(upto[order], counts_own), own)
+            counts[order] = counts_own
+        return ids, counts
 
 
 def encoder(path: str, special_as_text: bool = False) -> UnitEncoder:
