@@ -35,9 +35,9 @@ SPACE = "▁"
 #: Spaces with the characters up to the next space; a line feed is a unit of its own.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
 #: Nodes kept in each Python worker.
-REMEMBERED = 750_000
-#: Characters of texts searched together.
-SLICE = 1_000_000
+REMEMBERED = 400_000
+#: Characters of texts searched together; what a search holds beside the store follows them.
+SLICE = 200_000
 #: Stands for the vocabulary's mark where a text itself has that character; no text can hold a lone surrogate.
 MARK = "\ud800"
 FACTOR = 0x9E3779B97F4A7C15
@@ -161,20 +161,23 @@ class Store:
 
     A node is the rest of a unit from a position on, whichever units end so; the edges of a node are neighbours.
     ``share`` is an edge's probability among all continuations of its node, from the masses of all segmentations of the
-    rest of the unit (``after``, a logarithm); ``log_share`` and ``log_rest`` are the logarithms of it and of what the
-    node's other edges have. ``start`` has the first nodes of units that were learnt by name.
+    rest of the unit (``after``, a logarithm); ``log_rest`` is the logarithm of what the node's other edges have.
+    ``start`` has the first nodes of units that were learnt by name.
     """
 
     def __init__(self, vocabulary: Vocabulary, alpha: float):
         self.vocabulary, self.alpha = vocabulary, alpha
+        # Room for all that is usually kept: what isn't written takes no memory, and nothing is copied as the store grows.
+        room = REMEMBERED + SLICE
+        self.first, self.after = np.empty(room, np.int64), np.empty(room)
+        self.to, self.symbol = np.empty((2, 4 * room), np.int32)
+        self.share, self.log_rest = np.empty((2, 4 * room))
         self.clear()
 
     def clear(self) -> None:
+        """Forget all units; the arrays stay as large as they are and are written anew."""
         self.start: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.first, self.after = np.zeros(1 << 16, np.int64), np.zeros(1 << 16)
-        self.to, self.symbol = np.zeros((2, 1 << 17), np.int32)
-        self.share, self.log_share, self.log_rest = np.zeros((3, 1 << 17))
         # Keys of the nodes' endings in order, and the node of each.
         self.keys, self.node_of = np.empty(0, np.uint64), np.empty(0, np.int64)
 
@@ -278,9 +281,9 @@ class Store:
         order = np.lexsort((-share, np.repeat(np.arange(len(at)), many)))
         share = share[order]
         with np.errstate(divide="ignore"):
-            logs = np.log(share), np.log(rest[order])
+            log_rest = np.log(rest[order])
         self.first = grown(self.first, self.nodes, np.append(first, edges) + self.edges)
-        for name, values in zip(("to", "symbol", "share", "log_share", "log_rest"), (to[order], symbol[order], share, *logs)):
+        for name, values in zip(("to", "symbol", "share", "log_rest"), (to[order], symbol[order], share, log_rest)):
             setattr(self, name, grown(getattr(self, name), self.edges, values))
         self.nodes, self.edges = self.nodes + len(at), self.edges + edges
 
@@ -319,12 +322,18 @@ class Store:
         return out, counts
 
     def ids_of(self, path: np.ndarray) -> np.ndarray:
-        symbols, v = self.symbol[path], self.vocabulary
-        if not len(symbols) or symbols.max() < len(v.text):
-            return symbols
+        return self.ids_of_each([path])[0]
+
+    def ids_of_each(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of each path, all looked up at once."""
+        v, ends = self.vocabulary, np.cumsum([0, *map(len, paths)])
+        symbols = self.symbol[np.concatenate([np.empty(0, np.int64), *paths])]
         a = v.begin[symbols]
         n = v.begin[symbols + 1] - a
-        return v.spelt[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        upto = np.cumsum(np.append(0, n))
+        ids = v.spelt[np.repeat(a - upto[:-1], n) + np.arange(int(upto[-1]))]
+        at = upto[ends].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def siblings(self, edge: int) -> range:
         """All edges of the node that an edge leaves."""
@@ -335,7 +344,10 @@ class Store:
 def grown(array: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
     need = size + len(values)
     if need > len(array):
-        array = np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)])
+        # Only what is in use is copied: memory that nothing was written to is not taken.
+        larger = np.empty(max(need, 2 * len(array)), array.dtype)
+        larger[:size] = array[:size]
+        array = larger
     array[size:need] = values
     return array
 
@@ -405,7 +417,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
         sizes = np.fromiter(map(len, tails), np.int64, len(tails))
         places = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(int(sizes.sum()))
         drawn, counts = store.draw(np.concatenate(tails), lane(own, DRAW, turn, places.view(np.uint64), sizes))
-        drawn_logs = store.log_share[drawn]
+        drawn_logs = np.log(store.share[drawn])
         edges_upto = np.cumsum(counts)
         masses, bounds, firsts = [], [], []
         at = edges_at = 0
@@ -418,7 +430,7 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
                 path, logs, upto = tail, tail_logs, upto_tail
             else:
                 inside = store.to[edge] >= 0
-                path, logs = np.concatenate([path, [edge], tail]), np.concatenate([logs, [store.log_share[edge]], tail_logs])
+                path, logs = np.concatenate([path, [edge], tail]), np.concatenate([logs, np.log(store.share[[edge]]), tail_logs])
                 upto = np.concatenate([upto[:unit], upto_tail + 1] if inside else [upto[:unit], [keep + 1], upto_tail + 1])
             at, edges_at = at + size, end
             s.found.append((path, float(logs.sum()), value))
@@ -453,11 +465,11 @@ def sample(texts: list[str], keys: list[int], store: Store, k: int) -> list[list
                 pick = np.searchsorted(weights, u * weights[-1])
                 unit = int(np.searchsorted(upto, t, side="right"))
                 s.pending = (-v, path[:t], logs[:t], upto, options[min(int(pick), len(options) - 1)], unit, taken)
-    out = []
+    out, ids = [], iter(store.ids_of_each([path for s in searches for path, *_ in s.found]))
     for s in searches:
         bar = -s.queue[0][0] if s.queue else -math.inf
         chance = lambda p: -math.expm1(-math.exp(min(700.0, p - bar))) if bar > -math.inf else 1.0
-        out.append([(store.ids_of(path), p, v, chance(p)) for path, p, v in s.found])
+        out.append([(next(ids), p, v, chance(p)) for _, p, v in s.found])
     return out
 
 
