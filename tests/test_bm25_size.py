@@ -72,3 +72,24 @@ def test_counts_lie_in_order_of_token_and_are_not_joined(index):
         files.setdefault(r["f"], []).append((r["at"], r["token"]))
     assert files and all([t for _, t in sorted(rows)] == sorted(t for _, t in rows) for rows in files.values())
     assert "Join" not in index.counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entities_in_more_than_one_broadcast(spark, index, monkeypatch):
+    queries = spark.createDataFrame([("d000",), ("d010",), ("d020",)], "query string")
+    rows = lambda: sorted(map(tuple, retrieval.co_mentioned(index, queries, "query", 5, most=90).collect()))
+    whole = rows()
+    monkeypatch.setattr(retrieval, "BROADCAST_TOKENS", 2)
+    assert rows() == whole and len(whole) == 15
+
+
+def test_only_counts_of_asked_entities_are_shuffled(spark):
+    rows = [(i, f"w{i // 2} v{i // 4}") for i in range(400)]
+    index = retrieval.build_index(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    queries = spark.createDataFrame([(8,)], "query long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = retrieval.co_mentioned(index, queries, "query", 5)
+        assert 0 < shuffled(out) < 40
+        assert [(r["doc"], r["rank"], r["shared"]) for r in out.orderBy("rank").collect()] == [(9, 1, 2), (10, 2, 1), (11, 3, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
